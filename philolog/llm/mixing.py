@@ -22,7 +22,7 @@ from philolog.llm._session import checkpoints
 #: Words of a block; slots of an output shard; rounds of a permutation.
 BLOCK, SHARD_SLOTS, ROUNDS = 256, 4096, 24
 #: Rows of a source that one window task orders, about; slots that one row makes.
-ROWS_AT_ONCE, SLOTS_AT_ONCE = 20_000, 4096
+ROWS_AT_ONCE, SLOTS_AT_ONCE = 500, 4096
 #: The mix has this share of all words; weights by a source's place; most times a source is taken.
 SHARE, WEIGHTS, MOST = 1.5, (3, 1, 2), 2
 SEED = 20
@@ -138,7 +138,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = F.greatest(F.lit(0), end - F.greatest("start", edge))
     of_tail = cut * F.col("epochs") + F.when(cut > 0, F.greatest(F.lit(0), F.least(end, edge + F.col("tail_part")) - F.greatest("start", edge))).otherwise(0)
     row = ["src", "start", "doc_id", "source", "size", "source_size", "target"]
-    taken = pieces.join(takes, ["src", "index"], "left").withColumn("of_block", F.coalesce(of_block, F.lit(0))).withColumn("of_tail", of_tail)
+    taken = pieces.join(takes.hint("merge"), ["src", "index"], "left").withColumn("of_block", F.coalesce(of_block, F.lit(0))).withColumn("of_tail", of_tail)
     # rows without words share their start with others: equal ones are told apart by their number
     taken = taken.groupBy(*row).agg((F.sum("of_block") + F.max("of_tail")).cast("long").alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("empty"))
     taken = taken.withColumn("empty", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("empty")).cast("int")))).drop("empty")
@@ -155,5 +155,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     times = mix_sources(docs, id_col, text_col, source_col).taken.where("size > 0").withColumn("times", F.floor(share) + F.when(odds < share - F.floor(share), 1).otherwise(0))
     # repeated ids share their mean
     times = times.groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg("times")).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, docs[id_col].cast("long").eqNullSafe(F.col("_id")))
+    joined = docs.join(times.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("_id")))
     return joined.where(n_words(F.col(text_col)) > 0).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
