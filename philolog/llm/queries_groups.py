@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from philolog.llm.shingle_join import shingle_groups
+from philolog.llm.vector_dups import near_vectors
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +28,23 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = s.doc_id) AS component_id FROM s
 """
 
-QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
-ORACLES = {"op4_ngram_jaccard_join": _OP4}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND list_max([abs(x) for x in embedding]) > 0),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT c.x AS vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON n.x = c.x
+"""
+
+QUERIES = {"op9_embedding_near_dedup": op9_embedding_near_dedup, "op4_ngram_jaccard_join": op4_ngram_jaccard_join}
+ORACLES = {"op9_embedding_near_dedup": _OP9, "op4_ngram_jaccard_join": _OP4}
