@@ -1,12 +1,76 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Rows pass through whole: a stage drops, repeats or rewrites documents but knows no limits. Extra
+columns go along, nulls in any column are allowed, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from philolog.llm._session import checkpoints
+from philolog.llm.bpe import encode_decode
+from philolog.llm.mixing import mix_documents
+from philolog.llm.pii import redact
+from philolog.llm.quality import score
+from philolog.llm.queries_quality import quality_model
+from philolog.llm.queries_tokens import bpe_path
+from philolog.llm.shingle_join import shingle_groups
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It is fitted on labelled documents of the input."""
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    work = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    return score(work, model).where("predicted = 1").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id, once if its row is repeated.
+
+    Documents without an id stay, but for exact copies of one another.
+    """
+    groups = shingle_groups(docs)
+    first = groups.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mix_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of them and of the text decoded from them."""
+    return encode_decode(docs, bpe_path()).drop("decoded")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing sources", mixing),
+    ("BPE encoding", encoding),
+]
+#: Learned models and random draws have no SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
