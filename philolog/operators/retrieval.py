@@ -79,7 +79,7 @@ def evaluate(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     cases = cases.join(latency, "case_id", "left")
     return cases.agg(
         F.count(F.lit(1)).alias("cases"), F.avg(F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"), F.avg(F.when(F.col("first").isNotNull(), 1 / F.col("first")).otherwise(0.0)).alias("mrr"),
-        F.avg(F.col("first").isNotNull().cast("double")).alias("hit_rate"), F.expr("percentile_disc(0.95) within group (order by coalesce(latency_ms, 0))").alias("p95_ms"),
+        F.avg(F.col("first").isNotNull().cast("double")).alias("hit_rate"), F.expr("cast(percentile_disc(0.95) within group (order by coalesce(latency_ms, 0)) as long)").alias("p95_ms"),
     )
 
 
