@@ -83,9 +83,11 @@ def word_totals(tokens: DataFrame, *extra: str) -> DataFrame:
 def windows(documents: DataFrame, n: int, language: str | None = None) -> DataFrame:
     """All runs of n tokens within a sentence: document_id, language, sentence_no, position, surfaces, words, has_punctuation."""
     rows = sentence_table(documents if language is None else documents.where(F.col("lang") == language)).where(F.size("tokens") >= n)
+    # folding and testing are done once for each token, before runs are cut
+    rows = rows.withColumn("folded", F.transform("tokens", X.casefold)).withColumn("marks", F.transform("tokens", X.is_punctuation))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("tokens") - n + 1)))
-    rows = rows.select("document_id", "language", "sentence_no", (F.col("tokens_before") + F.col("i")).alias("position"), F.slice("tokens", F.col("i"), F.lit(n)).alias("surfaces"))
-    return rows.withColumn("words", F.transform("surfaces", X.casefold)).withColumn("has_punctuation", F.exists("surfaces", X.is_punctuation))
+    cut = lambda c: F.slice(c, F.col("i"), F.lit(n))
+    return rows.select("document_id", "language", "sentence_no", (F.col("tokens_before") + F.col("i")).alias("position"), cut("tokens").alias("surfaces"), cut("folded").alias("words"), F.array_contains(cut("marks"), True).alias("has_punctuation"))
 
 
 def corpus_counts(documents: DataFrame) -> DataFrame:

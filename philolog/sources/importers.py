@@ -14,10 +14,14 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from philolog.functions import text as X
 
-TOKENS = "array<struct<word:string,pos:string>>"
+#: Fixed: a word with its tag.
+ZH_TAGGED, EN_TAGGED = r"^(.+)/([A-Za-z][A-Za-z0-9_-]*)$", r"^(.+)_([A-Z0-9$-]+)$"
+UNITS = T.ArrayType(T.StructType([T.StructField("paragraph_no", T.IntegerType()), T.StructField("paragraph", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))]))
+STEP_TYPE = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("a_from", "a_to", "b_from", "b_to")), T.StructField("confidence", T.DoubleType())]))
 
 
 def raw_mono(files: DataFrame) -> DataFrame:
@@ -36,21 +40,20 @@ def title_of(text):
 
 def tagged(files: DataFrame) -> DataFrame:
     """word/POS (zh) or word_POS (en); a line is a sentence; structure marks are taken out, untagged items left out and counted."""
-    pattern = F.when(F.col("language") == "zh", r"^(.+)/([A-Za-z][A-Za-z0-9_-]*)$").otherwise(r"^(.+)_([A-Z0-9$-]+)$")
-    parts = files.select(F.col("source_id").alias("document_id"), "language", pattern.alias("pattern"), F.posexplode(X.paragraphs(F.coalesce("text", F.lit("")))).alias("p", "paragraph"))
+    parts = files.select(F.col("source_id").alias("document_id"), "language", F.posexplode(X.paragraphs(F.coalesce("text", F.lit("")))).alias("p", "paragraph"))
     rows = parts.select("*", F.posexplode(F.split("paragraph", "\n")).alias("l", "line"))
-    items = F.filter(F.split(X.compact(F.regexp_replace("line", "<[^>]*>", " ")), " "), lambda x: x != "")
-    rows = rows.withColumn("items", items)
-    split_at = F.when(F.col("language") == "zh", "/").otherwise("_")
-    # the last mark parts word and tag, as a tag holds none but, in zh, one of its own kind
-    word = lambda x: F.regexp_extract(x, F.when(split_at == "/", F.lit(r"^(.+)/([A-Za-z][A-Za-z0-9_-]*)$")).otherwise(F.lit(r"^(.+)_([A-Z0-9$-]+)$")), 1)
-    pos = lambda x: F.regexp_extract(x, F.when(split_at == "/", F.lit(r"^(.+)/([A-Za-z][A-Za-z0-9_-]*)$")).otherwise(F.lit(r"^(.+)_([A-Z0-9$-]+)$")), 2)
-    found = F.filter(F.transform("items", lambda x: F.struct(word(x).alias("word"), pos(x).alias("pos"))), lambda t: t["word"] != "")
-    rows = rows.withColumn("tokens", found).withColumn("skipped", F.size("items") - F.size("tokens")).where(F.size("tokens") > 0)
+    rows = rows.withColumn("items", F.filter(F.split(X.compact(F.regexp_replace("line", "<[^>]*>", " ")), " "), lambda x: x != ""))
+
+    def parsed(pattern: str):
+        cut = F.transform("items", lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("word"), F.regexp_extract(x, pattern, 2).alias("pos")))
+        return F.filter(cut, lambda t: t["word"] != "")
+
+    rows = rows.withColumn("tokens", F.when(F.col("language") == "zh", parsed(ZH_TAGGED)).otherwise(parsed(EN_TAGGED)))
+    rows = rows.withColumn("skipped", F.size("items") - F.size("tokens")).where(F.size("tokens") > 0)
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("p", "l"))
-    joiner = F.when(F.col("language") == "zh", "").otherwise(" ")
-    sentence = F.concat_ws("", F.array_join(F.transform("tokens", lambda t: F.concat(t["word"], joiner)), ""))
-    return rows.select("document_id", (F.col("p") + 1).alias("paragraph_no"), number.alias("sentence_no"), "language", F.rtrim(sentence).alias("sentence"), "tokens", "skipped")
+    words = F.transform("tokens", lambda t: t["word"])
+    sentence = F.when(F.col("language") == "zh", F.array_join(words, "")).otherwise(F.array_join(words, " "))
+    return rows.select("document_id", (F.col("p") + 1).alias("paragraph_no"), number.alias("sentence_no"), "language", sentence.alias("sentence"), "tokens", "skipped")
 
 
 def _xml_units(text: str) -> list[dict]:
@@ -63,7 +66,7 @@ def _xml_units(text: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<paragraph_no:int,paragraph:string,sentences:array<string>>>")
+@F.pandas_udf(UNITS)
 def xml_units(text: pd.Series) -> pd.Series:
     """Paragraphs and marked sentences; a text that does not parse gives null."""
 
@@ -130,7 +133,7 @@ def align_lengths(a: list[int], b: list[int]) -> list[tuple[int, int, int, int,
     return out[::-1]
 
 
-@F.pandas_udf("array<struct<a_from:int,a_to:int,b_from:int,b_to:int,confidence:double>>")
+@F.pandas_udf(STEP_TYPE)
 def aligned_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("a_from", "a_to", "b_from", "b_to", "confidence"), x, strict=True)) for x in align_lengths(list(p), list(q))] for p, q in zip(a, b, strict=True)])
 

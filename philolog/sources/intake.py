@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed patterns of marks in files.
 CJK, LATIN = r"[一-鿿]", r"[A-Za-z]"
@@ -57,7 +58,7 @@ def decode_bytes(data: bytes) -> tuple[str, str]:
     return best[1:] if best else (data.decode("utf-8", "replace"), "utf-8-replace")
 
 
-@F.pandas_udf("struct<text:string,encoding:string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode_bytes(bytes(x or b"")) for x in content], columns=["text", "encoding"])
 
