@@ -183,12 +183,23 @@ class Encoder:
         new = self.known.missing(chunks)
         parts = list(map(pretokens, new))
         words = self.words.young
-        walked = self.bpe.walk(w.encode() for w in sorted(self.words.missing(set(chain.from_iterable(parts)))))
-        words |= {w.decode(): ids for w, ids in walked}
+        walked = self.walk(w.encode() for w in sorted(self.words.missing(set(chain.from_iterable(parts)))))
+        words |= {w.decode(): value for w, value in walked}
         known = self.known.young
         for chunk, own in zip(new, parts, strict=True):
-            known[chunk] = words[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(words.__getitem__, own)))
-        known |= {text: (i,) for text, i in self.bpe.added.items()}
+            known[chunk] = words[own[0]] if len(own) == 1 else self.joined([words[w] for w in own])
+        known |= {text: self.added(i) for text, i in self.bpe.added.items()}
+
+    def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, tuple]]:
+        return self.bpe.walk(words)
+
+    @staticmethod
+    def joined(values: list[tuple]) -> tuple:
+        return tuple(chain.from_iterable(values))
+
+    @staticmethod
+    def added(token: int) -> tuple:
+        return (token,)
 
     def chunks(self, text: str) -> list[str]:
         """Pieces that can be encoded apart; an added token's text is a piece of its own."""

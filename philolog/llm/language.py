@@ -56,7 +56,7 @@ def _count(batches):
                 for g in grams(word, n):
                     tables[n][g] += times
         for n, table in tables.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["lang", "length", "entry", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table), pa.string()), pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["lang", "length", "entry", "n"])
 
 
 @dataclass
