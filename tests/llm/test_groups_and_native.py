@@ -24,7 +24,7 @@ def smallest(ids, links):
             i = up[i]
         return i
 
-    for a, b in links:
+    for a, b in (x for x in links if x[0] != x[1]):
         a, b = sorted((find(a), find(b)))
         up[b] = a
     return {i: find(i) for i in ids}
@@ -169,7 +169,7 @@ def test_mixing(spark):
     sizes = {s: sum(len(words_of(t)) for _, t, x in rows if x == s) for s in sources}
     order = sorted((s for s in sources if s is not None)) + [None]
     wanted = filled(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
-    assert len(found) == len(rows) and sorted((r["doc_id"] or -1, r["size"]) for r in found) == sorted((i if i is not None else -1, len(words_of(t))) for i, t, _ in rows)
+    assert len(found) == len(rows) and sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"]) for r in found) == sorted((i if i is not None else -1, len(words_of(t))) for i, t, _ in rows)
     for s in sources:
         own = [r for r in found if r["source"] == s]
         assert all(r["target"] == pytest.approx(wanted[s]) and r["source_size"] == sizes[s] and 0 <= r["taken"] <= 2 * r["size"] for r in own)
