@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the text decoded from them."""
-    return encode_decode(docs, bpe_path()).drop("decoded")
+    return encode_decode(docs, bpe_path(), keep=("ids",))
 
 
 STAGES = [

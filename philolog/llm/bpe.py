@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -30,7 +31,7 @@ CHUNK = re.compile(r" (?=[^\s\x1c-\x1f])")
 #: Words, and chunks, whose ids a worker keeps at least.
 KEPT_WORDS = 150_000
 #: Bytes of text whose distinct chunks are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -228,8 +229,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(Bpe(path))
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = True) -> DataFrame:
-    """One row per row of docs: n_tokens, digests of the ids and of the text decoded from them, and, if kept, `ids` and `decoded`.
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per row of docs: n_tokens, digests of the ids and of the text decoded from them, and, as named in keep, `ids` and `decoded`.
 
     The file at vocabulary_path is opened on the executors. A null text counts as empty (no ids). Ids
     of documents may be null or repeated; other columns are not read.
@@ -239,9 +240,9 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         text_of = own.bpe.text_of
         for ids in own.encode(texts):
             decoded = own.bpe.decode(ids)
-            yield len(ids), hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((ids, decoded) if keep else ())
+            yield len(ids), hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *(np.array(ids, np.int32) if k == "ids" else decoded for k in keep)
 
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * keep
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(k, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k in keep]
 
     def run(batches):
         own = encoder(vocabulary_path)
@@ -252,5 +253,5 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 columns = zip(*rows(own, texts.slice(lo, hi - lo).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(list(c), k) for c, (_, k) in zip(columns, fields[1:], strict=True))], schema=pa.schema(fields))
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

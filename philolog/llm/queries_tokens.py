@@ -20,7 +20,7 @@ def bpe_path() -> str:
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe_path(), keep=False)
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe_path(), keep=())
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
