@@ -23,7 +23,8 @@ def sentence_table(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     base = base.withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
     base = base.withColumn("z", F.arrays_zip(F.col("s").alias("sentence"), F.col("t").alias("tokens"), F.when(F.size("n") > 0, X.running(F.col("n"))).otherwise(F.array().cast("array<long>")).alias("before"), F.when(F.size("n") > 0, X.running(F.transform("s", lambda x: (F.length(x) + 1).cast("long")))).otherwise(F.array().cast("array<long>")).alias("start")))
     length = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    base = base.select("document_id", "language", length.alias("document_length"), F.posexplode("z").alias("i", "z"))
+    # the outer form, as from the inner one the optimizer infers a filter that cuts every text once more
+    base = base.select("document_id", "language", length.alias("document_length"), F.posexplode_outer("z").alias("i", "z")).where("i is not null")
     return base.select("document_id", "language", (F.col("i") + 1).cast("long").alias("sentence_no"), "z.sentence", "z.tokens", F.col("z.before").alias("tokens_before"), "document_length", F.col("z.start").alias("stream_start"))
 
 
@@ -38,11 +39,11 @@ def token_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = rows.withColumn("gap", F.transform(gaps, F.length)).withColumn("long", F.zip_with("gap", "tokens", lambda g, t: (g + F.length(t)).cast("long")))
         rows = rows.withColumn("at", F.when(F.size("tokens") > 0, X.running(F.col("long"))).otherwise(F.array().cast("array<long>")))
         rows = rows.withColumn("z", F.arrays_zip(F.col("tokens").alias("t"), "gap", "at"))
-        rows = rows.select(*keep, "stream_start", F.size("tokens").cast("long").alias("sentence_length"), F.posexplode("z").alias("i", "z"))
+        rows = rows.select(*keep, "stream_start", F.size("tokens").cast("long").alias("sentence_length"), F.posexplode_outer("z").alias("i", "z")).where("i is not null")
         rows = rows.withColumn("surface", F.col("z.t")).withColumn("document_start", F.col("stream_start") + F.col("z.at") + F.col("z.gap"))
         rows = rows.withColumn("document_end", F.col("document_start") + F.length("surface"))
     else:
-        rows = rows.select(*keep, F.size("tokens").cast("long").alias("sentence_length"), F.posexplode("tokens").alias("i", "surface"))
+        rows = rows.select(*keep, F.size("tokens").cast("long").alias("sentence_length"), F.posexplode_outer("tokens").alias("i", "surface")).where("i is not null")
     position = (F.col("i") + 1).cast("long")
     return rows.select(
         "document_id", "language", "sentence_no", position.alias("sentence_position"), (F.col("tokens_before") + position).alias("stream_position"), "surface",
@@ -85,7 +86,7 @@ def windows(documents: DataFrame, n: int, language: str | None = None) -> DataFr
     rows = sentence_table(documents if language is None else documents.where(F.col("lang") == language)).where(F.size("tokens") >= n)
     # folding and testing are done once for each token, before runs are cut
     rows = rows.withColumn("folded", F.transform("tokens", X.casefold)).withColumn("marks", F.transform("tokens", X.is_punctuation))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("tokens") - n + 1)))
+    rows = rows.withColumn("i", F.explode_outer(F.sequence(F.lit(1), F.size("tokens") - n + 1)))
     cut = lambda c: F.slice(c, F.col("i"), F.lit(n))
     return rows.select("document_id", "language", "sentence_no", (F.col("tokens_before") + F.col("i")).alias("position"), cut("tokens").alias("surfaces"), cut("folded").alias("words"), F.array_contains(cut("marks"), True).alias("has_punctuation"))
 
