@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on, about; chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Trees, their depth, candidate thresholds of a statistic, least rows of a leaf.
-TREES, DEPTH, CUTS, LEAF = 24, 3, 16, 20
+#: Trees, their depth, candidate thresholds of a statistic; a leaf has a fiftieth of the rows, within these bounds.
+TREES, DEPTH, CUTS, LEAF = 24, 3, 16, (3, 20)
 #: Lasso penalty, steps of its solver.
 PENALTY, STEPS = 0.002, 400
 SEED = 10
@@ -93,11 +93,11 @@ class Model:
         return 1 / (1 + F.exp(-margin))
 
 
-def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, columns: list[int], depth: int, path: tuple, out: set[Rule]) -> None:
+def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, columns: list[int], depth: int, leaf: int, path: tuple, out: set[Rule]) -> None:
     if path:
         out.add(Rule(path))
     mean = y[rows].mean()
-    if depth == 0 or len(rows) < 2 * LEAF or mean in (0.0, 1.0):
+    if depth == 0 or len(rows) < 2 * leaf or mean in (0.0, 1.0):
         return
     best = None
     for k in columns:
@@ -105,7 +105,7 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray
         n = below.sum(0)
         s = (below * y[rows][:, None]).sum(0)
         other, rest = len(rows) - n, y[rows].sum() - s
-        fits = (n >= LEAF) & (other >= LEAF)
+        fits = (n >= leaf) & (other >= leaf)
         if fits.any():
             gain = np.where(fits, s**2 / np.maximum(n, 1) + rest**2 / np.maximum(other, 1), -1)
             i = int(gain.argmax())
@@ -116,17 +116,18 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray
     _, k, cut = best
     low = x[rows, k] <= cut
     for side in (True, False):
-        _grow(x, y, cuts, rows[low == side], columns, depth - 1, (*path, (k, side, cut)), out)
+        _grow(x, y, cuts, rows[low == side], columns, depth - 1, leaf, (*path, (k, side, cut)), out)
 
 
 def rules_of(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     """Paths of trees on halves of the rows and of the statistics."""
     draw, out = random.Random(SEED), set()
+    leaf = min(max(len(y) // 50, LEAF[0]), LEAF[1])
     cuts = [np.unique(np.round(np.quantile(x[:, k], np.linspace(0, 1, CUTS + 2)[1:-1]), 6)) for k in range(x.shape[1])]
     for _ in range(TREES):
         rows = np.array(sorted(draw.sample(range(len(y)), max(1, len(y) * 2 // 3))))
         columns = sorted(draw.sample(range(x.shape[1]), -(-x.shape[1] * 2 // 3)))
-        _grow(x, y, cuts, rows, columns, DEPTH, (), out)
+        _grow(x, y, cuts, rows, columns, DEPTH, leaf, (), out)
     return sorted(out, key=lambda r: (len(r.terms), r.terms))
 
 
