@@ -14,8 +14,9 @@ from philolog.operators import index
 from philolog.plans.query import split_terms
 
 JOINER = "\x1f"
-#: Fixed: canvas of a cloud.
-CLOUD_WIDTH, CLOUD_HEIGHT = 960, 540
+#: Fixed: canvas of a cloud and its margin; advance of radius and angle, turn of each term, flatness; width of a plain letter, height of a line; gaps beside and above; tries.
+CLOUD_WIDTH, CLOUD_HEIGHT, MARGIN = 960, 540, 16
+OUTWARD, TURN, OFFSET, FLAT, LETTER, LINE, GAP_X, GAP_Y, TRIES = 0.34, 0.48, 0.19, 0.56, 0.58, 1.12, 5, 4, 2600
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
@@ -147,16 +148,22 @@ def cloud_layout(terms: list[tuple[str, int, float]], palette: tuple[str, ...] =
     """Places terms (at most some hundreds) outward on an ellipse, each at the first free place; a term without one is left out."""
     boxes: list[tuple[float, float, float, float]] = []
     out = []
+
+    def free(box: tuple[float, float, float, float]) -> bool:
+        left, top, right, bottom = box
+        if min(left, top) < MARGIN or right > CLOUD_WIDTH - MARGIN or bottom > CLOUD_HEIGHT - MARGIN:
+            return False
+        return not any(left < r and l < right and top < b and t < bottom for l, t, r, b in boxes)  # noqa: E741
+
     for rank, (term, frequency, size) in enumerate(terms):
-        wide = sum(1.0 if unicodedata.east_asian_width(c) in "WFA" else 0.58 for c in term)
-        half_w, half_h = min(max(size, wide * size), CLOUD_WIDTH - 32) / 2 + 5, size * 0.56 + 4
-        for turn in range(2600):
-            angle, radius = turn * 0.48 + rank * 0.19, turn * 0.34
-            x, y = CLOUD_WIDTH / 2 + radius * math.cos(angle), CLOUD_HEIGHT / 2 + radius * 0.56 * math.sin(angle)
-            box = (x - half_w, y - half_h, x + half_w, y + half_h)
-            inside = box[0] >= 16 and box[1] >= 16 and box[2] <= CLOUD_WIDTH - 16 and box[3] <= CLOUD_HEIGHT - 16
-            if inside and all(box[2] <= b[0] or box[0] >= b[2] or box[3] <= b[1] or box[1] >= b[3] for b in boxes):
-                boxes.append(box)
-                out.append({"term": term, "frequency": frequency, "font_size": size, "x": round(x, 2), "y": round(y, 2), "color": palette[rank % len(palette)]})
-                break
+        letters = sum(1.0 if unicodedata.east_asian_width(c) in "WFA" else LETTER for c in term)
+        across = min(max(size, letters * size), CLOUD_WIDTH - 2 * MARGIN) / 2 + GAP_X
+        down = size * LINE / 2 + GAP_Y
+        path = ((OUTWARD * k, TURN * k + OFFSET * rank) for k in range(TRIES))
+        spots = ((CLOUD_WIDTH / 2 + r * math.cos(w), CLOUD_HEIGHT / 2 + FLAT * r * math.sin(w)) for r, w in path)
+        spot = next(((x, y) for x, y in spots if free((x - across, y - down, x + across, y + down))), None)
+        if spot:
+            x, y = spot
+            boxes.append((x - across, y - down, x + across, y + down))
+            out.append({"term": term, "frequency": frequency, "font_size": size, "x": round(x, 2), "y": round(y, 2), "color": palette[rank % len(palette)]})
     return out
