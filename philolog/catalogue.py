@@ -46,7 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    """A table of fewer splits than four for each core (one small file may be one row group) is dealt out, so that all cores cut texts."""
+    rows, cores = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(cores)
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
