@@ -125,6 +125,22 @@ def test_automaton_equals_dictionaries(spark, corpus, monkeypatch):
     assert better > len(corpus) / 2
 
 
+@pytest.mark.parametrize("frequent", [2e-6, 2e-3, 1.0])
+def test_seldom_ngrams_are_kept_in_large_corpora(spark, monkeypatch, frequent):
+    """A phrase said five times is in the model however many other tokens there are, broadcast or joined."""
+    monkeypatch.setattr(automaton, "FREQUENT", frequent, raising=False)
+    for name in ("PAIR_SHARE", "TRIPLE_SHARE", "NGRAM_SHARE"):
+        assert getattr(automaton, name) * 1e12 <= automaton.LEAST_COUNT
+    draw = random.Random(12)
+    texts = ["blue moon rising"] * 5 + [" ".join(draw.choice("abcdefgh") for _ in range(400)) for _ in range(300)] + ["blue moon a", "moon rising unseen", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scored = {r["doc_id"]: r for r in automaton.score_texts(frame, F.col("doc_id") < 305).collect()}
+    for i, (n, known, total, base, score) in enumerate(brute_lm(texts[:305], texts)):
+        r = scored[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
