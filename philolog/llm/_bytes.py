@@ -101,9 +101,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(mix(h), np.searchsorted(starts, offsets).astype(np.int64))
 
 
-def word_blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words) for each block of a text column."""
     data, offsets = utf8(column)
-    for lo, hi in blocks(offsets):
+    for lo, hi in blocks(offsets, limit):
         at = offsets[lo : hi + 1]
         yield lo, hi, words(data[at[0] : at[-1]], at - at[0])
