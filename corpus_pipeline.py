@@ -21,6 +21,10 @@ from philolog.llm.queries_tokens import bpe_path
 from philolog.llm.shingle_join import shingle_groups
 
 
+#: Words of a shingle, and the least similarity of two near copies in percent.
+WIDTH, PERCENT = 5, 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It is fitted on labelled documents of the input."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -33,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id stay, but for exact copies of one another.
     """
-    groups = shingle_groups(docs)
+    groups = shingle_groups(docs, width=WIDTH, percent=PERCENT)
     first = groups.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
     named = docs.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)

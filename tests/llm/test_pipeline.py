@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, and what each must leave."""
 
 import hashlib
+import random
 import re
 
 import corpus_pipeline
@@ -52,6 +53,21 @@ def test_one_of_each_group_stays(steps):
     assert not any(sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for k, a in enumerate(ids) for b in ids[:k])
 
 
+def test_near_copies_by_five_words_at_80_percent(spark):
+    """Copies with a fifth of their text appended go too, by brute force over shingles of five words."""
+    draw = random.Random(9)
+    texts = []
+    for size in (10, 18, 22, 25, 27, 60):
+        base = [f"w{draw.randrange(3000)}" for _ in range(104)]
+        texts += [base, base + [f"x{draw.randrange(3000)}" for _ in range(size)]]
+    texts.append([*texts[0][:50], "edit", *texts[0][51:]])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    frame = spark.createDataFrame([(i, " ".join(t), "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()}
+    assert {i for i, _ in links} == {1, 3, 5, 7, 12} and kept == set(range(len(texts))) - {i for i, _ in links}
+
+
 def test_columns_and_rows(steps):
     names = steps[0].columns
     assert all(s.columns == names for s in steps[1:5])
