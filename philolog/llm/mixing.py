@@ -4,7 +4,8 @@ Sizes are words. Each source is one stream of its documents, cut into blocks of
 shorter tail. A source's target sets how many slots it has in the mix. Each slot is drawn into one
 output shard, so the source counts of the shards are multinomial, given the totals that the targets
 fix. Slot k of a source takes the block at index p(k) of a pseudorandom permutation (a new one each
-time all blocks have been taken), and slots meet blocks in a join by index.
+time all blocks have been taken), and slots meet blocks in a join by index. Documents' words are cut
+at the blocks' borders, and their pieces joined to the slots are the texts of the mix.
 
 The permutation is swap-or-not: a round reflects an index at a random point if a hash of the higher
 one of the two says so. Each round maps [0, n) onto itself, so nothing has to be sorted or stored.
@@ -46,17 +47,45 @@ def permuted(k: Column, n: Column, *key: Column) -> Column:
 class Mix:
     """sources: a row per source, with `src` (its place), sizes, target and slots. rows: a row per
     document, with src and start (its place in the stream). slots: src, index (of a block), words
-    (taken, from the block's start), shard. taken: rows with the words that the mix takes."""
+    (taken, from the block's start), shard. taken: rows with the words that the mix takes. pieces: of
+    rows with words, the parts of each that lie in one block or in the tail:
+    n (place within the row), index (null for the tail), low (place in the block or tail), text,
+    n_words, full (times it is taken whole) and part (its first words that are taken once more).
+    texts: a row per document with its text; `row` names it everywhere."""
 
     sources: DataFrame
     rows: DataFrame
     slots: DataFrame
     taken: DataFrame
+    pieces: DataFrame
+    texts: DataFrame
 
     def shard_counts(self) -> DataFrame:
         return self.slots.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("slots"))
 
 
+    def blocks(self) -> DataFrame:
+        """The mix itself: src, slot, shard, n_words and text of each slot, and of each source's tail as often as it is taken."""
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "row", "cut"))), lambda p: F.rtrim(p["cut"])), "\n")
+        whole = self.pieces.where("index is not null").join(self.slots.hint("merge"), ["src", "index"])
+        whole = whole.withColumn("cut", first_words(F.col("text"), F.col("words") - F.col("low"))).where("words > low")
+        tails = self.sources.where("tail > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("tail")).otherwise(F.col("tail_part")))
+        tails = tails.where("words > 0").select("src", (-1 - F.col("epoch")).alias("slot"), "words", F.pmod(F.xxhash64(F.lit(SEED + 2), "src", -1 - F.col("epoch")), "shards").alias("shard"))
+        rest = self.pieces.where("index is null").join(F.broadcast(tails), "src").withColumn("cut", first_words(F.col("text"), F.col("words") - F.col("low"))).where("words > low")
+        columns = ["src", "slot", "shard", "words", "low", "row", "cut"]
+        return whole.select(*columns).unionByName(rest.select(*columns)).groupBy("src", "slot", "shard").agg(F.max("words").alias("n_words"), joined.alias("text"))
+
+
+#: A word with the space after it.
+SPACED = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """text, or its first n words if it has more."""
+    words = F.regexp_extract_all(text, F.lit(SPACED), F.lit(0))
+    return F.when(n < F.col("n_words"), F.array_join(F.slice(words, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")).otherwise(text)
+
+
 def _targets(sizes: DataFrame) -> DataFrame:
     """sizes: source, source_size, n_rows. Adds src, weight and target.
 
@@ -92,15 +121,19 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     return slots.withColumn("epoch", epoch).select("src", "slot", index.alias("index"), words.alias("words"), shard.alias("shard"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK) -> Mix:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, carry: bool = False) -> Mix:
     """Plans the mix of all rows of docs.
 
     A null text has size 0 and is never taken; a null source is a source of its own, after all
     others. Ids may be null or repeated: each row has its own place in its source's stream, by a hash
-    of the id. With no words at all every target is 0. Reruns give the same mix.
+    of the id. With no words at all every target is 0. Reruns give the same mix. With `carry`,
+    `texts` have the whole row of docs as `_row`.
     """
     checkpoints(docs.sparkSession)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")).checkpoint()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = [F.struct(*docs.columns).alias("_row")] if carry else []
+    texts = docs.select(*kept, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), text.alias("text"), F.monotonically_increasing_id().alias("row")).checkpoint()
+    sized = texts.select("row", "doc_id", "source", "size")
     targets = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
     wanted = F.floor(F.col("target")).cast("long")
     sources = (
@@ -117,43 +150,59 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # places in the streams: a prefix sum over groups of rows, then one within each group
     known = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rows = known.select("d.doc_id", "d.size", F.col("s.source").alias("source"), "src", "source_size", "target", "epochs", "blocks", "tail_part", "n_rows")
+    rows = known.select("d.row", "d.doc_id", "d.size", F.col("s.source").alias("source"), "src", "source_size", "target", "epochs", "blocks", "tail_part", "n_rows")
     rows = rows.withColumn("mark", F.xxhash64("doc_id", F.lit(SEED + 3))).withColumn("part", F.pmod("mark", F.expr(f"n_rows div {ROWS_AT_ONCE} + 1")))
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("src", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("src", "part").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "part").orderBy("mark", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["src", "part"])
-    rows = rows.withColumn("start", F.col("offset") + F.col("inner")).drop("part", "mark", "inner", "offset", "n_rows")
+    rows = rows.withColumn("start", F.col("offset") + F.col("inner")).drop("part", "mark", "inner", "offset", "n_rows").checkpoint()
 
     slots = _slots(sources, block)
     takes = slots.groupBy("src", "index").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("part"))
     end = F.col("start") + F.col("size")
-    last = F.least(end, F.col("blocks") * block) - 1
-    pieces = rows.withColumn("index", F.explode_outer(F.when((F.col("size") > 0) & (last >= F.col("start")), F.sequence(F.expr(f"start div {block}"), F.floor(last / block)))))
-    low = F.greatest("start", F.col("index") * block) - F.col("index") * block
-    high = F.least(end, (F.col("index") + 1) * block) - F.col("index") * block
-    of_block = (high - low) * F.coalesce("full", F.lit(0)) + F.greatest(F.lit(0), F.least(high, F.coalesce("part", F.lit(0))) - low)
     edge = F.col("blocks") * block
-    cut = F.greatest(F.lit(0), end - F.greatest("start", edge))
-    of_tail = cut * F.col("epochs") + F.when(cut > 0, F.greatest(F.lit(0), F.least(end, edge + F.col("tail_part")) - F.greatest("start", edge))).otherwise(0)
-    row = ["src", "start", "doc_id", "source", "size", "source_size", "target"]
-    taken = pieces.join(takes.hint("merge"), ["src", "index"], "left").withColumn("of_block", F.coalesce(of_block, F.lit(0))).withColumn("of_tail", of_tail)
-    # rows without words share their start with others: equal ones are told apart by their number
-    taken = taken.groupBy(*row).agg((F.sum("of_block") + F.max("of_tail")).cast("long").alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("empty"))
-    taken = taken.withColumn("empty", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("empty")).cast("int")))).drop("empty")
-    return Mix(sources, rows, slots, taken)
+    # borders within a row, as places of its words: the blocks', and that of the tail
+    places = rows.where("size > 0").withColumn("end", F.greatest("start", F.least(end, edge)))
+    spans = F.when(F.col("end") > F.col("start"), F.transform(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}")), lambda i: F.struct(i.alias("index"), F.greatest(F.col("start"), i * block).alias("from"), F.least(F.col("end"), (i + 1) * block).alias("to"))))
+    tail = F.when(end > edge, F.array(F.struct(F.lit(None).cast("long").alias("index"), F.greatest("start", edge).alias("from"), end.alias("to"))))
+    none = F.array().cast("array<struct<index:bigint,from:bigint,to:bigint>>")
+    places = places.select("row", "src", "start", "blocks", "epochs", "tail_part", F.concat(F.coalesce(spans, none), F.coalesce(tail, none)).alias("spans"))
+    cut = texts.join(places.hint("merge"), "row").withColumn("_words", F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))
+    # what is exploded has one piece a row: the words are zipped in, not carried along
+    parts_of = F.transform(
+        F.arrays_zip(F.col("spans"), F.transform("spans", lambda p: F.slice(F.col("_words"), (p["from"] - F.col("start") + 1).cast("int"), (p["to"] - p["from"]).cast("int"))).alias("words")),
+        lambda z: F.struct(z["spans"]["index"].alias("index"), z["spans"]["from"].alias("from"), (z["spans"]["to"] - z["spans"]["from"]).alias("n_words"), F.array_join(z["words"], "").alias("text")),
+    )
+    low = F.when(F.col("p.index").isNull(), F.col("p.from") - edge).otherwise(F.col("p.from") - F.col("p.index") * block)
+    pieces = cut.withColumn("_parts", parts_of).select("row", "src", "epochs", "tail_part", "blocks", F.posexplode("_parts").alias("n", "p"))
+    pieces = pieces.select("row", "src", "epochs", "tail_part", "n", "p.index", low.alias("low"), "p.n_words", "p.text")
+    pieces = pieces.join(takes.hint("merge"), ["src", "index"], "left")
+    full = F.when(F.col("index").isNull(), F.col("epochs")).otherwise(F.coalesce("full", F.lit(0)))
+    reach = F.when(F.col("index").isNull(), F.col("tail_part")).otherwise(F.coalesce("part", F.lit(0)))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("n_words"), reach - F.col("low")))
+    pieces = pieces.select("row", "src", "n", "index", "low", "n_words", "text", full.alias("full"), part.alias("part"))
+    sums = pieces.groupBy("row").agg(F.sum(F.col("full") * F.col("n_words") + F.col("part")).alias("taken"))
+    taken = rows.join(sums.hint("merge"), "row", "left").select("src", "start", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return Mix(sources, rows, slots, taken, pieces, texts)
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows of docs, each as often as the mix takes it: its whole share, and once more with the odds of what is left of it.
+    """Rows of docs with the words that the mix takes of each: first what is taken at all, then what is taken again.
 
-    Documents stay whole, so a source's words meet its target on average. Columns are those of docs.
+    A row's words come in their order, those that are taken twice once more after them, so each source
+    meets its target to a word. Rows are told apart by their place in the input, not by their ids; one
+    of which nothing is taken goes. Columns are those of docs.
     """
-    share = F.col("taken") / F.col("size")
-    odds = F.pmod(F.xxhash64(F.lit(SEED + 4), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    times = mix_sources(docs, id_col, text_col, source_col).taken.where("size > 0").withColumn("times", F.floor(share) + F.when(odds < share - F.floor(share), 1).otherwise(0))
-    # repeated ids share their mean
-    times = times.groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg("times")).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("_id")))
-    return joined.where(n_words(F.col(text_col)) > 0).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    mix = mix_sources(docs, id_col, text_col, source_col, carry=True)
+    times = F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0)
+    takes = mix.pieces.where("full > 0 or part > 0").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    takes = takes.select("row", "time", "n", F.when(F.col("time") <= F.col("full"), F.col("text")).otherwise(first_words(F.col("text"), F.col("part"))).alias("cut"))
+    # pieces that follow each other join as they were; else a line ends between them
+    ordered = F.array_sort(F.collect_list(F.struct("time", "n", "cut")))
+    mixed = takes.groupBy("row").agg(ordered.alias("_cuts"))
+    spaced = F.transform("_cuts", lambda c: F.when(c["cut"].rlike(r"[\x20\x09-\x0D]$"), c["cut"]).otherwise(F.concat(c["cut"], F.lit("\n"))))
+    text = F.regexp_replace(F.array_join(spaced, ""), r"\n$", "")
+    joined = mix.texts.join(mixed.hint("merge"), "row")
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -190,6 +190,21 @@ def test_mixed_documents(spark):
     assert found.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mixed_blocks_hold_the_words(spark):
+    """Every slot has its words as text, cut from the documents; one long document meets its target to a word."""
+    rows = [(None, " ".join(f"a{i}" for i in range(5003)), "a"), (None, "b0 b1\tb2\n", "b"), (None, " ".join(f"c{i}" for i in range(700)), "c"), (4, "  ", "c"), (5, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_sources(frame, block=16)
+    blocks, targets = mix.blocks().collect(), {r["src"]: r for r in mix.sources.collect()}
+    words = {src: [w for b in blocks if b["src"] == src for w in words_of(b["text"])] for src in targets}
+    assert all(len(words_of(b["text"])) == b["n_words"] for b in blocks) and len({(b["src"], b["slot"]) for b in blocks}) == len(blocks)
+    assert {s: len(w) for s, w in words.items()} == {s: int(r["target"]) for s, r in targets.items()}
+    assert all(max((w.count(x) for x in w), default=0) <= 2 for w in words.values())
+    mixed = {r["source"]: words_of(r["text"]) for r in mixing.mix_documents(frame).collect()}
+    assert {s: len(w) for s, w in mixed.items()} == {r["source"]: int(r["target"]) for r in targets.values() if r["target"] > 0}
+    assert all(set(w) <= set(words_of(t)) for _, t, s in rows for w in [mixed.get(s, [])] if t and t.strip())
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 64, 1000):
         images = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"))).collect()]
