@@ -1,11 +1,12 @@
 """Personal data in texts, in DataFrame functions alone.
 
-Four kinds have base patterns whose spans are always reported. Beside them, broad generators propose
-spans (anything round an @, long runs of digits and separators) that may overlap with those. Boosted
-trees over features of a proposal's format and of its context give it a margin, and those at or above
-a calibrated margin are added. The trees are fitted to whether a proposal is of a base kind, on counts
-of feature combinations over all documents, and calibrated on documents kept apart; so they add spans
-that look like personal data in all but what the base patterns are strict about.
+Four kinds have base patterns whose spans are always reported. Beside them, one broad generator a kind
+proposes spans (anything round an @, runs of digits and separators), so proposals overlap. Boosted
+trees of each kind over features of a proposal's format and of its context give it a margin, and those
+at or above the kind's calibrated margin are added, unless a base span covers them. Labels are weak: a
+base match, or the kind's usual size and grouping with a cue near by. The trees don't see the feature
+that the base pattern is strict about. They are fitted on counts of feature combinations over all
+documents, and calibrated on documents kept apart.
 """
 
 from __future__ import annotations
@@ -26,11 +27,23 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What the generators propose.
-PROPOSALS = r"(?<![^\s@])[^\s@]++@[^\s@]++|[+(]?[0-9](?:[\x20().\-]{0,3}[0-9])++"
+#: What the generators propose. Marks at a span's ends are not part of it.
+PROPOSALS = {
+    "email": r"(?<![^\s@<>(),;:\"'\[\]])[^\s@<>(),;:\"'\[\]]++@[^\s@<>(),;:\"'\[\]]*[\p{L}0-9]",
+    "ip": r"(?<![0-9.])[0-9]++(?:[.:,][0-9]++){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[\x20.\-]{0,2}[0-9])++",
+    "phone": r"(?<![0-9+(])[+(]{0,2}[0-9](?:[\x20().\-/]{0,3}[0-9])++",
+}
 #: Fixed: lower-case words that announce personal data.
-CUES = r"(?:mail|contact|phone|tel|call|fax|mobile|card|visa|credit|account|address|server|host|ip)\W{0,3}$"
-#: Boosting rounds, share of proposals above the margin that must be of a base kind, characters before a proposal that are looked at.
+CUES = {
+    "email": r"(?:mail|contact|write to|address)\W{0,3}(?:(?:is|at|me|us)\W{1,3})?$",
+    "ip": r"(?:\bip|address|server|host)\W{0,3}(?:(?:is|at)\W{1,3})?$",
+    "card": r"(?:card|visa|credit|mastercard)\W{0,3}(?:(?:number|no|is)\W{1,3})?$",
+    "phone": r"(?:contact|phone|\btel|telephone|\bcall|\bfax|mobile|\bcell)\W{0,3}(?:(?:number|no|is|at|me|us)\W{1,3})?$",
+}
+#: What a kind's base pattern is strict about, which its trees don't see.
+HIDDEN = {"email": ("domain",), "ip": ("octets",), "card": ("luhn",), "phone": ("plus",)}
+#: Boosting rounds, share of proposals above the margin that must be labelled, characters before a proposal that are looked at.
 ROUNDS, PRECISION, BEFORE = 15, 0.98, 24
 #: Array entries that are summed at once.
 CHUNK = 256
@@ -105,13 +118,20 @@ def _with_added(kind: str) -> Column:
     return _in_order(F.array_union(F.col(kind), F.filter("added", lambda s: s["kind"] == kind)))
 
 
-def _kind_of(x: Column) -> Column:
-    """The base kind that a whole proposal is of, or null."""
-    whole = {k: x.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    out = F.lit(None).cast("string")
-    for kind in reversed(KINDS):
-        out = F.when(F.when(whole[kind], _valid(kind, x)).otherwise(False), kind).otherwise(out)
-    return out
+def _usual(kind: str, x: Column) -> Column:
+    """Whether a proposal has the size and grouping that its kind usually has, strict or not."""
+    n = F.length(digits_of(x))
+    return {
+        "email": x.rlike(r"^[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*$"),
+        "ip": x.rlike(r"^[0-9]{1,3}(?:[.:,][0-9]{1,3}){3}$"),
+        "card": n.between(13, 19) & x.rlike(r"^[0-9]{4}(?:([\x20.-]?)[0-9]{2,6}){2,4}$"),
+        "phone": n.between(7, 15) & x.rlike(r"^[+(]{0,2}[0-9]{1,4}(?:[\x20().\-/]{1,3}[0-9]{2,4}){1,5}$"),
+    }[kind]
+
+
+def _base(kind: str, x: Column) -> Column:
+    """Whether a whole proposal is a base match of its kind."""
+    return F.when(x.rlike(f"^(?:{PATTERNS[kind]})$"), _valid(kind, x)).otherwise(False)
 
 
 def _class_of(c: Column) -> Column:
@@ -119,7 +139,7 @@ def _class_of(c: Column) -> Column:
     return F.when((F.length(c) == 0) | c.rlike(r"^\s"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
-def _features(c: Column) -> Column:
+def _features(kind: str, c: Column) -> Column:
     x, digits = c["text"], digits_of(c["text"])
     n = F.length(digits)
     binned = F.lit(len(DIGIT_BINS))
@@ -138,11 +158,21 @@ def _features(c: Column) -> Column:
         "octets": F.when(dots == 3, octets(x)).otherwise(False).cast("int"),
         "letters": F.when(letters == 0, 0).when(letters < 4, 1).otherwise(2),
         "domain": x.rlike(r"@[A-Za-z0-9-]+\.[A-Za-z0-9]").cast("int"),
-        "cue": F.lower(c["gap"]).rlike(CUES).cast("int"),
+        "cue": F.lower(c["gap"]).rlike(CUES[kind]).cast("int"),
         "before": _class_of(F.substring(c["gap"], -1, 1)),
         "after": _class_of(c["next"]),
     }
-    return F.struct(x.alias("text"), c["start"].alias("start"), c["end"].alias("end"), _kind_of(x).alias("kind"), *(values[k].cast("int").alias(k) for k in NAMES))
+    return F.struct(x.alias("text"), c["start"].alias("start"), c["end"].alias("end"), F.lit(kind).alias("kind"), (_base(kind, x) | (_usual(kind, x) & (values["cue"] == 1))).cast("int").alias("y"), *(values[k].cast("int").alias(k) for k in NAMES))
+
+
+def _proposed(kind: str) -> Column:
+    """Matches in the column _p with enough digits for the kind, with their features."""
+    least = {"email": 0, "ip": 4, "card": 13, "phone": 7}[kind]
+    return F.transform(F.filter("_p", lambda c: F.length(digits_of(c["text"])) >= least), lambda c: _features(kind, c))
+
+
+def _chosen(kind: str, names: list[str], prior: float, trees: list, least: float) -> Column:
+    return F.filter("proposed", lambda c: F.when(c["kind"] == kind, boosting.margin_column([c[k] for k in names], prior, trees) >= least).otherwise(False))
 
 
 def _line(spans: Column) -> Column:
@@ -163,28 +193,27 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for kind in KINDS:
         work = _found(work, kind, PATTERNS[kind], able[kind])
         work = work.withColumn(kind, _kept(kind))
-    work = _found(work, "proposed", PROPOSALS, at | figure)
-    work = work.withColumn("proposed", F.transform(F.filter("proposed", lambda c: c["text"].contains("@") | (F.length(digits_of(c["text"])) >= 7)), _features))
-    work = work.drop("text").checkpoint()
+    able = {"email": at, "ip": figure & F.col("text").rlike("[.:,][0-9]"), "card": figure, "phone": figure}
+    for kind in KINDS:
+        work = _found(work, "_p", PROPOSALS[kind], able[kind])
+        work = work.withColumn(f"_of_{kind}", _proposed(kind)).drop("_p")
+    work = work.withColumn("proposed", F.concat(*[f"_of_{k}" for k in KINDS])).drop("text", *[f"_of_{k}" for k in KINDS]).checkpoint()
 
     # as many rows as there are combinations of features: the product of their bins at most
     apart = (F.pmod(F.crc32(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")), F.lit(5)) == 0).alias("apart")
-    cells = work.where(F.size("proposed") > 0).select(apart, F.explode("proposed").alias("c")).select("apart", *[F.col(f"c.{k}") for k in NAMES], F.col("c.kind").isNotNull().cast("int").alias("y"))
-    cells = cells.groupBy("apart", *NAMES).agg(F.sum("y").alias("positive"), F.sum(1 - F.col("y")).alias("negative")).orderBy("apart", *NAMES).collect()
-    table = {part: [boosting.Cell(tuple(r[k] for k in NAMES), r["positive"], r["negative"]) for r in cells if r["apart"] == part] for part in (False, True)}
-    prior, trees = boosting.fit(table[False], ROUNDS) if table[False] else (0.0, [])
-    least = boosting.calibrated(table[True], prior, trees, PRECISION) if trees else None
-
-    def chosen(c: Column) -> Column:
-        if least is None:
-            return F.lit(False)
-        return c["kind"].isNull() & (boosting.margin_column([c[k] for k in NAMES], prior, trees) >= least)
-
-    def named(c: Column) -> Column:
-        kind = F.when(c["at"] == 1, "email").when(c["octets"] == 1, "ip").when(c["luhn"] == 1, "card").otherwise("phone")
-        return F.struct(kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-
-    work = work.withColumn("added", F.transform(F.filter("proposed", chosen), named)).withColumn("base", F.concat(*KINDS))
+    cells = work.where(F.size("proposed") > 0).select(apart, F.explode("proposed").alias("c")).select("apart", "c.kind", *[F.col(f"c.{k}") for k in NAMES], "c.y")
+    cells = cells.groupBy("apart", "kind", *NAMES).agg(F.sum("y").alias("positive"), F.sum(1 - F.col("y")).alias("negative")).orderBy("apart", "kind", *NAMES).collect()
+    added = []
+    for kind in KINDS:
+        seen = [k for k in NAMES if k not in HIDDEN[kind]]
+        table = {part: [boosting.Cell(tuple(r[k] for k in seen), r["positive"], r["negative"]) for r in cells if r["kind"] == kind and r["apart"] == part] for part in (False, True)}
+        prior, trees = boosting.fit(table[False], ROUNDS) if table[False] else (0.0, [])
+        least = boosting.calibrated(table[True], prior, trees, PRECISION) if trees else None
+        if least is not None:
+            added.append(_chosen(kind, seen, prior, trees, least))
+    work = work.withColumn("base", F.concat(*KINDS))
+    spans = F.transform(F.concat(*added), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))) if added else F.slice("base", F.lit(1), F.lit(0))
+    work = work.withColumn("added", F.filter(spans, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     by_kind = [_with_added(k) for k in KINDS]
     work = work.withColumn("found", F.concat(*by_kind))
     return work.select(*(["_row"] if keep_text else []), "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.col("found")).alias("spans"), "found")

@@ -239,6 +239,17 @@ def test_personal_data(spark):
         assert set(wanted) <= set(spans) and spans == sorted(spans, key=lambda s: (list(PATTERNS).index(s[0]), s[1], s[2]))
 
 
+def test_phones_without_plus_are_added(spark):
+    """Numbers outside the base pattern are found where a cue announces them; plain figures stay."""
+    draw = random.Random(14)
+    n = lambda k: "".join(draw.choice("123456789") for _ in range(k))
+    texts = [f"please call ({n(3)}) {n(3)}-{n(4)}, thanks" for _ in range(150)] + [f"phone: {n(3)}-{n(3)}-{n(4)}." for _ in range(150)] + [f"reach us +1 ({n(3)}) {n(3)}-{n(4)} now" for _ in range(150)]
+    texts += [f"the total of {n(9)} units in lot {n(4)}.{n(5)} was sold" for _ in range(300)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[i] == "phone:12:26" for i in range(150)) and all(found[i] == "phone:7:19" for i in range(150, 300))
+    assert not any(found[i] for i in range(450, 750))
+
+
 def test_long_runs_take_linear_time(spark):
     texts = ["a" * 100_000, "1" * 100_000, "a@b" + ".c" * 20_000, "1.2.3.4 " * 8000, "+1" + " 2" * 20_000, "x@ " * 20_000]
     rows = {r["doc_id"]: r for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
