@@ -15,14 +15,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are taken apart at once; a longer text is taken alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes that are hashed at once: what is held beside the texts and their words is a fixed multiple of it.
+WINDOW = 128 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(base: int) -> np.ndarray:
+    """Powers 0 .. WINDOW of a number, modulo 2^64."""
+    steps = np.full(WINDOW + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,17 +47,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets between them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,26 +79,53 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
+def _finished(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """All words of the texts data[offsets[i]:offsets[i+1]]; offsets[0] is 0."""
+    """All words of the texts data[offsets[i]:offsets[i+1]]; offsets[0] is 0.
+
+    The bytes are hashed window by window; a word that a window's end cuts is put together again.
+    """
     n = len(data)
-    if not n:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    inner = ~_SPACE[data]
-    first = inner.copy()
-    first[1:] &= ~inner[:-1]
-    last = inner.copy()
-    last[:-1] &= ~inner[1:]
-    edges = offsets[(offsets > 0) & (offsets < n)]
-    first[edges] |= inner[edges]
-    last[edges - 1] |= inner[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power_table(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return Words(mix(h), np.searchsorted(starts, offsets).astype(np.int64))
+    before, done, out = np.zeros(len(offsets), np.int64), 0, []
+    open_sum, open_length = 0, 0
+    for lo in range(0, n, WINDOW):
+        hi = min(lo + WINDOW, n)
+        inner = ~_SPACE[data[lo:hi]]
+        first, last = inner.copy(), inner.copy()
+        first[1:] &= ~inner[:-1]
+        last[:-1] &= ~inner[1:]
+        edges = offsets[np.searchsorted(offsets, lo, "left") : np.searchsorted(offsets, hi, "left")] - lo
+        fresh = bool(len(edges)) and edges[0] == 0
+        edges = edges[edges > 0]
+        first[edges] |= inner[edges]
+        last[edges - 1] |= inner[edges - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_VALUE[data[lo:hi]] * _POWER[: hi - lo], out=sums[1:])
+        sums, lengths = (sums[ends] - sums[starts]) * _INVERSE[starts], ends - starts
+        if open_length:
+            if inner[0] and not fresh:
+                # the open word goes on: its start lies before this window, so it isn't counted here
+                sums[0] = np.uint64((open_sum + pow(_BASE, open_length, 2**64) * int(sums[0])) % 2**64)
+                lengths[0] += open_length
+                starts = starts[1:]
+            else:
+                out.append(_finished(np.array([open_sum], np.uint64), np.array([open_length])))
+            open_length = 0
+        inside = slice(np.searchsorted(offsets, lo, "left"), np.searchsorted(offsets, hi, "left"))
+        before[inside] = done + np.searchsorted(starts, offsets[inside] - lo, "left")
+        done += len(starts)
+        if hi < n and inner[-1]:
+            open_sum, open_length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        out.append(_finished(sums, lengths))
+    if open_length:
+        out.append(_finished(np.array([open_sum], np.uint64), np.array([open_length])))
+    before[offsets >= n] = done
+    return Words(np.concatenate(out) if out else np.zeros(0, np.uint64), before)
 
 
 def word_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:

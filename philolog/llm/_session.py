@@ -8,8 +8,18 @@ from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: spark.checkpoint.dir, or its own where that is unset (one machine)."""
+    """The checkpoint folder of the session: spark.checkpoint.dir. Where that is unset, one of its own on a single machine, and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this session wrote, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -28,10 +28,10 @@ from philolog.llm import _bytes
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A pre-token never spans a space that stands before a visible character.
 CHUNK = re.compile(r" (?=[^\s\x1c-\x1f])")
-#: Words, and chunks, whose ids a worker keeps at least.
-KEPT_WORDS = 150_000
-#: Bytes of text whose distinct chunks are encoded together.
-BATCH_BYTES = 2 << 20
+#: Words, and chunks, whose ids a worker keeps at least; pairs of tokens that it knows about.
+KEPT_WORDS, KEPT_PAIRS = 60_000, 300_000
+#: Bytes of text whose distinct chunks are encoded together, and characters of a long text that are encoded at once.
+BATCH_BYTES, PART = 2 << 20, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,7 +97,7 @@ class Bpe:
                     before, a = a, self.parts[a][1]
                 else:
                     break
-        if len(self.may) > 2_000_000:
+        if len(self.may) > KEPT_PAIRS:
             self.may.clear()
         self.may[left << 32 | right] = fits
         return fits
@@ -175,6 +175,7 @@ class Encoder:
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
+        self.cuttable = not any(CHUNK.search(x) for x in bpe.added)
         self.words, self.known = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
 
     def learn(self, chunks: set[str]) -> None:
@@ -215,6 +216,14 @@ class Encoder:
                 out += [" " + x for x in rest]
         return out
 
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in parts that can be encoded apart: cut where a chunk begins, unless an added token might lie there."""
+        at = 0
+        while len(text) - at > PART and self.cuttable and (found := CHUNK.search(text, at + PART)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         cut = [self.chunks(t) for t in texts]
         self.learn(set(chain.from_iterable(cut)))
@@ -229,29 +238,49 @@ def encoder(path: str) -> Encoder:
     return Encoder(Bpe(path))
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
-    """One row per row of docs: n_tokens, digests of the ids and of the text decoded from them, and, as named in keep, `ids` and `decoded`.
+def digests(own: Encoder, parts: Iterable[list[int]], keep: tuple[str, ...]) -> tuple:
+    """n_tokens, digests of the ids and of the decoded text, and what is kept, of a text whose parts have these ids."""
+    text_of, n, lead = own.bpe.text_of, 0, ""
+    of_ids, of_text, ids, decoded = hashlib.sha256(), hashlib.sha256(), [], []
+    for part in parts:
+        if part:
+            of_ids.update((lead + ",".join(map(text_of.__getitem__, part))).encode())
+            lead = ","
+        text = own.bpe.decode(part)
+        of_text.update(text.encode())
+        n += len(part)
+        if "ids" in keep:
+            ids.append(np.array(part, np.int32))
+        if "decoded" in keep:
+            decoded.append(text)
+    values = {"ids": np.concatenate(ids) if ids else None, "decoded": "".join(decoded)}
+    return n, of_ids.hexdigest(), of_text.hexdigest(), *(values[k] for k in keep)
+
+
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ("ids", "decoded"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, digests of the ids and of the text decoded from them, as named in keep `ids` and `decoded`, and the columns named in carry.
 
     The file at vocabulary_path is opened on the executors. A null text counts as empty (no ids). Ids
-    of documents may be null or repeated; other columns are not read.
+    of documents may be null or repeated; columns that are not carried are not read. A long text is
+    encoded in parts; a run without any border between pre-tokens has to be taken whole.
     """
-
-    def rows(own: Encoder, texts: list[str]):
-        text_of = own.bpe.text_of
-        for ids in own.encode(texts):
-            decoded = own.bpe.decode(ids)
-            yield len(ids), hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *(np.array(ids, np.int32) if k == "ids" else decoded for k in keep)
-
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(k, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k in keep]
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(k, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k in keep]
 
     def run(batches):
         own = encoder(vocabulary_path)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
+            texts = pc.fill_null(batch.column(0), "")
             _, offsets = _bytes.utf8(texts)
             for lo, hi in _bytes.blocks(offsets, BATCH_BYTES):
-                columns = zip(*rows(own, texts.slice(lo, hi - lo).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(list(c), k) for c, (_, k) in zip(columns, fields[1:], strict=True))], schema=pa.schema(fields))
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+                if hi == lo + 1:
+                    rows = [digests(own, (ids for part in own.parts(texts[lo].as_py()) for ids in own.encode([part])), keep)]
+                else:
+                    rows = [digests(own, [ids], keep) for ids in own.encode(texts.slice(lo, hi - lo).to_pylist())]
+                columns = [pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), *columns], [*batch.schema.names[1:], *(k for k, _ in fields)])
+
+    source = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {'array<int>' if k == 'ids' else 'string'}" for k in keep)
+    out = source.mapInArrow(run, f"{kinds}, {made}")
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep, *(F.col(f"_{k}").alias(c) for k, c in enumerate(carry)))

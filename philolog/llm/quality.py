@@ -173,10 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= 0.5).
+    """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= 0.5), in place of columns of these names.
 
     Every row is scored, empty and null texts as the empty text; without labels to fit, the score is 0.5.
     """
-    out = described(docs, text_col)
-    out = out.withColumn("score", model.score(F.col("_stats")))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_stats")
+    work = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    out = described(work, "_text").select("_row", model.score(F.col("_stats")).alias("score"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")]
+    return out.select(*kept, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

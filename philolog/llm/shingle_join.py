@@ -9,10 +9,14 @@ its group counts. Two sets share at most the sum of the coordinate minima of the
    its r + 1 fullest blocks. So frequent passages that unlike texts share rarely make a key, and no
    link is lost. Rows of one key become a star, first within an Arrow batch and then across them,
    so a key holds one row for each batch however many texts share it.
-2. The components of those stars are the units within which all links lie. A unit is handed to one
-   task, or as pairs of tiles if it is large.
-3. There an R-tree over the points yields the pairs that the bound cannot rule out and that are not
-   yet connected; each is verified on its whole sets, and a forest of the links found is returned.
+2. The components of those stars are the units within which all links lie. A small unit is one tile.
+   A unit of more sets or bytes is cut into cells by size, such that links reach the next cell at
+   most, and cells into tiles of bounded size. A few pivots of each cell are compared with all sets
+   of the cell and its neighbours, which settles the bulk of a large group of near copies.
+3. In a tile an R-tree over the points yields the pairs that the bound cannot rule out and that are
+   not yet connected; each is verified on its whole sets, and a forest of the links is returned.
+   Sets outside their unit's largest group are then compared with the tiles of their own and the
+   neighbouring cells; two sets of that group need no comparison, as they are connected already.
 4. Components of the forests are the groups.
 """
 
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from philolog.llm import _bytes
@@ -34,8 +38,10 @@ from philolog.llm.components import connected_components
 CLASS_RATIO = 1.3
 #: Blocks for each block that is emitted; more make the emitted ones hold more than the average.
 SPARE_BLOCKS = 1.5
-#: Distinct sets of a unit that one task compares with each other.
-TILE_SETS = 4096
+#: Sets of a tile, and bytes of their shingle hashes; a larger set is a tile of its own, about.
+TILE_SETS, TILE_BYTES = 1024, 16 << 20
+#: Sets of a cell that are compared with all sets of it and of its neighbours.
+PIVOTS = 4
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 3) % 2**64 | 1) for k in range(64)]
 
 
@@ -158,18 +164,21 @@ def _sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(w, width)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, node): size and name of each text's shingle set; node is null for an empty one."""
+def describe(docs: DataFrame, width: int) -> DataFrame:
+    """docs (id, text, mark) as (id, mark, n, node): size and name of each text's shingle set; node is null for an empty one."""
 
     def run(batches):
         for batch in batches:
-            sets = list(_sets_of(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "node"])
+            n, names = [], []
+            for s in _sets_of(batch.column(1), width):
+                n.append(len(s))
+                names.append(fingerprint(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["id", "mark", "n", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, node long")
+    return docs.mapInArrow(run, "id long, mark long, n long, node long")
 
 
-def _units(docs: DataFrame, text_col: str, width: int, t: Threshold, buckets: int) -> DataFrame:
+def _units(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
     """Edges (u, v) between set names that share a blocking key."""
 
     def emit(batches):
@@ -204,7 +213,7 @@ def _units(docs: DataFrame, text_col: str, width: int, t: Threshold, buckets: in
             _, _, us, vs = _stars(both[0], both[1].view(np.int64))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket int, packed binary")
+    packed = docs.select("text").mapInArrow(emit, "bucket int, packed binary")
     return packed.groupBy("bucket").applyInArrow(meet, "u long, v long")
 
 
@@ -250,68 +259,153 @@ def class_rank(sizes: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(sizes, 1)) / math.log(1.05)).astype(int)
 
 
-def links_forest(sets: list[np.ndarray], t: Threshold, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of all links among sets (with `side`, of those between unlike sides)."""
+def n_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def links_forest(sets: list[np.ndarray], t: Threshold, group: np.ndarray | None = None, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the sets' groups (at first each its own, or as given) as far as all links do.
+
+    With `asks`, only links between a set that asks and one that doesn't are sought.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
-    groups = 1 << max(4, min(9, int(np.median(sizes)).bit_length() - 2))
-    points = np.zeros((len(sets), groups), np.int32)
+    counters = 1 << max(4, min(9, int(np.median(sizes)).bit_length() - 2))
+    points = np.zeros((len(sets), counters), np.int32)
     for i, s in enumerate(sets):
-        points[i] = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    tree, forest, found = RTree(points, sizes, t), Forest(len(sets)), []
-    for i in range(len(sets)):
-        for j in tree.query(i).tolist():
-            if (side is not None and side[i] == side[j]) or forest.find(i) == forest.find(j):
-                continue
-            shared = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if shared >= t.needed(sizes[i] + sizes[j]) and forest.join(i, j):
+        points[i] = np.bincount((s & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+    tree, found = RTree(points, sizes, t), []
+    group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
+    for i in range(len(sets)) if asks is None else np.flatnonzero(asks).tolist():
+        near = tree.query(i)
+        near = near[(group[near] != group[i]) & (True if asks is None else ~asks[near])]
+        for j in near.tolist():
+            if group[i] != group[j] and n_shared(sets[i], sets[j]) >= t.needed(sizes[i] + sizes[j]):
+                group[group == group[j]] = group[i]
                 found.append((i, j))
     return found
 
 
+def _compared(table: pa.Table, t: Threshold) -> pa.Table:
+    """(u, v) of the links that a tile's sets need; rows (node, set, label, asks), of which a node may come twice on a side."""
+    names, label, asks = (table[c].to_numpy() for c in ("node", "label", "asks"))
+    _, first = np.unique(np.stack((names, asks.astype(np.int64)), 1), axis=0, return_index=True)
+    held = table["set"].take(pa.array(first)).to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in held]
+    names, asks = names[first], asks[first]
+    # phase one has no asking sets: all are compared with all
+    links = links_forest(sets, t, label[first], asks if asks.any() else None) if len(sets) > 1 else []
+    return pa.table({"u": pa.array(names[[a for a, _ in links]], pa.int64()), "v": pa.array(names[[b for _, b in links]], pa.int64())})
+
+
+def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """members with `set`, the packed shingle hashes of the one text that a member's row names."""
+    columns = [c for c in members.columns if c not in ("least", "mark")]
+
+    def cut(batches):
+        for batch in batches:
+            packed = [s.tobytes() if fingerprint(s) == node else None for s, node in zip(_sets_of(batch.column(0), width), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.large_binary()).cast(pa.binary())], [*batch.schema.names[1:], "set"])
+
+    texts = docs.select(F.col("id").alias("least"), "mark", "text").alias("d")
+    joined = texts.join(members.alias("m"), F.col("d.mark").eqNullSafe(F.col("m.mark")) & F.col("d.least").eqNullSafe(F.col("m.least")))
+    rows = joined.select("d.text", F.col("m.node").alias("node"), *[F.col(f"m.{c}").alias(c) for c in columns if c != "node"])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    # of rows with one id and one text each comes along; a null set is one whose 64-bit marks met by chance
+    return rows.mapInArrow(cut, f"{schema}, set binary").where("set is not null")
+
+
+def _cells(members: DataFrame, t: Threshold) -> DataFrame:
+    """members (unit, node, n) with cell (by size; 0 in a small unit), large (whether the unit has several tiles), tiles (of the cell), tile, and those of the cells beside it."""
+    ratio = math.log(100 / t.percent * 1.001)
+    whole = members.groupBy("unit").agg((F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") * 8 / TILE_BYTES) > 1).alias("large"))
+    members = members.join(whole, "unit").withColumn("cell", F.when(F.col("large"), F.floor(F.ln("n") / ratio).cast("int")).otherwise(0))
+    node = F.col("node")
+    pivots = F.array_distinct(F.array(*[F.min(node.bitwiseXOR(F.lit(_pivot_mask(k)))).bitwiseXOR(F.lit(_pivot_mask(k))) for k in range(PIVOTS)]))
+    cells = members.groupBy("unit", "cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"), pivots.alias("pivots"))
+    cells = _beside(cells, "tiles")
+    return members.join(cells, ["unit", "cell"]).withColumn("tile", F.pmod(F.xxhash64(node), F.col("tiles")).cast("int"))
+
+
+def _pivot_mask(k: int) -> int:
+    return int(_bytes.mix(np.array([k], np.uint64)).view(np.int64)[0])
+
+
+def _beside(cells: DataFrame, column: str) -> DataFrame:
+    """Adds the column's value in the cells before and after, 0 where there is none; a unit has as many cells as there are size classes."""
+    by_cell = Window.partitionBy("unit").orderBy("cell")
+
+    def at(step: int):
+        f = F.lag if step < 0 else F.lead
+        return F.when(f("cell").over(by_cell) == F.col("cell") + step, f(column).over(by_cell)).otherwise(0)
+
+    return cells.withColumns({f"{column}_before": at(-1), f"{column}_after": at(1)})
+
+
+def _places(cell, count, *more) -> Column:
+    """array<struct<cell, tile, ...>> of the tiles 0 .. count - 1 of a cell."""
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda j: F.struct(cell.alias("cell"), j.alias("tile"), *more))).otherwise(F.array())
+
+
+def _around(cells: str) -> Column:
+    """The tiles of a row's own cell and of those beside it, as the columns `cells`, `cells`_before and `cells`_after count them."""
+    cell = F.col("cell")
+    return F.concat(_places(cell, F.col(cells)), _places(cell - 1, F.col(f"{cells}_before")), _places(cell + 1, F.col(f"{cells}_after")))
+
+
+def _second(sets: DataFrame, first: DataFrame, t: Threshold) -> DataFrame:
+    """Links of sets outside their unit's largest group of the first comparison, with all sets of cells that they may reach."""
+    label = F.coalesce("root", "node")
+    known = sets.where("large").join(first, "node", "left").withColumn("label", label).drop("root")
+    groups = known.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("members"))
+    main = groups.groupBy("unit").agg(F.max_by("label", F.struct("members", "label")).alias("main"))
+    known = known.join(main, "unit").withColumn("loose", F.col("label") != F.col("main")).drop("main")
+    spread = known.groupBy("unit", "cell").agg(F.ceil(F.greatest(F.sum(F.col("loose").cast("long")) / TILE_SETS, F.sum(F.when(F.col("loose"), F.col("n")).otherwise(0)) * 8 / TILE_BYTES)).cast("int").alias("parts"))
+    known = known.join(_beside(spread, "parts"), ["unit", "cell"])
+    part = F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest("parts", F.lit(1))).cast("int")
+    rows = known.select("unit", "node", "label", "set", "cell", "tile", "loose", part.alias("part"), _around("parts").alias("asked_by"), _around("tiles").alias("asking"))
+    columns = ["unit", "node", "label", "set"]
+    other = rows.select(*columns, F.explode("asked_by").alias("p"), F.col("cell").alias("of"), F.col("tile").alias("at"), F.lit(False).alias("asks"))
+    own = rows.where("loose").select(*columns, F.explode("asking").alias("p"), "cell", "part", F.lit(True).alias("asks"))
+    met = other.select(*columns, F.col("p.cell").alias("cell"), F.col("p.tile").alias("part"), "of", "at", "asks").unionByName(own.select(*columns, "cell", "part", F.col("p.cell").alias("of"), F.col("p.tile").alias("at"), "asks"))
+    return met.groupBy("unit", "cell", "part", "of", "at").applyInArrow(lambda table: _compared(table, t), "u long, v long")
+
+
 def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, percent: int = 85, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     Two texts link when 100 * |A & B| >= percent * |A | B| over their sets of `width`-word shingles
     (a text of fewer words is one shingle). component_id is the least id reachable by links. A null,
     empty or blank text has no shingles and is alone; equal sets always link. Rows with a null id
-    keep it and may join a group without naming it. Rows stay one to one, repeated ones included.
+    keep it, link as others do and never name a component: in one without any id it is null. Rows
+    stay one to one, repeated ones included. Other columns are not read.
     """
     t = Threshold(percent)
     session = docs.sparkSession
     checkpoints(session)
     buckets = buckets or max(16, 4 * int(session.conf.get("spark.sql.shuffle.partitions")))
-    known = describe(docs, id_col, text_col, width).checkpoint()
-    names = known.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n"))
-    units = connected_components(_units(docs, text_col, width, t, buckets))
-    units = units.withColumnRenamed("root", "unit").checkpoint()
-    tiles = units.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / TILE_SETS).cast("int").alias("tiles"))
-    reps = units.join(names.select("node", "least"), "node").join(tiles, "unit")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text")).where("least is not null and text is not null")
-    # of repeated ids with unlike texts, every text comes along; its set's name decides below
-    spread = (
-        texts.join(reps, "least")
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("unit", "node", "text", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        names, sets, side = [], [], []
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        wanted, tile = table["node"].to_pylist(), table["tile"].to_pylist()
-        seen, at = set(), 0
-        for s in (s for chunk in table["text"].chunks for s in _sets_of(chunk, width)):
-            if wanted[at] not in seen and len(s) and fingerprint(s) == wanted[at]:
-                seen.add(wanted[at])
-                names.append(wanted[at])
-                sets.append(s)
-                side.append(tile[at])
-            at += 1
-        found = links_forest(sets, t, np.array(side) if low != high else None) if len(sets) > 1 else []
-        return pa.table({"u": pa.array([names[a] for a, _ in found], pa.int64()), "v": pa.array([names[b] for _, b in found], pa.int64())})
-
-    links = spread.groupBy("unit", "low", "high").applyInArrow(compare, "u long, v long")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    known = describe(docs, width).checkpoint()
+    # a set's row: of its texts the one with the least id, if any has one
+    row = F.min(F.struct(F.col("id").isNull().alias("_none"), "id", "mark"))
+    names = known.where("node is not null").groupBy("node").agg(row.alias("row"), F.min("n").alias("n")).select("node", "n", F.col("row.id").alias("least"), F.col("row.mark").alias("mark"))
+    units = connected_components(_units(docs, width, t, buckets)).withColumnRenamed("root", "unit")
+    members = _cells(units.join(names, "node"), t).checkpoint()
+    sets = _with_sets(docs, members, width)
+    several = not members.where("large").isEmpty()
+    if several:
+        sets = sets.checkpoint()
+    pivot = F.col("large") & F.array_contains("pivots", F.col("node"))
+    own = F.array(F.struct("cell", "tile"))
+    first = sets.withColumn("p", F.explode(F.when(pivot, F.array_union(own, _around("tiles"))).otherwise(own)))
+    first = first.select("unit", "node", "set", "p.cell", "p.tile", F.col("node").alias("label"), F.lit(False).alias("asks"))
+    links = first.groupBy("unit", "cell", "tile").applyInArrow(lambda table: _compared(table, t), "u long, v long")
     roots = connected_components(links)
+    if several:
+        roots = roots.checkpoint()
+        roots = connected_components(_second(sets, roots, t).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     grouped = names.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")).checkpoint()
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "root").select("node", "component_id")

@@ -99,7 +99,11 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             texts = pc.fill_null(batch.column(1), "")
             _, offsets = _bytes.utf8(texts)
             for lo, hi in _bytes.blocks(offsets, BATCH_BYTES):
-                n, score = zip(*own.counts(texts.slice(lo, hi - lo).to_pylist()), strict=True)
+                if hi == lo + 1:
+                    parts = [x for part in own.parts(texts[lo].as_py()) for x in own.counts([part])]
+                    n, score = [sum(n for n, _ in parts)], [math.fsum(s for _, s in parts)]
+                else:
+                    n, score = zip(*own.counts(texts.slice(lo, hi - lo).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(score, pa.float64())], schema=pa.schema(fields))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_probability double")

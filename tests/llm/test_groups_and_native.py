@@ -58,26 +58,44 @@ def near_texts(draw):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_shingle_groups(spark, seed, monkeypatch):
-    monkeypatch.setattr(shingle_join, "TILE_SETS", 16)  # large units are compared by tiles
-    texts = near_texts(random.Random(seed))
-    ids = random.Random(seed).sample(range(10_000), len(texts))
+def groups_by_hand(rows, width=4, percent=85):
+    """(id, set size, component) of (id, text) rows, each row apart."""
     sets = []
-    for t in texts:
+    for _, t in rows:
         w = words_of(t)
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
-    links = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
-    wanted = smallest(ids, links)
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    group = smallest(range(len(rows)), links)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[group[i]] = min(k, least.get(group[i], k))
+    return sorted([(k, len(sets[i]), least.get(group[i])) for i, (k, _) in enumerate(rows)], key=repr)
+
+
+@pytest.mark.parametrize(("seed", "tile"), [(1, 5), (2, 16), (3, 1024)])
+def test_shingle_groups(spark, seed, tile, monkeypatch):
+    monkeypatch.setattr(shingle_join, "TILE_SETS", tile)  # large units are compared by tiles
+    texts = near_texts(random.Random(seed))
+    ids = random.Random(seed).sample(range(10_000), len(texts))
     frame = spark.createDataFrame([(i, t, "?") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, node string").repartition(3)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.shingle_groups(frame).collect()}
-    assert found == {i: (len(s), wanted[i]) for i, s in zip(ids, sets, strict=True)}
+    found = sorted(map(tuple, shingle_join.shingle_groups(frame).collect()), key=repr)
+    assert found == groups_by_hand(list(zip(ids, texts, strict=True)))
+
+
+def test_shingle_groups_without_a_common_pivot(spark, monkeypatch):
+    """Each set links with the next one only, over tiles and sizes."""
+    monkeypatch.setattr(shingle_join, "TILE_SETS", 3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(90 - i, " ".join(words[3 * i : 3 * i + 60 + i])) for i in range(30)]
+    assert sorted(map(tuple, shingle_join.shingle_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == groups_by_hand(rows)
 
 
 def test_shingle_groups_of_odd_rows(spark):
-    rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (5, "a b c d e"), (None, None), (8, "q r s t u")]
+    chain = [" ".join(f"w{i}" for i in range(k, k + 60)) for k in (0, 3, 6)]
+    rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (5, "a b c d e"), (None, None), (8, "q r s t u"), (21, chain[0]), (None, chain[1]), (20, chain[2]), (None, chain[1]), (20, "other text of this id"), (None, "nobody names this one"), (None, "nobody names this one")]
     found = shingle_join.shingle_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, found), key=repr) == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (5, 2, 3), (None, 0, None), (8, 2, 8)], key=repr)
+    assert sorted(map(tuple, found), key=repr) == groups_by_hand(rows)
     assert shingle_join.shingle_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from philolog.llm import automaton, bpe, language, media, quality, unigram
+from philolog.llm import _bytes, automaton, bpe, language, media, quality, unigram
 from philolog.llm.queries_tokens import bpe_path
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -53,7 +53,8 @@ def test_odd_tables_pass_through(spark, rows):
     assert unigram.count_tokens(frame, bpe_path()).count() == n
     assert media.to_wav(frame).count() == n
     labels = spark.createDataFrame([(1, 1), (3, 0)][: len(rows)], "doc_id long, quality int")
-    assert quality.score(frame.drop("score"), quality.fit(frame.drop("score"), labels)).count() == n
+    scored = quality.score(frame.withColumn("_words", F.lit("?")), quality.fit(frame, labels))
+    assert all(0 <= r["score"] <= 1 and r["_words"] == r["node"] == "?" for r in scored.collect()) and scored.count() == n
 
 
 def test_language(spark, corpus):
@@ -157,6 +158,48 @@ def test_bpe_equals_the_library(spark):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Blocks of a few bytes and parts of a few characters change nothing."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe_path())
+    own = bpe.Encoder(bpe.Bpe(bpe_path()))
+    monkeypatch.setattr(bpe, "PART", 7)
+    for text in ["", "a b  c\n d " * 30, "one<|endoftext|> two <|endoftext|>three " * 9, "é漢🙂 " * 40, "x" * 90, " " * 50]:
+        parts = [own.encode([p]) for p in own.parts(text)]
+        n, of_ids, of_text, ids, decoded = bpe.digests(own, (i for p in own.parts(text) for i in own.encode([p])), ("ids", "decoded"))
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == wanted and n == len(wanted) and decoded == text and len(parts) > (len(text) > 40 and " " in text.strip())
+        assert of_ids == hashlib.sha256(",".join(map(str, wanted)).encode()).hexdigest() and of_text == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_words_of_very_long_texts():
+    """100 MB with and without blanks: the words are right, and what is held beside the text stays small."""
+    import tracemalloc
+
+    for text in (b"some Word " * 10_000_000, b"x" * 100_000_000):
+        data = np.frombuffer(text, np.uint8)
+        tracemalloc.start()
+        found = _bytes.words(data, np.array([0, len(data)]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        small = _bytes.words(data[:10], np.array([0, 10]))
+        assert len(found.hashes) == (20_000_000 if b" " in text else 1) and found.offsets.tolist() == [0, len(found.hashes)]
+        assert most < 24 * len(found.hashes) + (16 << 20) and (b" " not in text or found.hashes[-2:].tolist() == small.hashes.tolist())
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 64])
+def test_words_cut_by_windows(monkeypatch, window):
+    draw = random.Random(window)
+    texts = [bytes(draw.choice(b"aBcd  \n\t") for _ in range(draw.randint(0, 30))) for _ in range(200)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = _bytes.words(data, offsets)
+    monkeypatch.setattr(_bytes, "WINDOW", window)
+    cut = _bytes.words(data, offsets)
+    assert cut.offsets.tolist() == whole.offsets.tolist() and cut.hashes.tolist() == whole.hashes.tolist()
+    assert np.diff(whole.offsets).tolist() == [len(t.split()) for t in texts]
+
+
 def test_kept_words_are_bounded():
     kept = bpe.Kept(3)
     for i in range(20):
