@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
-Rows pass through whole: a stage drops, repeats or rewrites documents but knows no limits. Extra
-columns go along, nulls in any column are allowed, and an empty table stays empty.
+Rows pass through whole: a stage drops or rewrites documents but knows no limits. Extra columns go
+along, nulls in any column are allowed, and an empty table stays empty. Stages' tables lie in the
+checkpoint folder; each is deleted as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from philolog.llm._session import checkpoints
+from philolog.llm._session import checkpoints, remove
 from philolog.llm.bpe import encode_decode
 from philolog.llm.mixing import mix_documents
 from philolog.llm.pii import redact
@@ -35,12 +36,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id, once if its row is repeated.
 
-    Documents without an id stay, but for exact copies of one another.
+    A document without an id goes by a number made of its text, above 2^62 and so after all ids: it
+    stays if its group has no document with an id and no lesser such number.
     """
-    groups = shingle_groups(docs, width=WIDTH, percent=PERCENT)
-    first = groups.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    name = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    work = docs.select(F.struct(*docs.columns).alias("row"), name.alias("doc_id"), F.col("text"))
+    first = shingle_groups(work, width=WIDTH, percent=PERCENT).where("doc_id = component_id").select("doc_id").distinct()
+    kept = work.join(first.hint("merge"), "doc_id", "left_semi").select("row", "doc_id", F.xxhash64("text").alias("mark"))
+    return kept.dropDuplicates(["doc_id", "mark"]).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of them and of the text decoded from them."""
-    return encode_decode(docs, bpe_path(), keep=("ids",))
+    """Token ids of every document, with digests of them and of the text decoded from them, in place of its text.
+
+    Other columns go along, but for those that are named like a result.
+    """
+    made = ("text", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return encode_decode(docs, bpe_path(), keep=("ids",), carry=tuple(c for c in docs.columns if c not in made))
 
 
 STAGES = [
@@ -70,11 +77,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if last:
+                remove(spark, last)
+            last = f"{folder}/{k}"
     return docs
