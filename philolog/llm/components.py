@@ -6,10 +6,15 @@ A vertex with very many neighbours is a skewed join key, which adaptive executio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _pairs(*pairs: tuple[str, str]) -> Column:
+    """One row for each pair of columns; written as an explosion, as a union would plan the table once for each of its sides."""
+    return F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")
+
+
 def _minimum_join(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m: the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("least"))
@@ -17,15 +22,13 @@ def _minimum_join(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(_pairs(("u", "v"), ("v", "u"))).select("e.*")
     return _minimum_join(both).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have u > v."""
-    found = _minimum_join(edges)
-    kept = found.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return kept.union(found.select("u", F.col("m").alias("v"))).distinct()
+    return _minimum_join(edges).select(_pairs(("v", "m"), ("u", "m"))).select("e.*").where("u != v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and null ends are ignored; an empty table gives an empty table. Every round is cut with
     checkpoint() and ends by comparing a count and a checksum with the round before.
     """
-    edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     seen = None
     while True:
         edges = _small_star(_large_star(edges)).checkpoint()
@@ -42,5 +45,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return edges.select(_pairs(("u", "v"), ("v", "v"))).select(F.col("e.u").alias("node"), F.col("e.v").alias("root")).distinct()
