@@ -46,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of fewer splits than four for each core (one small file may be one row group) is dealt out, so that all cores cut texts."""
-    rows, cores = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(cores)
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +154,31 @@ def ngrams_3(spark, sf_dir):
     return lists.ngrams(documents(spark, sf_dir), 3)
 
 
+def _longer_sql(n: int) -> str:
+    """As _ngram_sql, with windows in place of joins."""
+    runs = lambda c: " || ' ' || ".join(f"lead({c}, {i}) OVER w" if i else c for i in range(n))
+    marks = " OR ".join(f"lead(punct, {i}) OVER w" if i else "punct" for i in range(n))
+    return EN + f""", r AS (SELECT doc_id, p, spos, slen, {runs("norm")} AS term, {runs("surface")} AS display, {marks} AS has_punct FROM tok WINDOW w AS (PARTITION BY doc_id, sno ORDER BY spos)),
+k AS (SELECT term, arg_min(display, doc_id * 10000000 + p) AS display, arg_min(has_punct, doc_id * 10000000 + p) AS hp, count(*) AS frequency, count(DISTINCT doc_id) AS document_range FROM r WHERE spos + {n - 1} <= slen GROUP BY term)
+SELECT term, display, frequency, document_range FROM k WHERE frequency >= 2 AND NOT hp"""
+
+
+@query(_longer_sql(4))
+def ngrams_4(spark, sf_dir):
+    return lists.ngrams(documents(spark, sf_dir), 4)
+
+
+@query(_longer_sql(5))
+def ngrams_5(spark, sf_dir):
+    return lists.ngrams(documents(spark, sf_dir), 5)
+
+
+@query(_longer_sql(3).replace("NOT hp", "NOT hp AND contains(lower(display), 'thing')"))
+def ngrams_containing(spark, sf_dir):
+    """Runs of three that hold a given text."""
+    return lists.ngrams(documents(spark, sf_dir), 3, contains="Thing")
+
+
 @query(grams(3) + """, v AS (SELECT n0 || ' <*> ' || n2 AS pattern, s1, count(*) AS n FROM g WHERE NOT has_punct GROUP BY ALL),
 d AS (SELECT n0 || ' <*> ' || n2 AS pattern, count(DISTINCT doc_id) AS document_range FROM g WHERE NOT has_punct GROUP BY ALL),
 k AS (SELECT pattern, sum(n)::BIGINT AS frequency, count(*) AS variants, sum(n * log2(n)) AS s FROM v GROUP BY pattern)
@@ -214,10 +241,9 @@ def token_offsets(spark, sf_dir):
 
 @query(TOK + """ SELECT doc_id AS document_id, count(*) AS tokens, min(r) AS first_position, max(r) AS last_position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id, p) AS r FROM tok) GROUP BY doc_id""")
 def global_positions(spark, sf_dir):
-    rows = tokens(spark, sf_dir)
-    counts = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("tokens"))
+    counts = index.word_counts(documents(spark, sf_dir))
     before = F.col("tokens_before_document")
-    return counts.join(index.document_offsets(rows), "document_id").select("document_id", "tokens", (before + 1).alias("first_position"), (before + F.col("tokens")).alias("last_position"))
+    return counts.join(index.document_offsets(counts, ids(spark, sf_dir)), "document_id").select("document_id", F.col("n").alias("tokens"), (before + 1).alias("first_position"), (before + F.col("n")).alias("last_position"))
 
 
 # ---- concordances
@@ -263,10 +289,7 @@ def kwic_kpf(spark, sf_dir):
 SELECT doc_id AS document_id, p AS stream_position, gp AS global_position FROM n WHERE lang = 'en' AND norm = 'the' ORDER BY (gp * 1103515245 + 42) & 2147483647, gp LIMIT 100""")
 def kwic_sample(spark, sf_dir):
     """A seeded sample of 100 hits."""
-    rows = index.with_global_position(tokens(spark, sf_dir)).where("language = 'en'")
-    hits = concordance.phrase_hits(rows, parse_simple("the"))
-    hits = hits.join(rows.select("document_id", "stream_position", "global_position"), ["document_id", "stream_position"])
-    return concordance.sampled(hits, 100, 42).select("document_id", "stream_position", "global_position")
+    return concordance.Kwic("the", sample=100, seed=42).hits(documents(spark, sf_dir)).select("document_id", "stream_position", "global_position")
 
 
 @query(EN + """, h AS (SELECT doc_id, p FROM tok WHERE norm = 'thing')
@@ -289,44 +312,58 @@ def kwic_context_excluded(spark, sf_dir):
 @query(EN + """ SELECT DISTINCT doc_id AS document_id, p AS stream_position, CAST(1 AS BIGINT) AS token_length FROM tok WHERE norm IN ('thing', 'there') OR norm LIKE 'thin%'""")
 def kwic_query_list(spark, sf_dir):
     """The union of three queries; a hit of several comes once."""
-    rows = english_tokens(spark, sf_dir)
-    hits = [concordance.phrase_hits(rows, parse_simple(q)) for q in ("thing", "there", "thin*")]
+    hits = [concordance.row_hits(english(spark, sf_dir), parse_simple(q)) for q in ("thing", "there", "thin*")]
     return concordance.union_hits(hits).select("document_id", "stream_position", F.col("token_length").cast("long").alias("token_length"))
 
 
-@query(EN + """ SELECT a.doc_id AS document_id, a.p AS stream_position FROM tok a JOIN tok c ON c.doc_id = a.doc_id AND c.p = a.p + 2 WHERE a.norm = 'the' AND c.norm = 'of'""")
+@query(EN + """, n AS (SELECT doc_id, p, norm, lead(norm, 2) OVER (PARTITION BY doc_id ORDER BY p) AS after FROM tok) SELECT doc_id AS document_id, p AS stream_position FROM n WHERE norm = 'the' AND after = 'of'""")
 def cqp_slot(spark, sf_dir):
-    return concordance.phrase_hits(english_tokens(spark, sf_dir), parse_brackets('"the" [] "of"')).select("document_id", "stream_position")
+    return concordance.row_hits(english(spark, sf_dir), parse_brackets('"the" [] "of"')).select("document_id", "stream_position")
 
 
-@query(EN + """ SELECT a.doc_id AS document_id, a.p AS stream_position FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.p = a.p + 1 WHERE a.norm LIKE 'th%ing' AND b.norm LIKE '%er'""")
+@query(EN + """, n AS (SELECT doc_id, p, norm, lead(norm) OVER (PARTITION BY doc_id ORDER BY p) AS after FROM tok) SELECT doc_id AS document_id, p AS stream_position FROM n WHERE norm LIKE 'th%ing' AND after LIKE '%er'""")
 def cqp_wildcard(spark, sf_dir):
-    return concordance.phrase_hits(english_tokens(spark, sf_dir), parse_brackets('[word="th*ing"] ends_with(er)')).select("document_id", "stream_position")
+    return concordance.row_hits(english(spark, sf_dir), parse_brackets('[word="th*ing"] ends_with(er)')).select("document_id", "stream_position")
 
 
 @query(EN + """ SELECT a.doc_id AS document_id, CAST(a.p - 1 AS BIGINT) AS stream_position FROM tok a WHERE a.norm = 'thing' AND a.p > 1 AND a.p < a.dlen""")
 def cqp_outer_slots(spark, sf_dir):
-    return concordance.phrase_hits(english_tokens(spark, sf_dir), parse_brackets('[] [lemma="thing"] []')).select("document_id", "stream_position")
+    return concordance.row_hits(english(spark, sf_dir), parse_brackets('[] [lemma="thing"] []')).select("document_id", "stream_position")
 
 
 @query(EN + """ SELECT doc_id AS document_id, p AS stream_position, surface FROM tok WHERE regexp_full_match(surface, '(?i)(th|wh)[a-z]{9,}ing')""")
 def regex_tokens(spark, sf_dir):
-    rows = english_tokens(spark, sf_dir)
-    hits = concordance.phrase_hits(rows, parse_simple("(th|wh)[a-z]{9,}ing", regular=True))
-    return hits.join(rows.select("document_id", "stream_position", "surface"), ["document_id", "stream_position"]).select("document_id", "stream_position", "surface")
-
-
-@query()
+    hits = concordance.row_hits(english(spark, sf_dir), parse_simple("(th|wh)[a-z]{9,}ing", regular=True), width=1)
+    return hits.select("document_id", "stream_position", F.col("keyword").alias("surface"))
+
+
+#: CTE `off`: every token of an English stream with its offsets; a token pattern as in TOK.
+_OFFSETS = EN.split(",\nsn AS")[0] + r""",
+st AS (SELECT doc_id, array_to_string(ss, chr(10)) AS stream FROM sen),
+x AS (SELECT doc_id, stream, regexp_extract_all(stream, '{T}') AS ts, string_split_regex(stream, '{T}') AS gs FROM st WHERE {W}),
+y AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p, unnest(gs[1:len(ts)]) AS g, len(ts) AS n FROM x),
+off AS (SELECT doc_id, p, n, t, sum(length(g) + length(t)) OVER (PARTITION BY doc_id ORDER BY p)::BIGINT AS e, e - length(t) AS s FROM y)"""
+_OFFSETS = _OFFSETS.replace("{T}", r"\p{L}+(?:[''’\-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[^\p{L}\p{N}\s]")
+#: Control characters mark words' ends, as the dialect's \b and \w know ASCII alone.
+_MARKED = r"regexp_replace(stream, '([\p{L}\p{N}\p{M}_]+)', chr(1) || '\1' || chr(2), 'g')"
+_SPAN = r"(?i)\x01thing\x02[^\x01\x02]+\x01[^\x01\x02]+ing\x02"
+
+
+@query(_OFFSETS.replace("{W}", "contains(lower(stream), 'thing')") + f""", m AS (SELECT doc_id, regexp_extract_all({_MARKED}, '{_SPAN}') AS ms, string_split_regex({_MARKED}, '{_SPAN}') AS rest FROM x),
+u AS (SELECT doc_id, unnest([translate(a, chr(1) || chr(2), '') for a in ms]) AS text, unnest([translate(a, chr(1) || chr(2), '') for a in rest[1:len(ms)]]) AS gap, generate_subscripts(ms, 1) AS k FROM m),
+v AS (SELECT doc_id, text, sum(length(gap) + length(text)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS z, z - length(text) AS a FROM u)
+SELECT v.doc_id AS document_id, a::INT AS start, z::INT AS "end", v.text, min(p) AS stream_position, count(*) AS token_length FROM v JOIN off ON off.doc_id = v.doc_id AND s < z AND e > a GROUP BY ALL""")
 def full_regex_hits(spark, sf_dir):
     """A pattern over whole streams, which may cross tokens and sentences."""
     return concordance.pattern_hits(documents(spark, sf_dir), r"\bthing\b\W+\w+ing\b").select("document_id", "start", "end", "text", "stream_position", "token_length")
 
 
-@query()
+@query(_OFFSETS.replace("{W}", "contains(lower(stream), 'thing')") + r""", h AS (SELECT doc_id, p, s, e, least(n, p + 5) AS z, greatest(1, p - 5) AS a FROM off WHERE lower(t) = 'thing')
+SELECT h.doc_id AS document_id, 'en' AS language, h.p AS stream_position, CAST(1 AS INT) AS token_length, trim(regexp_replace(substr(stream, f.s + 1, h.s - f.s), '\s+', ' ', 'g')) AS "left", substr(stream, h.s + 1, h.e - h.s) AS keyword, trim(regexp_replace(substr(stream, h.e + 1, l.e - h.e), '\s+', ' ', 'g')) AS "right"
+FROM h JOIN off f ON f.doc_id = h.doc_id AND f.p = h.a JOIN off l ON l.doc_id = h.doc_id AND l.p = h.z JOIN st ON st.doc_id = h.doc_id""")
 def kwic_snippets(spark, sf_dir):
     """Contexts as they stand in the text."""
-    docs = english(spark, sf_dir).where(X.casefold(F.col("text")).contains("thing"))
-    return concordance.snippets(concordance.phrase_hits(index.token_table(docs), parse_simple("thing")), docs)
+    return concordance.snippets(english(spark, sf_dir), parse_simple("thing"))
 
 
 @query(EN + """, h AS (SELECT count(*) AS n FROM tok WHERE norm = (SELECT norm FROM (SELECT norm, count(*) AS n, min(doc_id * 10000000 + p) AS f FROM tok WHERE NOT punct GROUP BY norm ORDER BY n DESC, f LIMIT 1)))
@@ -457,7 +494,15 @@ def parallel_nth(spark, sf_dir):
     return parallel.occurrences(pairs(spark, sf_dir), parallel.PairQuery("the", every=5)).select("pair_no", F.col("occurrence_ordinal").cast("long").alias("occurrence_ordinal"))
 
 
-@query()
+_TOKEN_SQL = r"\p{L}+(?:[''’\-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[^\p{L}\p{N}\s]"
+
+
+@query(PAIRS + f""", o AS (SELECT pair_no, a_text, string_split(lower(a_text), 'the') AS parts FROM pairs),
+v AS (SELECT pair_no, a_text, unnest([CAST(list_sum([length(y) for y in parts[1:k]]) AS BIGINT) + 3 * (k - 1) for k in range(1, len(parts))]) AS st FROM o),
+w AS (SELECT *, row_number() OVER (PARTITION BY pair_no ORDER BY st) AS occurrence_ordinal FROM v WHERE NOT (st > 0 AND regexp_matches(substr(a_text, st, 1), '\\p{{L}}')) AND NOT regexp_matches(substr(a_text, st + 4, 1), '\\p{{L}}')),
+x AS (SELECT *, regexp_extract_all(substr(a_text, 1, st), '{_TOKEN_SQL}') AS l, regexp_extract_all(substr(a_text, st + 4), '{_TOKEN_SQL}') AS r FROM w)
+SELECT pair_no, CAST(occurrence_ordinal AS INT) AS occurrence_ordinal, CASE WHEN len(l) > 5 THEN '…' ELSE '' END || array_to_string(l[greatest(1, len(l) - 4):], ' ') AS "left", substr(a_text, st + 1, 3) AS keyword, array_to_string(r[1:5], ' ') || CASE WHEN len(r) > 5 THEN '…' ELSE '' END AS "right",
+  replace(lower(l[-1]), 'ß', 'ss') AS "L1", 'the' AS "CEN", replace(lower(r[1]), 'ß', 'ss') AS "R1" FROM x""")
 def parallel_context(spark, sf_dir):
     """Whole-word occurrences with contexts and sort keys."""
     q = parallel.PairQuery("the", whole_words=True)
@@ -470,7 +515,19 @@ def parallel_preview(spark, sf_dir):
     return pairs(spark, sf_dir).orderBy("pair_no").limit(20).select("pair_no", "a_text", "b_text")
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in X.ENGLISH_STOPWORDS)
+
+
+@query(PAIRS + f""", b AS (SELECT pair_no, contains(replace(lower(a_text), 'ß', 'ss'), 'the')::INT AS hit, b_text FROM pairs),
+t AS (SELECT pair_no, hit, unnest([replace(lower(x), 'ß', 'ss') for x in regexp_extract_all(b_text, '{_TOKEN_SQL}')]) AS surface FROM b),
+k AS (SELECT pair_no, hit, surface, CASE WHEN length(surface) > 4 AND surface LIKE '%ies' THEN left(surface, -3) || 'y' WHEN length(surface) > 4 AND regexp_matches(surface, '(ch|sh|x|z|ss)es$') THEN left(surface, -2)
+  WHEN length(surface) > 3 AND regexp_matches(surface, '[^isu]s$') THEN left(surface, -1) ELSE surface END AS key FROM t WHERE length(surface) >= 3 AND surface NOT IN ({_STOP})),
+n AS (SELECT sum(hit) AS m, sum(1 - hit) AS g FROM b),
+d AS (SELECT key, sum(hit) AS mk, sum(1 - hit) AS gk FROM (SELECT DISTINCT pair_no, hit, key FROM k) GROUP BY key),
+s AS (SELECT key, ln(((mk + 0.5) / (m - mk + 0.5)) / ((gk + 0.5) / (g - gk + 0.5))) * ln(1 + mk) AS score FROM d, n WHERE m >= 5 AND g > 0 AND mk >= 0.2 * m),
+r AS (SELECT key, score FROM s WHERE score >= 3 QUALIFY score >= 0.55 * max(score) OVER () AND row_number() OVER (ORDER BY score DESC, key DESC) <= 2),
+f AS (SELECT key, surface, round(any_value(score), 6) AS score, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, length(surface) DESC, surface) AS place FROM r JOIN k USING (key) WHERE hit = 1 GROUP BY key, surface)
+SELECT key, surface, score, CAST(place AS INT) AS place FROM f WHERE place <= 4""")
 def highlight_terms(spark, sf_dir):
     return parallel.infer_highlights(pairs(spark, sf_dir), parallel.PairQuery("the")).select("key", "surface", rounded("score").alias("score"), "place")
 
@@ -509,7 +566,7 @@ def _first_vector(spark, sf_dir) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0])
 
 
-_DENSE = "SELECT vec_id AS id, list_cosine_similarity([x::DOUBLE for x in embedding], (SELECT [x::DOUBLE for x in embedding] FROM embeddings ORDER BY vec_id LIMIT 1)) AS score FROM embeddings ORDER BY score DESC, id LIMIT 100"
+_DENSE = "SELECT vec_id AS id, round(list_cosine_similarity([x::DOUBLE for x in embedding], (SELECT [x::DOUBLE for x in embedding] FROM embeddings ORDER BY vec_id LIMIT 1)), 9) AS score FROM embeddings ORDER BY score DESC, id LIMIT 100"
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_DENSE})")
@@ -518,13 +575,13 @@ def cosine_topk(spark, sf_dir):
     return retrieval.dense_search(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 100).withColumn("score", rounded("score"))
 
 
-@query(_BM + f""", v AS ({_DENSE}), vr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS semantic_rank FROM v), lr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lexical_rank FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 100))
+@query(_BM + f""", v AS ({_DENSE}), vr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS semantic_rank FROM v), lr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lexical_rank FROM (SELECT id, round(score, 9) AS score FROM s ORDER BY score DESC, id LIMIT 100))
 SELECT id, CAST(semantic_rank AS INT) AS semantic_rank, CAST(lexical_rank AS INT) AS lexical_rank, round(coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + lexical_rank), 0), 6) AS score FROM vr FULL JOIN lr USING (id)
 ORDER BY coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + lexical_rank), 0) DESC, semantic_rank NULLS LAST, lexical_rank NULLS LAST, id LIMIT 10""")
 def rrf(spark, sf_dir):
     """The 10 best of the fusion of two lists of 100."""
     semantic = retrieval.dense_search(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 100)
-    lexical = retrieval.bm25(documents(spark, sf_dir), "The thing for").orderBy(F.desc("score"), "id").limit(100)
+    lexical = retrieval.ranked_scores(retrieval.bm25(documents(spark, sf_dir), "The thing for"), 100)
     return retrieval.fuse(semantic, lexical, 10).withColumn("score", rounded("score"))
 
 
@@ -539,7 +596,13 @@ def eval_metrics(spark, sf_dir):
     return retrieval.evaluate(results, expected, 3).withColumns({c: rounded(c) for c in ("recall", "mrr", "hit_rate")})
 
 
-@query()
+@query(r"""WITH RECURSIVE q AS (SELECT doc_id, unnest([trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split_regex(trim(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')), '\n\s*\n+') if trim(x) <> '']) AS rest FROM documents),
+p AS (SELECT row_number() OVER () AS k, doc_id, rest FROM q WHERE rest <> ''),
+c AS (SELECT k, doc_id, '' AS piece, rest, 0 AS n FROM p UNION ALL
+  SELECT k, doc_id, trim(substr(rest, 1, cut)), trim(substr(rest, cut + 1)), n + 1 FROM (
+    SELECT *, CASE WHEN length(rest) <= 1800 THEN length(rest) WHEN last <= 600 THEN 1800 ELSE last END AS cut FROM (
+      SELECT *, list_max([1802 - strpos(reverse(substr(rest, 1, 1801)), m) for m in ['。', '！', '？', '!', '?', ';', '；', ',', '，', ' '] if contains(substr(rest, 1, 1801), m)]) AS last0, coalesce(last0, 0) AS last FROM c WHERE rest <> '')))
+SELECT doc_id AS document_id, count(*) AS chunks, sum(length(piece))::BIGINT AS letters, CAST(max(length(piece)) AS INT) AS longest FROM c WHERE n > 0 GROUP BY doc_id""")
 def chunk_counts(spark, sf_dir):
     rows = retrieval.build_chunks(documents(spark, sf_dir))
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("letters"), F.max(F.length("text")).alias("longest"))
@@ -609,12 +672,13 @@ def ops_snapshot(spark, sf_dir):
 _WANTED = ("running", "succeeded", "failed", "cancelled", "queued")
 
 
-@query()
+@query("""WITH w AS (SELECT user_id, ts, event_id, ['running', 'succeeded', 'failed', 'cancelled', 'queued'][event_id % 5 + 1] AS wanted FROM events)
+SELECT user_id AS job_id, list_reduce(list_prepend('queued', list(wanted ORDER BY ts, event_id)), lambda s, x: CASE WHEN (s = 'queued' AND x IN ('running', 'cancelled')) OR (s = 'running' AND x IN ('succeeded', 'failed', 'cancelled', 'queued')) THEN x ELSE s END) AS state FROM w GROUP BY user_id""")
 def job_states(spark, sf_dir):
-    """Each user's events as wanted states of a job."""
+    """Each user's events as wanted states of a job; an hour's events are one part."""
     rows = table(spark, sf_dir, "events")
     wanted = F.element_at(F.array(*map(F.lit, _WANTED)), (F.col("event_id") % len(_WANTED) + 1).cast("int"))
-    return delivery.job_states(rows.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("seq"), wanted.alias("wanted")))
+    return delivery.job_states(rows.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("seq"), wanted.alias("wanted")), F.date_trunc("hour", F.col("seq.ts")))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

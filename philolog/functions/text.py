@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed: a token is a word with inner apostrophes or hyphens, a number with inner separators, or one symbol.
 TOKEN = r"\p{L}+(?:['’\-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[^\p{L}\p{N}\s\u0085\p{Z}]"
@@ -27,8 +28,24 @@ def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACES, " "))
 
 
+def _folded_letters() -> dict[str, str]:
+    """Letters that full case folding changes though they are lower case already, by the Unicode tables at hand."""
+    lower = (c for c in map(chr, range(0x80, 0x110000)) if c.lower() == c)
+    return {c: f for c in lower if (f := c.casefold()) != c}
+
+
+FOLDED = _folded_letters()
+_ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+_MORE = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
+
 def casefold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, then what it leaves (final sigma, ß, ligatures and the like). Plain ASCII stops at lower case."""
+    low = F.lower(text)
+    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("a"), F.lit(f).alias("b")) for c, f in _MORE.items()])
+    more = F.when(one.rlike(f"[{''.join(_MORE)}]"), F.aggregate(pairs, one, lambda t, m: F.replace(t, m["a"], m["b"]))).otherwise(one)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), more).otherwise(low)
 
 
 def paragraphs(text: Column) -> Column:
@@ -41,7 +58,7 @@ def paragraphs(text: Column) -> Column:
 def sentences(text: Column, language: Column) -> Column:
     whole = compact(text)
     cut = F.when(language == "zh", F.split(whole, SENTENCE_END_ZH)).otherwise(F.split(whole, SENTENCE_END))
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:
@@ -135,20 +152,16 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 CHUNK_ENDS, CHUNK_LIMIT = "。！？!?;；,， ", 1800
 
 
-def cut_chunks(text: str | None, limit: int = CHUNK_LIMIT) -> list[str]:
-    """Chunks of at most `limit` characters, cut after the last mark unless that would leave less than a third."""
-    rest, out = " ".join((text or "").split()), []
-    while len(rest) > limit:
-        at = max(rest.rfind(mark, 0, limit + 1) for mark in CHUNK_ENDS)
-        at = limit if at < max(1, limit // 3) else at + 1
-        out.append(rest[:at].strip())
-        rest = rest[at:].strip()
-    return out + [rest] if rest else out
-
+def chunks(text: Column, limit: int = CHUNK_LIMIT) -> Column:
+    """Chunks of at most `limit` characters: each ends with the last mark it can, unless that would leave less than a third.
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks(text: pd.Series) -> pd.Series:
-    return text.map(cut_chunks)
+    One pattern takes a chunk at a time. While more than `limit` characters are left, its first branch
+    reaches for the last mark, its second takes a full chunk; the last chunk is what remains.
+    """
+    marks, third = re.escape(CHUNK_ENDS), max(1, limit // 3)
+    long = rf"(?s)(?=.{{{limit + 1}}})(?:.{{{third},{limit}}}[{marks}]|.{{{limit}}})\x20?|(?s).+"
+    parts = F.regexp_extract_all(compact(text), F.lit(long), F.lit(0))
+    return F.filter(F.transform(parts, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def literal_spans(text: str, term: str, case_sensitive: bool, whole_words: bool) -> list[tuple[int, int]]:

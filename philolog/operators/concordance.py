@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -47,6 +48,53 @@ def phrase_hits(tokens: DataFrame, slots: list[Slot], *, scope: str = "stream",
     return hits.select(*columns[:5], F.lit(len(slots)).alias("token_length"), "document_length")
 
 
+def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None) -> DataFrame:
+    """The hits of phrase_hits() with what stands around them, found within each document's own row: nothing is shuffled.
+
+    width: adds C, L<width>..L1, R1..R<width> (folded words, null beyond the document) and left_context,
+    keyword and right_context (surfaces). context: adds left, keyword and right as they stand in the stream.
+    """
+    rows = index.word_arrays(documents, offsets=context is not None)
+    d, k = F.col("d"), len(slots)
+    n = F.size(d["words"])
+
+    def slot_holds(i: Column, j: int, slot: Slot) -> Column:
+        def value(_, name: str) -> Column:
+            return F.get(d["surfaces" if name == "surface" else "words"], i + (j - 1)) if name in ("surface", "normalized") else F.lit("")
+
+        return predicate(slot, language, value)
+
+    def holds(i: Column) -> Column:
+        closed = [slot_holds(i, j, s) for j, s in enumerate(slots) if not s.open]
+        return reduce(Column.__and__, closed) if closed else F.lit(True)
+
+    def sentence(p: Column) -> Column:
+        return F.size(F.filter(d["before"], lambda b: b < p))
+
+    at = F.when(n >= k, F.filter(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), holds)).otherwise(F.array().cast("array<int>"))
+    if scope == "sentence":
+        at = F.filter(at, lambda i: sentence(i) == sentence(i + (k - 1)))
+
+    def run(name: str, low: Column, high: Column) -> Column:
+        low = F.greatest(low, F.lit(1))
+        return F.array_join(F.slice(d[name], low, F.greatest(high - low + 1, F.lit(0))), " ")
+
+    def described(i: Column) -> Column:
+        last = i + (k - 1)
+        out = {"sentence_no": sentence(i).cast("long"), "sentence_position": i.cast("long") - F.element_at(d["before"], sentence(i)), "stream_position": i.cast("long"), "token_length": F.lit(k), "document_length": n.cast("long")}
+        if width:
+            out |= {"left_context": run("surfaces", i - width, i - 1), "keyword": run("surfaces", i, last), "right_context": run("surfaces", last + 1, last + width)}
+            out |= {f"L{m}": F.get(d["words"], i - (1 + m)) for m in range(width, 0, -1)} | {"C": F.get(d["words"], i - 1)} | {f"R{m}": F.get(d["words"], last + (m - 1)) for m in range(1, width + 1)}
+        if context is not None:
+            start, end = F.element_at(d["starts"], i), F.element_at(d["ends"], last)
+            first, final = F.element_at(d["starts"], F.greatest(i - context, F.lit(1))), F.element_at(d["ends"], F.least(last + context, n))
+            cut = lambda x, y: F.substring(d["stream"], (x + 1).cast("int"), (y - x).cast("int"))
+            out |= {"left": X.display_fragment(cut(first, start), language), "keyword": cut(start, end), "right": X.display_fragment(cut(end, final), language)}
+        return F.struct(*[c.alias(name) for name, c in out.items()])
+
+    return rows.select("document_id", "language", F.explode(F.transform(at, described)).alias("h")).select("document_id", "language", "h.*")
+
+
 def with_neighbours(hits: DataFrame, tokens: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
     """Adds L<left>..L1, C and R1..R<right> (folded words, null beyond the document), and keyword, left_context, right_context (surfaces).
 
@@ -149,15 +197,17 @@ def concordance(documents: DataFrame, slots: list[Slot], options: Kwic) -> DataF
     """Hits of any slots with contexts and kpf. Only documents that can hold a hit are cut into tokens, unless positions in the corpus are asked for."""
     keys = check_sort_keys(options.sort_keys)
     own = documents.where(F.col("lang") == options.language)
-    if options.sample:
-        tokens = index.with_global_position(index.token_table(documents)).where(F.col("language") == options.language)
-    else:
+    width = max(options.context, 5 if keys else 0)
+    if options.pos:
         tokens = index.token_table(own.where(may_hold(F.col("text"), slots)))
-    hits = phrase_hits(tokens, slots, language=options.language, pos=options.pos)
+        hits = with_neighbours(phrase_hits(tokens, slots, language=options.language, pos=options.pos), tokens, width, width)
+    else:
+        hits = row_hits(own.where(may_hold(F.col("text"), slots)), slots, language=options.language, width=width)
     if options.sample:
-        hits = sampled(hits.join(tokens.select("document_id", "stream_position", "global_position"), ["document_id", "stream_position"]), options.sample, options.seed)
-    width = max(options.context, 5 if keys else 0)
-    return pattern_frequency(with_neighbours(hits, tokens, width, width), keys)
+        offsets = index.document_offsets(index.word_counts(documents), documents.select(F.col("doc_id").alias("document_id")))
+        hits = hits.join(offsets, "document_id").withColumn("global_position", F.col("tokens_before_document") + F.col("stream_position")).drop("tokens_before_document")
+        hits = sampled(hits, options.sample, options.seed)
+    return pattern_frequency(hits, keys)
 
 
 def union_hits(parts: list[DataFrame]) -> DataFrame:
@@ -185,37 +235,38 @@ def filter_by_context(hits: DataFrame, tokens: DataFrame, conditions: list[Slot]
 
 
 def pattern_hits(documents: DataFrame, pattern: str, *, language: str = "en", case_sensitive: bool = False) -> DataFrame:
-    """Hits of a pattern in whole document streams: start, end (code points), text, first and last token.
+    """Hits of a pattern in whole document streams: start, end (code points), text, first token and number of tokens.
 
-    Spans without length, and those that meet no token, are no hits. The pattern runs in one Arrow
-    pass over documents; spans meet tokens in a join on document and character range.
+    Spans without length, and those that meet no token, are no hits. One Arrow pass over documents; a
+    document's spans find their tokens by bisection in its own token offsets.
     """
     check_pattern(pattern, 500)
     compiled = regex.compile(pattern, 0 if case_sensitive else regex.IGNORECASE)
-
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    token = regex.compile(X.TOKEN)
+
+    def hits_of(text: str) -> list[dict]:
+        found = [m for m in compiled.finditer(text) if m.end() > m.start()]
+        edges = [m.span() for m in token.finditer(text)] if found else []
+        starts, ends = [a for a, _ in edges], [b for _, b in edges]
+        out = []
+        for m in found:
+            first, last = bisect_right(ends, m.start()), bisect_left(starts, m.end())
+            if first < last:
+                out.append({"start": m.start(), "end": m.end(), "text": m.group(), "stream_position": first + 1, "token_length": last - first})
+        return out
+
+    @F.pandas_udf("array<struct<start:int,end:int,text:string,stream_position:long,token_length:long>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "text": m.group()} for m in compiled.finditer(t) if m.end() > m.start()])
+        return texts.map(hits_of)
 
     own = documents.where(F.col("lang") == language)
-    found = index.document_streams(own).select("document_id", "language", F.explode(spans("text")).alias("s")).select("document_id", "language", "s.*")
-    tokens = index.token_table(own, offsets=True).select("document_id", "language", "stream_position", "document_start", "document_end")
-    met = found.join(tokens, ["document_id", "language"]).where("document_start < end and document_end > start")
-    return met.groupBy("document_id", "language", "start", "end", "text").agg(F.min("stream_position").alias("stream_position"), (F.max("stream_position") - F.min("stream_position") + 1).alias("token_length"))
+    return index.document_streams(own).select("document_id", "language", F.explode(spans("text")).alias("s")).select("document_id", "language", "s.*")
 
 
-def snippets(hits: DataFrame, documents: DataFrame, context: int = 5) -> DataFrame:
-    """Adds left, keyword and right as they stand in the document's stream."""
-    tokens = index.token_table(documents, offsets=True)
-    edges = tokens.select("document_id", "language", "stream_position", "document_start", "document_end")
-    key = ["document_id", "language", "stream_position", "token_length"]
-    asked = hits.select(*key, "document_length").withColumn("p", F.explode(F.array_distinct(F.array(F.greatest(F.lit(1), F.col("stream_position") - context), F.col("stream_position"), F.col("stream_position") + F.col("token_length") - 1, F.least(F.col("document_length"), F.col("stream_position") + F.col("token_length") - 1 + context)))))
-    met = asked.join(edges.withColumnRenamed("stream_position", "p"), ["document_id", "language", "p"])
-    inside = (F.col("p") >= F.col("stream_position")) & (F.col("p") < F.col("stream_position") + F.col("token_length"))
-    spans = met.groupBy(*key).agg(F.min("document_start").alias("a"), F.min(F.when(inside, F.col("document_start"))).alias("b"), F.max(F.when(inside, F.col("document_end"))).alias("c"), F.max("document_end").alias("d"))
-    text = F.col("text")
-    cut = lambda x, y: F.substring(text, (F.col(x) + 1).cast("int"), (F.col(y) - F.col(x)).cast("int"))
-    return spans.join(index.document_streams(documents), ["document_id", "language"]).select(*key, X.display_fragment(cut("a", "b"), "en").alias("left"), cut("b", "c").alias("keyword"), X.display_fragment(cut("c", "d"), "en").alias("right"))
+def snippets(documents: DataFrame, slots: list[Slot], context: int = 5, *, language: str = "en") -> DataFrame:
+    """Hits with left, keyword and right as they stand in the document's stream."""
+    hits = row_hits(documents.where(F.col("lang") == language).where(may_hold(F.col("text"), slots)), slots, language=language, context=context)
+    return hits.select("document_id", "language", "stream_position", "token_length", "left", "keyword", "right")
 
 
 def file_view(documents: DataFrame, document_id: int, spans: DataFrame) -> DataFrame:

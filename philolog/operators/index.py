@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from philolog.functions import text as X
 
-#: Documents whose token counts one window task sums.
-DOCUMENTS_AT_ONCE = 4096
+#: Ranges of numbers whose rows one window task orders.
+PARTS = 256
 
 
 def sentence_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
@@ -57,20 +57,57 @@ def document_streams(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), text.alias("text"))
 
 
-def document_offsets(tokens: DataFrame) -> DataFrame:
-    """document_id, tokens_before_document: a prefix sum over documents in the order of their ids, in two levels."""
-    counts = tokens.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("document_id") / DOCUMENTS_AT_ONCE))
+def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False) -> DataFrame:
+    """A row per document: document_id, language, d: surfaces, words (folded), before (tokens before each sentence);
+    with offsets also stream, starts and ends (in code points of the stream)."""
+    rows = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(F.coalesce(F.col(text_col), F.lit("")), F.col(language_col)).alias("s"))
+    none = F.array().cast("array<long>")
+    if offsets:
+        rows = rows.withColumn("stream", F.array_join("s", "\n")).withColumn("surfaces", X.tokens(F.col("stream")))
+        rows = rows.withColumn("n", F.transform("s", lambda x: F.regexp_count(x, F.lit(X.TOKEN)).cast("long")))
+        rows = rows.withColumn("gaps", F.transform(F.slice(X.token_gaps(F.col("stream")), F.lit(1), F.size("surfaces")), F.length))
+        rows = rows.withColumn("at", F.when(F.size("gaps") > 0, X.running(F.zip_with("gaps", "surfaces", lambda g, t: (g + F.length(t)).cast("long")))).otherwise(none))
+        rows = rows.withColumn("starts", F.zip_with("at", "gaps", lambda x, g: x + g)).withColumn("ends", F.zip_with("starts", "surfaces", lambda x, t: x + F.length(t)))
+    else:
+        rows = rows.withColumn("t", F.transform("s", X.tokens)).withColumn("surfaces", F.flatten("t")).withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
+    rows = rows.withColumn("words", F.transform("surfaces", X.casefold)).withColumn("before", F.when(F.size("n") > 0, X.running(F.col("n"))).otherwise(none))
+    names = ["surfaces", "words", "before", *(["stream", "starts", "ends"] if offsets else [])]
+    # what is exploded is worked out once for each row, however often an expression above names it
+    return rows.select("document_id", "language", F.explode(F.array(F.struct(*names))).alias("d"))
+
+
+def word_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
+    """document_id, n: tokens of each document that has any."""
+    cut = F.transform(X.sentences(F.coalesce(F.col(text_col), F.lit("")), F.col(language_col)), lambda x: F.regexp_count(x, F.lit(X.TOKEN)).cast("long"))
+    return documents.select(F.col(id_col).alias("document_id"), F.aggregate(cut, F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).where("n > 0")
+
+
+def part_of(rows: DataFrame, column: str, parts: int = PARTS) -> Column:
+    """Which of about `parts` ranges with like numbers of rows a number lies in. Their bounds, as many numbers, come to the driver."""
+    marks = [k / parts for k in range(1, parts)]
+    bounds = rows.agg(F.percentile_approx(column, marks, 10 * parts)).first()[0] or []
+    return F.array_size(F.filter(F.lit(sorted(set(bounds))).cast("array<long>"), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+
+
+def document_offsets(counts: DataFrame, ids: DataFrame) -> DataFrame:
+    """document_id, tokens_before_document: a prefix sum over counts (document_id, n) in the order of ids, in two levels.
+
+    `ids` holds the same ids and is read for the bounds of the parts alone.
+    """
+    counts = counts.withColumn("part", part_of(ids, "document_id"))
     parts = counts.groupBy("part").agg(F.sum("n").alias("all"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("part").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return counts.join(parts, "part").select("document_id", (F.col("ahead") + F.col("inner")).alias("tokens_before_document"))
+    return counts.join(F.broadcast(parts), "part").select("document_id", (F.col("ahead") + F.col("inner")).alias("tokens_before_document"))  # PARTS rows at most
 
 
-def with_global_position(tokens: DataFrame) -> DataFrame:
-    """Adds global_position, from 1 without gaps."""
-    return tokens.join(document_offsets(tokens), "document_id").withColumn("global_position", F.col("tokens_before_document") + F.col("stream_position")).drop("tokens_before_document")
+def with_global_position(tokens: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Adds global_position, from 1 without gaps. `ids`: the documents' ids, where they can be had for less than the tokens."""
+    ids = tokens.select("document_id") if ids is None else ids
+    offsets = document_offsets(tokens.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")), ids)
+    return tokens.join(offsets, "document_id").withColumn("global_position", F.col("tokens_before_document") + F.col("stream_position")).drop("tokens_before_document")
 
 
 def word_totals(tokens: DataFrame, *extra: str) -> DataFrame:
@@ -103,7 +140,7 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
 
 def write_index(documents: DataFrame, folder: str) -> None:
     """The token table and its aggregates as Parquet: split by language, in the order of documents and positions."""
-    tokens = with_global_position(token_table(documents, offsets=True))
+    tokens = with_global_position(token_table(documents, offsets=True), documents.select(F.col("doc_id").alias("document_id")))
     tokens.repartitionByRange("language", "document_id").sortWithinPartitions("language", "document_id", "stream_position").write.mode("overwrite").partitionBy("language").parquet(f"{folder}/tokens")
     stored = documents.sparkSession.read.parquet(f"{folder}/tokens")
     word_totals(stored).write.mode("overwrite").partitionBy("language").parquet(f"{folder}/word_totals")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,24 +146,21 @@ def cloud_terms(rows: DataFrame, k: int, stop: list[str] | None = None) -> DataF
 
 def cloud_layout(terms: list[tuple[str, int, float]], palette: tuple[str, ...] = ("#264653", "#2a9d8f", "#e76f51")) -> list[dict]:
     """Places terms (at most some hundreds) outward on an ellipse, each at the first free place; a term without one is left out."""
-    boxes: list[tuple[float, float, float, float]] = []
-    out = []
-
-    def free(box: tuple[float, float, float, float]) -> bool:
-        left, top, right, bottom = box
-        if min(left, top) < MARGIN or right > CLOUD_WIDTH - MARGIN or bottom > CLOUD_HEIGHT - MARGIN:
-            return False
-        return not any(left < r and l < right and top < b and t < bottom for l, t, r, b in boxes)  # noqa: E741
-
+    boxes, out = np.zeros((0, 4)), []
+    step = np.arange(TRIES)
     for rank, (term, frequency, size) in enumerate(terms):
         letters = sum(1.0 if unicodedata.east_asian_width(c) in "WFA" else LETTER for c in term)
         across = min(max(size, letters * size), CLOUD_WIDTH - 2 * MARGIN) / 2 + GAP_X
-        down = size * LINE / 2 + GAP_Y
-        path = ((OUTWARD * k, TURN * k + OFFSET * rank) for k in range(TRIES))
-        spots = ((CLOUD_WIDTH / 2 + r * math.cos(w), CLOUD_HEIGHT / 2 + FLAT * r * math.sin(w)) for r, w in path)
-        spot = next(((x, y) for x, y in spots if free((x - across, y - down, x + across, y + down))), None)
-        if spot:
-            x, y = spot
-            boxes.append((x - across, y - down, x + across, y + down))
+        half = np.array([across, size * LINE / 2 + GAP_Y])
+        # every spot of the term's spiral at once: those within the canvas that meet no box placed so far
+        turn = TURN * step + OFFSET * rank
+        spots = np.array([CLOUD_WIDTH, CLOUD_HEIGHT]) / 2 + OUTWARD * step[:, None] * np.stack((np.cos(turn), FLAT * np.sin(turn)), 1)
+        low, high = spots - half, spots + half
+        within = (low >= MARGIN).all(1) & (high <= np.array([CLOUD_WIDTH, CLOUD_HEIGHT]) - MARGIN).all(1)
+        meets = ((low[:, None] < boxes[None, :, 2:]) & (boxes[None, :, :2] < high[:, None])).all(2).any(1)
+        free = np.flatnonzero(within & ~meets)
+        if len(free):
+            x, y = spots[free[0]].tolist()
+            boxes = np.vstack((boxes, np.concatenate((low[free[0]], high[free[0]]))))
             out.append({"term": term, "frequency": frequency, "font_size": size, "x": round(x, 2), "y": round(y, 2), "color": palette[rank % len(palette)]})
     return out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
+from philolog.operators import index
 
 
 @dataclass
@@ -71,19 +72,19 @@ def occurrences(pairs: DataFrame, query: PairQuery) -> DataFrame:
         return found.select("*", F.lit(1).alias("occurrence_ordinal"), none.alias("start"), none.alias("end"))
     spans = X.spans_of(F.col(f"{side}_text"), term, case_sensitive=query.case_sensitive, whole_words=query.whole_words)
     rows = found.select("*", F.posexplode(spans).alias("_i", "_s")).select(*pairs.columns, (F.col("_i") + 1).alias("occurrence_ordinal"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
-    return every_nth(rows, query.every) if query.every > 1 else rows
+    return every_nth(rows, query.every, pairs) if query.every > 1 else rows
 
 
-def every_nth(rows: DataFrame, k: int) -> DataFrame:
+def every_nth(rows: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
     """Every k-th row in the order of pair_no and ordinal, the first included.
 
-    Ranks are a prefix sum over groups of pairs, so that no task orders all rows.
+    Ranks are a prefix sum over ranges of the pairs' numbers, so that no task orders all rows.
     """
-    rows = rows.withColumn("_part", F.floor(F.col("pair_no") / 4096))
+    rows = rows.withColumn("_part", index.part_of(pairs, "pair_no"))
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("pair_no", "occurrence_ordinal"))
-    rows = rows.withColumn("_rank", rank).join(sizes, "_part")
+    rows = rows.withColumn("_rank", rank).join(F.broadcast(sizes), "_part")  # a row per part
     return rows.where((F.col("_before") + F.col("_rank") - 1) % k == 0).drop("_part", "_rank", "_before")
 
 
@@ -100,18 +101,22 @@ def with_context(rows: DataFrame, query: PairQuery) -> DataFrame:
     return rows.select("*", *keys).drop("_l", "_r")
 
 
-def infer_highlights(pairs: DataFrame, query: PairQuery, *, max_matches: int = 2000, max_background: int = 20000) -> DataFrame:
+def _first(pairs: DataFrame, most: int | None) -> DataFrame:
+    return pairs if most is None else pairs.orderBy("pair_no").limit(most)
+
+
+def infer_highlights(pairs: DataFrame, query: PairQuery, *, max_matches: int | None = None, max_background: int | None = None) -> DataFrame:
     """Likely equivalents of q on the other side: key, surface, score.
 
     Words are scored by the log odds of being in a matching pair, times log1p of the matching pairs
-    with the word. The two bounds on pairs are part of the result's definition.
+    with the word. All pairs count, or the first ones by pair_no if bounds are given.
     """
     #: Fixed: least matches, coverage and score; share of the best score; groups and surfaces of a group.
     least, coverage, floor, share, groups, surfaces = 5, 0.20, 3.0, 0.55, 2, 4
     other = "b" if query.side == "a" else "a"
-    matched = matching_pairs(pairs, query).orderBy("pair_no").limit(max_matches).select("pair_no", f"{other}_text", F.lit(1).alias("hit"))
+    matched = _first(matching_pairs(pairs, query), max_matches).select("pair_no", f"{other}_text", F.lit(1).alias("hit"))
     ground = pairs.where(F.col("alignment_unit") == query.alignment_unit) if query.alignment_unit else pairs
-    ground = ground.orderBy("pair_no").limit(max_background).select("pair_no", f"{other}_text", F.lit(0).alias("hit"))
+    ground = _first(ground, max_background).select("pair_no", f"{other}_text", F.lit(0).alias("hit"))
     both = matched.union(ground).groupBy("pair_no").agg(F.max("hit").alias("hit"), F.first(f"{other}_text").alias("text"))
     totals = both.agg(F.sum("hit").alias("m"), F.sum(1 - F.col("hit")).alias("g"))
     terms = both.select("pair_no", "hit", F.explode(X.candidate_terms(F.col("text"), "en")).alias("t")).select("pair_no", "hit", "t.*")

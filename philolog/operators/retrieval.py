@@ -26,26 +26,27 @@ def pair_chunks(pairs: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of chunks that hold a query term; a term counts once in the query.
 
-    Terms are counted within a chunk's own row, so the only shuffle is of one row for each match.
+    Terms are counted and their parts added in the order of the query within a chunk's own row, so
+    reruns give the same sums; only one row of totals is shuffled.
     """
     session = chunks.sparkSession
     wanted = [r[0] for r in session.range(1).select(F.explode(F.array_distinct(X.retrieval_terms(F.lit(query))))).collect()]
     if not wanted:
         return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    terms = chunks.select(F.col(id_col).alias("id"), X.retrieval_terms(F.coalesce(text_col, F.lit(""))).alias("t")).withColumn("length", F.size("t"))
-    size = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    hits = terms.select("id", "length", F.explode(F.array(*map(_count, wanted))).alias("h"))
-    hits = hits.select("id", "length", "h.term", "h.tf").where("tf > 0")
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(spread), "term").crossJoin(F.broadcast(size))  # at most a row per query term; one row
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = chunks.select(F.col(id_col).alias("id"), X.retrieval_terms(F.coalesce(text_col, F.lit(""))).alias("t"))
+    counts = terms.select("id", F.size("t").alias("length"), *[_count(w).alias(f"tf_{k}") for k, w in enumerate(wanted)])
+    totals = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf_{k}") > 0).cast("long")).alias(f"df_{k}") for k in range(len(wanted))])
+    rows = counts.where(F.greatest(*[F.col(f"tf_{k}") for k in range(len(wanted))], F.lit(0)) > 0).crossJoin(F.broadcast(totals))  # one row
     relative = F.when(F.col("mean") > 0, F.col("length") / F.col("mean")).otherwise(1.0)
-    part = idf * F.col("tf") * NUMERATOR / (F.col("tf") + SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * relative))
-    return rows.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
+    score = F.lit(0.0)
+    for k in range(len(wanted)):
+        tf, df = F.col(f"tf_{k}"), F.col(f"df_{k}")
+        score = score + F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * NUMERATOR / (tf + SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * relative))
+    return rows.select("id", score.alias("score")).where("score > 0")
 
 
 def _count(word: str) -> Column:
-    return F.struct(F.lit(word).alias("term"), F.size(F.filter("t", lambda x: x == word)).alias("tf"))
+    return F.size(F.filter("t", lambda x: x == word))
 
 
 def dense_search(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -56,7 +57,12 @@ def dense_search(vectors: DataFrame, query: list[float], k: int, id_col: str = "
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     length = sum(float(x) ** 2 for x in query) ** 0.5
     scored = vectors.where(F.size(vector_col) == len(query)).select(F.col(id_col).alias("id"), dot.alias("d"), norm.alias("n")).where("n > 0")
-    return scored.select("id", (F.col("d") / (F.col("n") * length)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return ranked_scores(scored.select("id", (F.col("d") / (F.col("n") * length)).alias("score")), k)
+
+
+def ranked_scores(scores: DataFrame, k: int) -> DataFrame:
+    """The k best of scored rows; scores count to nine digits, so that sums in another order don't part ties."""
+    return scores.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(k)
 
 
 def ranks(scores: DataFrame, name: str) -> DataFrame:

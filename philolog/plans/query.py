@@ -8,6 +8,7 @@ contains(v), and bare terms with wildcards.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import regex
@@ -18,7 +19,7 @@ from philolog.functions import text as X
 
 #: Fixed limits: characters of a query, its tokens, characters of one value and of a pattern.
 MAX_QUERY, MAX_TOKENS, MAX_VALUE, MAX_PATTERN = 500, 20, 100, 200
-_TOKEN = regex.compile(r"\p{L}+(?:['’\-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[^\p{L}\p{N}\s]")
+_TOKEN = regex.compile(X.TOKEN)
 _RESERVED = '"[]();'
 
 
@@ -172,13 +173,17 @@ def _like(value: str) -> str:
     return value.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
-def predicate(slot: Slot, language: str = "en") -> Column:
-    """The slot as a condition on a token row."""
-    word = F.col("surface") if slot.case_sensitive else F.col("normalized")
+def of_token_row(slot: Slot, name: str) -> Column:
+    return F.col(name)
+
+
+def predicate(slot: Slot, language: str = "en", value: Callable[[Slot, str], Column] = of_token_row) -> Column:
+    """The slot as a condition on a token; `value` gives the token's surface, normalized, lemma or pos."""
+    word = value(slot, "surface" if slot.case_sensitive else "normalized")
     if slot.attribute == "pos":
-        word = F.col("pos")
+        word = value(slot, "pos")
     elif slot.attribute == "lemma":
-        word = F.coalesce(F.nullif(F.col("lemma"), F.lit("")), F.col("normalized"))
+        word = F.coalesce(F.nullif(value(slot, "lemma"), F.lit("")), value(slot, "normalized"))
         word = F.lower(word) if language == "en" else word
     if slot.kind == "any":
         return F.lit(True)
@@ -194,7 +199,7 @@ def predicate(slot: Slot, language: str = "en") -> Column:
         pattern = _like(slot.value).replace("*", "%").replace("?", "_")
         return word.ilike(pattern) if slot.attribute == "pos" else word.like(pattern)
     flags = "" if slot.case_sensitive else "(?iu)"
-    return F.col("surface").rlike(f"{flags}^(?:{slot.value})$" if slot.kind == "full" else f"{flags}{slot.value}")
+    return value(slot, "surface").rlike(f"{flags}^(?:{slot.value})$" if slot.kind == "full" else f"{flags}{slot.value}")
 
 
 def may_hold(documents_text: Column, slots: list[Slot]) -> Column:

@@ -34,7 +34,7 @@ def raw_mono(files: DataFrame) -> DataFrame:
 
 def title_of(text):
     """The first line that isn't blank, 200 characters at most."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 200)
 
 

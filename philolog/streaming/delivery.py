@@ -90,10 +90,17 @@ def next_state(state: Column, wanted: Column) -> Column:
     return out
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Batch: job_id and final state after events (job_id, seq, wanted), from queued."""
-    ordered = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "wanted"))).alias("e"))
-    return ordered.select("job_id", F.aggregate("e", F.lit("queued"), lambda s, x: next_state(s, x["wanted"])).alias("state"))
+def job_states(events: DataFrame, part: Column) -> DataFrame:
+    """Batch: job_id and final state after events (job_id, seq, wanted), from queued.
+
+    `part` rises with seq and cuts a job's events into parts of bounded size (such as hours). A part
+    becomes a map from the state before it to the state after it, and a job's maps are put together.
+    """
+    states = F.array(*map(F.lit, TRANSITIONS))
+    of_part = events.groupBy("job_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "wanted"))).alias("e"))
+    moved = F.map_from_arrays(states, F.transform(states, lambda old: F.aggregate("e", old, lambda s, x: next_state(s, x["wanted"]))))
+    of_job = of_part.select("job_id", "part", moved.alias("moved")).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("part", F.map_values("moved").alias("to")))).alias("m"))
+    return of_job.select("job_id", F.aggregate("m", F.lit("queued"), lambda s, x: F.element_at(x["to"], F.array_position(states, s).cast("int"))).alias("state"))
 
 
 def restored(jobs: DataFrame) -> DataFrame:

@@ -107,11 +107,28 @@ def test_file_view(spark, docs):
 
 def test_snippets(spark):
     docs = spark.createDataFrame([(1, "A b.  C-d, e f!\n\nG h", "en")], "doc_id long, text string, lang string")
-    hits = concordance.phrase_hits(index.token_table(docs), parse_simple("e"))
-    (row,) = concordance.snippets(hits, docs, 2).collect()
+    (row,) = concordance.snippets(docs, parse_simple("e"), 2).collect()
     assert (row["left"], row["keyword"], row["right"]) == ("C-d,", "e", "f!")
 
 
+def test_hits_of_folded_words(spark):
+    docs = spark.createDataFrame([(1, "Ο λόγος και ο ΛΟΓΟΣ. The oﬃce of the Office", "en")], "doc_id long, text string, lang string")
+    found = {q: concordance.Kwic(q).hits(docs).count() for q in ("ΛΌΓΟΣ", "λόγος", "office", "OFFICE of")}
+    assert found == {"ΛΌΓΟΣ": 1, "λόγος": 1, "office": 2, "OFFICE of": 1}
+
+
+@pytest.mark.parametrize("query", ['"in" [] "of"', '[] "terms"', '"of" []', "[]", '[word="t*s"] "of" [pos="X"]', 'starts_with("pol")'])
+@pytest.mark.parametrize("scope", ["stream", "sentence"])
+def test_hits_in_rows_equal_joins(spark, query, scope):
+    docs = spark.createDataFrame([(1, "In terms of policy. In terms of law.", "en"), (2, "in support of policy", "en"), (3, "", "en"), (4, None, "en"), (5, "of", "en")], "doc_id long, text string, lang string")
+    columns = ["document_id", "language", "sentence_no", "sentence_position", "stream_position", "token_length", "document_length"]
+    slots = parse_brackets(query)
+    joined = concordance.phrase_hits(index.token_table(docs), slots, scope=scope).select(*columns).collect()
+    rows = concordance.row_hits(docs, slots, scope=scope).select(*columns)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, joined))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contingency(spark):
     table = Contingency.from_marginals(*map(F.lit, (20, 100, 50, 1000)))
     m = table.measures()

@@ -30,11 +30,22 @@ def test_stems(spark, word, stem):
     assert one(spark, X.light_stem(F.lit(word))) == stem
 
 
-def test_chunks_lose_nothing():
+def test_chunks_lose_nothing(spark):
     text = "word, " * 900
-    parts = X.cut_chunks(text)
-    assert all(len(p) <= 1800 for p in parts) and " ".join(parts).replace(" ", "") == text.replace(" ", "")
-    assert X.cut_chunks("x" * 4000) == ["x" * 1800, "x" * 1800, "x" * 400] and X.cut_chunks(None) == []
+    parts = one(spark, X.chunks(F.lit(text)))
+    assert all(len(p) <= 1801 for p in parts) and " ".join(parts).replace(" ", "") == text.replace(" ", "")
+    assert one(spark, X.chunks(F.lit("x" * 4000))) == ["x" * 1800, "x" * 1800, "x" * 400] and one(spark, X.chunks(F.lit(""))) == []
+    assert one(spark, X.chunks(F.lit("ab cd。ef  gh, ij"), 6)) == ["ab cd。", "ef gh,", "ij"]
+    assert one(spark, X.chunks(F.lit("a bcdefghijkl"), 6)) == ["a bcde", "fghijk", "l"]
+
+
+def test_folding_is_full(spark):
+    words = ["ΛΌΓΟΣ", "λόγος", "oﬃce", "STRASSE", "Straße", "Ꭰꭰ", "İı", "ŉ", "plain ABC", "", "ΐ"]
+    assert [one(spark, X.casefold(F.lit(w))) for w in words] == [w.casefold() for w in words]
+
+
+def test_sentences_keep_their_figures(spark):
+    assert one(spark, X.sentences(F.lit("0 is 0. 1 and 1. 2"), F.lit("en"))) == ["0 is 0.", "1 and 1.", "2"]
 
 
 def test_literal_spans():
