@@ -3,12 +3,12 @@
 Method: count-vector R-tree. Shingle hashes are dealt into groups, and a set becomes the point of
 its group counts. Two sets share at most the sum of the coordinate minima of their points.
 
-1. Blocking. For sets of at most u shingles that link, at most r shingles are in one set only. The
-   hash range is cut into m > r coordinate blocks, of which at least m - r agree exactly. As of two
-   equal lists of blocks at least one lies within the r + 1 first in any common order, a set emits
-   its r + 1 fullest blocks. So frequent passages that unlike texts share rarely make a key, and no
-   link is lost. Rows of one key become a star, first within an Arrow batch and then across them,
-   so a key holds one row for each batch however many texts share it.
+1. Blocking. In any one order of all shingles, two sets of n and m shingles that link share one of
+   the first n - needed + 1 and m - needed + 1 of theirs, as the least common shingle has at most that
+   many before it. The order puts shingles that a sample of rows shows to be common last, so frequent
+   passages that unlike texts share rarely make a key; whatever the sample, no link is lost. Rows of
+   one key become a star, first within an Arrow batch and then across them, so a key holds one row
+   for each batch however many texts share it.
 2. The components of those stars are the units within which all links lie. A small unit is one tile.
    A unit of more sets or bytes is cut into cells by size, such that links reach the next cell at
    most, and cells into tiles of bounded size. A few pivots of each cell are compared with all sets
@@ -34,10 +34,8 @@ from philolog.llm import _bytes
 from philolog.llm._session import checkpoints
 from philolog.llm.components import connected_components
 
-#: Sizes of one class differ by this factor at most.
-CLASS_RATIO = 1.3
-#: Blocks for each block that is emitted; more make the emitted ones hold more than the average.
-SPARE_BLOCKS = 1.5
+#: Rows of the sample that common shingles are looked for in, about, and how many of them every task knows.
+SAMPLE_ROWS, COMMON = 10_000, 400_000
 #: Sets of a tile, and bytes of their shingle hashes; a larger set is a tile of its own, about.
 TILE_SETS, TILE_BYTES = 1024, 16 << 20
 #: Sets of a cell that are compared with all sets of it and of its neighbours.
@@ -59,9 +57,13 @@ class Threshold:
         """Most elements that a set linked to one of `size` can have."""
         return 100 * size // self.percent
 
-    def one_sided(self, size: int) -> int:
-        """Most elements that lie in one set only, for linked sets of at most `size`."""
-        return 2 * size * (100 - self.percent) // (100 + self.percent)
+    def unlike(self, size: int) -> bool:
+        """Whether a set of this size can link with one that isn't equal to it."""
+        return 100 * size >= self.percent * (size + 1) or 100 * (size - 1) >= self.percent * size
+
+    def prefix(self, size: int) -> int:
+        """How many of its first shingles a set must show, whatever the size of its partner."""
+        return size - -(-self.percent * size // 100) + 1
 
 
 def shingle_sets(w: _bytes.Words, width: int) -> list[np.ndarray]:
@@ -92,34 +94,42 @@ def fingerprint(s: np.ndarray) -> int:
     return int(_bytes.mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
 
 
-def class_of(size: int) -> int:
-    return int(math.floor(math.log(size) / math.log(CLASS_RATIO) + 1e-9))
-
-
-def class_top(k: int) -> int:
-    """No size above it is of class k."""
-    return int(math.floor(CLASS_RATIO ** (k + 1))) + 1
-
-
-def block_keys(s: np.ndarray, t: Threshold) -> list[np.ndarray]:
-    """Keys of a set, for its class and those of larger sets that it may link with."""
-    n, out = len(s), []
-    if t.one_sided(n + 1) < 1:
-        return out
-    marks = _bytes.mix(s)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(marks)))
-    high = s >> np.uint64(32)
-    for k in range(class_of(n), class_of(t.partner(n)) + 1):
-        r = t.one_sided(class_top(k))
-        m = math.ceil(SPARE_BLOCKS * (r + 1))
-        counts = np.bincount(((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64), minlength=m)
-        ends = np.cumsum(counts)
-        key = sums[ends] - sums[ends - counts]
-        key += np.arange(m, dtype=np.uint64) * _STEP[1] + counts.astype(np.uint64) * _STEP[2] + np.uint64(k * int(_STEP[3]) % 2**64)
-        key = _bytes.mix(key)
-        order = (np.uint64(1 << 20) - counts.astype(np.uint64)) << np.uint64(43) | key >> np.uint64(21)
-        out.append(key[np.argpartition(order, r)[: r + 1]] if r + 1 < m else key)
-    return out
+def prefix_keys(s: np.ndarray, t: Threshold, common: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first in the order: seldom ones, then those of `common` (sorted, with ranks in their low bits)."""
+    if not t.unlike(len(s)):
+        return s[:0]
+    n = t.prefix(len(s))
+    rank = np.zeros(len(s), np.uint64)
+    if len(common):
+        names = common & _NAME
+        at = np.minimum(np.searchsorted(names, s & _NAME), len(names) - 1)
+        rank = np.where(names[at] == s & _NAME, (common[at] & _RANK) + np.uint64(1), np.uint64(0))
+    # of one rank the order is that of the hashes
+    order = np.lexsort((s, rank))[:n]
+    return s[order]
+
+
+#: A common shingle in one number: its name above, how common it is below.
+_RANK = np.uint64((1 << 6) - 1)
+_NAME = ~_RANK
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several rows of a sample hold, as prefix_keys() takes them. They set an order only, so any sample will do."""
+    n = docs.count()
+    sample = docs.select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(n, 1)), seed=4)
+
+    def count(batches):
+        for batch in batches:
+            sets = list(_sets_of(batch.column(0), width))
+            if sets:
+                names, times = np.unique(np.concatenate(sets) & _NAME, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times)], ["name", "n"])
+
+    seen = sample.mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = seen.orderBy(F.desc("n"), "name").limit(COMMON).toPandas()
+    rank = np.minimum(np.log2(seen["n"].to_numpy(np.float64)) * 3, float(_RANK) - 1).astype(np.uint64) if len(seen) else np.zeros(0, np.uint64)
+    return np.sort(seen["name"].to_numpy(np.int64).view(np.uint64) | rank)
 
 
 class Forest:
@@ -180,6 +190,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 def _units(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
     """Edges (u, v) between set names that share a blocking key."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def emit(batches):
         for batch in batches:
@@ -188,7 +199,8 @@ def _units(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame
             for s in _sets_of(batch.column(0), width):
                 if len(s) and (name := fingerprint(s)) not in seen:
                     seen.add(name)
-                    for k in block_keys(s, t):
+                    k = prefix_keys(s, t, common.value)
+                    if len(k):
                         keys.append(k)
                         nodes.append(name)
                         sizes.append(len(k))

@@ -99,18 +99,25 @@ def test_shingle_groups_of_odd_rows(spark):
     assert shingle_join.shingle_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_block_keys_lose_no_link():
-    """Of any two sets that link, at least one key is common."""
-    draw, t = np.random.default_rng(3), shingle_join.Threshold(85)
-    for _ in range(300):
-        n = int(draw.integers(6, 400))
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefix_keys_lose_no_link(percent):
+    """Of any two sets that link, at least one key is common, whatever shingles are taken for common."""
+    draw, t = np.random.default_rng(3), shingle_join.Threshold(percent)
+    seen = 0
+    for _ in range(600):
+        n = int(draw.integers(3, 400))
         a = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
-        cut = int(draw.integers(0, max(1, len(a) // 6)))
-        b = np.unique(np.concatenate((a[cut:], draw.integers(0, 2**64, int(draw.integers(0, max(1, len(a) // 6))), dtype=np.uint64))))
+        cut = int(draw.integers(0, max(1, len(a) // 5)))
+        b = np.unique(np.concatenate((a[cut:], draw.integers(0, 2**64, int(draw.integers(0, max(1, len(a) // 5))), dtype=np.uint64))))
         shared = np.intersect1d(a, b).size
-        if 100 * shared >= 85 * (len(a) + len(b) - shared) and not np.array_equal(a, b):
-            keys = [set(np.concatenate(k).tolist()) if (k := shingle_join.block_keys(s, t)) else set() for s in (a, b)]
-            assert keys[0] & keys[1]
+        if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+            some = draw.choice(a, len(a) // 2, replace=False)
+            common = np.sort((some & shingle_join._NAME) | draw.integers(0, 60, len(some)).astype(np.uint64))
+            for known in (common, common[:0]):
+                assert np.intersect1d(shingle_join.prefix_keys(a, t, known), shingle_join.prefix_keys(b, t, known)).size
+            seen += 1
+    assert seen > 200
+    assert all(t.unlike(n) == any(100 * min(n, m) >= percent * max(n, m) for m in (n - 1, n + 1)) for n in range(1, 50))
 
 
 def test_rtree_keeps_all_that_link():
