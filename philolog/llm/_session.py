@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> str:
@@ -18,6 +19,14 @@ def checkpoints(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written as a compressed Parquet table in the checkpoint folder and read from there: lineage is cut, and columns can be read apart."""
+    spark = rows.sparkSession
+    path = f"{checkpoints(spark)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that this session wrote, in whatever store it lies."""
     jvm = spark.sparkContext._jvm

@@ -6,10 +6,11 @@ its group counts. Two sets share at most the sum of the coordinate minima of the
 1. Blocking. In any one order of all shingles, two sets of n and m shingles that link share one of
    the first n - needed + 1 and m - needed + 1 of theirs, as the least common shingle has at most that
    many before it. The order puts shingles that a sample of rows shows to be common last, so frequent
-   passages that unlike texts share rarely make a key; whatever the sample, no link is lost. Rows of
-   one key become a star, first within an Arrow batch and then across them, so a key holds one row
-   for each batch however many texts share it.
-2. The components of those stars are the units within which all links lie. A small unit is one tile.
+   passages that unlike texts share rarely make a key; whatever the sample, no link is lost. The sets
+   of a key are taken as pairs if they are few, and the pairs that the bound on the points rules out
+   are dropped. The sets of a key that more share become a star, first within an Arrow batch and then
+   across them, so such a key holds one row for each batch however many texts share it.
+2. The components of these edges are the units within which all links lie. A small unit is one tile.
    A unit of more sets or bytes is cut into cells by size, such that links reach the next cell at
    most, and cells into tiles of bounded size. A few pivots of each cell are compared with all sets
    of the cell and its neighbours, which settles the bulk of a large group of near copies.
@@ -31,11 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from philolog.llm import _bytes
-from philolog.llm._session import checkpoints
+from philolog.llm._session import checkpoints, stored
 from philolog.llm.components import connected_components
 
 #: Rows of the sample that common shingles are looked for in, about, and how many of them every task knows.
 SAMPLE_ROWS, COMMON = 10_000, 400_000
+#: Sets of a key that are taken as pairs; more become a star.
+FEW = 32
+#: Shingles for each counter of a point, about, and the fewest and most counters.
+PER_COUNTER, COUNTERS = 8, (16, 4096)
 #: Sets of a tile, and bytes of their shingle hashes; a larger set is a tile of its own, about.
 TILE_SETS, TILE_BYTES = 1024, 16 << 20
 #: Sets of a cell that are compared with all sets of it and of its neighbours.
@@ -174,23 +179,39 @@ def _sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(w, width)
 
 
+def point_of(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in groups; a larger set has more groups, always a power of two."""
+    least, most = COUNTERS
+    groups = min(max(1 << max(len(s) // PER_COUNTER, 1).bit_length() - 1, least), most)
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
+
+
+def reach(a: np.ndarray, b: np.ndarray) -> int:
+    """Most shingles that two sets with these points share: the sum of the coordinate minima, after the longer point is folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0)).sum())
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """docs (id, text, mark) as (id, mark, n, node): size and name of each text's shingle set; node is null for an empty one."""
+    """docs (id, text, mark) as (id, mark, n, node, point): size, name and point of each text's shingle set; node is null for an empty one."""
 
     def run(batches):
         for batch in batches:
-            n, names = [], []
+            n, names, points = [], [], []
             for s in _sets_of(batch.column(1), width):
                 n.append(len(s))
                 names.append(fingerprint(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["id", "mark", "n", "node"])
+                points.append(point_of(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(points, pa.binary())], ["id", "mark", "n", "node", "point"])
 
-    return docs.mapInArrow(run, "id long, mark long, n long, node long")
+    return docs.mapInArrow(run, "id long, mark long, n long, node long, point binary")
 
 
-def _units(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
-    """Edges (u, v) between set names that share a blocking key."""
+def _shared_keys(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
+    """(u, v, star) of set names that share a blocking key: all pairs of a key with few sets, else a star."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    flag = np.uint64(1)  # the lowest bit of a key's row says that it stands for a star
 
     def emit(batches):
         for batch in batches:
@@ -206,9 +227,15 @@ def _units(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame
                         sizes.append(len(k))
             if not keys:
                 continue
-            keys, nodes, us, vs = _stars(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), sizes))
+            keys, nodes = np.concatenate(keys) & ~flag, np.repeat(np.array(nodes, np.int64), sizes)
+            keys, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+            hot = times[inverse] > FEW
+            heads, at, us, vs = _stars(keys[inverse[hot]], nodes[hot])
+            keys, nodes = np.concatenate((keys[inverse[~hot]], heads | flag)), np.concatenate((nodes[~hot], at))
+            order = np.argsort(keys)
+            keys, nodes = keys[order], nodes[order]
             bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1  # keys are sorted, so buckets are too
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
             starts = np.concatenate(([0], cuts)).astype(int)
             packed = [np.concatenate((a, b.view(np.uint64))).tobytes() for a, b in zip(np.split(keys, cuts), np.split(nodes, cuts), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "packed"])
@@ -219,14 +246,54 @@ def _units(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame
     def meet(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["packed"].to_pylist()]
         both = np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.uint64)
+        few = np.zeros((0, 2), np.int64)
         if table["bucket"][0].as_py() < 0:
             us, vs = _thin(both.view(np.int64).T)
         else:
-            _, _, us, vs = _stars(both[0], both[1].view(np.int64))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+            _, inverse, times = np.unique(both[0] & ~flag, return_inverse=True, return_counts=True)
+            hot = (times > FEW) | (np.bincount(inverse, both[0] & flag, len(times)) > 0)
+            some = (times[inverse] > 1) & ~hot[inverse]
+            few = _pairs(inverse[some], both[1].view(np.int64)[some])
+            large = hot[inverse]
+            _, _, us, vs = _stars(inverse[large].astype(np.uint64), both[1].view(np.int64)[large])
+        star = np.repeat([True, False], [len(us), len(few)])
+        return pa.table({"u": pa.array(np.concatenate((us, few[:, 0])), pa.int64()), "v": pa.array(np.concatenate((vs, few[:, 1])), pa.int64()), "star": pa.array(star)})
 
     packed = docs.select("text").mapInArrow(emit, "bucket int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "u long, v long")
+    return packed.groupBy("bucket").applyInArrow(meet, "u long, v long, star boolean")
+
+
+def _pairs(groups: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Distinct pairs (lesser name, greater name) of nodes of one group; groups have at most FEW rows."""
+    order = np.lexsort((nodes, groups))
+    groups, nodes = groups[order], nodes[order]
+    out = [np.zeros((0, 2), np.int64)]
+    for step in range(1, FEW):
+        if len(groups) <= step:
+            break
+        same = (groups[step:] == groups[:-step]) & (nodes[step:] != nodes[:-step])
+        out.append(np.stack((nodes[:-step][same], nodes[step:][same]), 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _units(docs: DataFrame, known: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
+    """Edges (u, v) between set names such that every link lies within a component."""
+    shared = _shared_keys(docs, width, t, buckets).groupBy("u", "v").agg(F.max("star").alias("star")).checkpoint()
+    points = known.where("node is not null").groupBy("node").agg(F.first("point").alias("point"))
+    asked = shared.where("not star")
+    for end in ("u", "v"):
+        asked = asked.join(points.select(F.col("node").alias(end), F.col("point").alias(f"{end}_point")), end)
+
+    def bounded(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("u_point", "v_point"))
+            may = []
+            for x, y in zip(a, b, strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                may.append(reach(x, y) >= t.needed(int(x.sum()) + int(y.sum())))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(may, pa.bool_()))
+
+    return shared.where("star").select("u", "v").unionByName(asked.mapInArrow(bounded, "u long, v long"))
 
 
 class RTree:
@@ -399,11 +466,11 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     checkpoints(session)
     buckets = buckets or max(16, 4 * int(session.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    known = describe(docs, width).checkpoint()
+    known = stored(describe(docs, width))
     # a set's row: of its texts the one with the least id, if any has one
     row = F.min(F.struct(F.col("id").isNull().alias("_none"), "id", "mark"))
     names = known.where("node is not null").groupBy("node").agg(row.alias("row"), F.min("n").alias("n")).select("node", "n", F.col("row.id").alias("least"), F.col("row.mark").alias("mark"))
-    units = connected_components(_units(docs, width, t, buckets)).withColumnRenamed("root", "unit")
+    units = connected_components(_units(docs, known, width, t, buckets)).withColumnRenamed("root", "unit")
     members = _cells(units.join(names, "node"), t).checkpoint()
     sets = _with_sets(docs, members, width)
     several = not members.where("large").isEmpty()
@@ -421,4 +488,4 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = names.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")).checkpoint()
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "root").select("node", "component_id")
-    return known.join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return known.drop("point").join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

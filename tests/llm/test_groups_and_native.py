@@ -76,6 +76,7 @@ def groups_by_hand(rows, width=4, percent=85):
 @pytest.mark.parametrize(("seed", "tile"), [(1, 5), (2, 16), (3, 1024)])
 def test_shingle_groups(spark, seed, tile, monkeypatch):
     monkeypatch.setattr(shingle_join, "TILE_SETS", tile)  # large units are compared by tiles
+    monkeypatch.setattr(shingle_join, "FEW", 2 if tile < 16 else 32)
     texts = near_texts(random.Random(seed))
     ids = random.Random(seed).sample(range(10_000), len(texts))
     frame = spark.createDataFrame([(i, t, "?") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, node string").repartition(3)
@@ -120,6 +121,15 @@ def test_prefix_keys_lose_no_link(percent):
     assert all(t.unlike(n) == any(100 * min(n, m) >= percent * max(n, m) for m in (n - 1, n + 1)) for n in range(1, 50))
 
 
+def test_points_bound_what_sets_share():
+    draw = np.random.default_rng(11)
+    for _ in range(200):
+        a = np.unique(draw.integers(0, 2**64, int(draw.integers(1, 3000)), dtype=np.uint64))
+        b = np.unique(np.concatenate((draw.choice(a, len(a) * 3 // 4, replace=False), draw.integers(0, 2**64, int(draw.integers(1, 3000)), dtype=np.uint64))))
+        bound, shared = shingle_join.reach(shingle_join.point_of(a), shingle_join.point_of(b)), np.intersect1d(a, b).size
+        assert shared <= bound <= min(len(a), len(b))
+
+
 def test_rtree_keeps_all_that_link():
     draw, t = np.random.default_rng(5), shingle_join.Threshold(85)
     base = [np.unique(draw.integers(0, 2**64, int(n), dtype=np.uint64)) for n in draw.integers(20, 200, 60)]
