@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from philolog.llm._session import checkpoints
+from philolog.llm._session import checkpoints, stored
 
 #: Words of a block; slots of an output shard; rounds of a permutation.
 BLOCK, SHARD_SLOTS, ROUNDS = 256, 4096, 24
@@ -45,47 +45,44 @@ def permuted(k: Column, n: Column, *key: Column) -> Column:
 
 @dataclass
 class Mix:
-    """sources: a row per source, with `src` (its place), sizes, target and slots. rows: a row per
-    document, with src and start (its place in the stream). slots: src, index (of a block), words
-    (taken, from the block's start), shard. taken: rows with the words that the mix takes. pieces: of
-    rows with words, the parts of each that lie in one block or in the tail:
-    n (place within the row), index (null for the tail), low (place in the block or tail), text,
-    n_words, full (times it is taken whole) and part (its first words that are taken once more).
-    texts: a row per document with its text; `row` names it everywhere."""
+    """sources: a row per source, with `src` (its place), sizes, target and slots. slots: src, index (of
+    a block), words (taken, from the block's start), shard. taken: a row per document, with `row` (its
+    name here), src, start (its place in the stream), taken (words that the mix takes) and `pieces`, its
+    parts that lie in one block or in the tail: at (place within the row), index (null for the tail),
+    low (place in the block or tail), n_words, full (times it is taken whole) and part (its first words
+    that are taken once more). texts: a row per document with its text, or None if not asked for."""
 
     sources: DataFrame
-    rows: DataFrame
     slots: DataFrame
     taken: DataFrame
-    pieces: DataFrame
-    texts: DataFrame
+    texts: DataFrame | None
 
     def shard_counts(self) -> DataFrame:
         return self.slots.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("slots"))
 
+    def cut(self) -> DataFrame:
+        """texts with `words` (each with the space after it) and `pieces` of rows of which something is taken."""
+        some = self.taken.where("taken > 0").select("row", "src", "pieces")
+        return self.texts.join(some.hint("merge"), "row").withColumn("words", F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))
 
     def blocks(self) -> DataFrame:
         """The mix itself: src, slot, shard, n_words and text of each slot, and of each source's tail as often as it is taken."""
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "row", "cut"))), lambda p: F.rtrim(p["cut"])), "\n")
-        whole = self.pieces.where("index is not null").join(self.slots.hint("merge"), ["src", "index"])
-        whole = whole.withColumn("cut", first_words(F.col("text"), F.col("words") - F.col("low"))).where("words > low")
+        parts = F.transform(F.arrays_zip("pieces", F.transform("pieces", lambda p: F.slice(F.col("words"), (p["at"] + 1).cast("int"), p["n_words"].cast("int"))).alias("w")), lambda z: F.struct(z["pieces"]["index"].alias("index"), z["pieces"]["low"].alias("low"), z["w"].alias("w")))
+        pieces = self.cut().select("row", "src", F.explode(parts).alias("p")).select("row", "src", "p.*")
         tails = self.sources.where("tail > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("tail")).otherwise(F.col("tail_part")))
         tails = tails.where("words > 0").select("src", (-1 - F.col("epoch")).alias("slot"), "words", F.pmod(F.xxhash64(F.lit(SEED + 2), "src", -1 - F.col("epoch")), "shards").alias("shard"))
-        rest = self.pieces.where("index is null").join(F.broadcast(tails), "src").withColumn("cut", first_words(F.col("text"), F.col("words") - F.col("low"))).where("words > low")
-        columns = ["src", "slot", "shard", "words", "low", "row", "cut"]
-        return whole.select(*columns).unionByName(rest.select(*columns)).groupBy("src", "slot", "shard").agg(F.max("words").alias("n_words"), joined.alias("text"))
+        cut = F.array_join(F.slice("w", F.lit(1), F.greatest(F.col("words") - F.col("low"), F.lit(0)).cast("int")), "")
+        columns = ["src", "slot", "shard", "words", "low", "row", cut.alias("cut")]
+        whole = pieces.where("index is not null").join(self.slots.hint("merge"), ["src", "index"]).where("words > low").select(*columns)
+        rest = pieces.where("index is null").join(F.broadcast(tails), "src").where("words > low").select(*columns)  # a few rows per source
+        return whole.unionByName(rest).groupBy("src", "slot", "shard").agg(F.max("words").alias("n_words"), joined.alias("text"))
 
 
 #: A word with the space after it.
 SPACED = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """text, or its first n words if it has more."""
-    words = F.regexp_extract_all(text, F.lit(SPACED), F.lit(0))
-    return F.when(n < F.col("n_words"), F.array_join(F.slice(words, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")).otherwise(text)
-
-
 def _targets(sizes: DataFrame) -> DataFrame:
     """sizes: source, source_size, n_rows. Adds src, weight and target.
 
@@ -111,7 +108,7 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     """Numbers of all slots in chunks, so that a large source's slots are made by many tasks."""
     n = F.col("epochs") * F.col("blocks") + F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0)
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {SLOTS_AT_ONCE}")))
-    chunks = sources.withColumn("n_slots", n).where("n_slots > 0").withColumn("chunk", chunk).repartition("src", "chunk")
+    chunks = sources.withColumn("n_slots", n).where("n_slots > 0").withColumn("chunk", chunk).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
     first = F.col("chunk") * SLOTS_AT_ONCE
     slots = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_AT_ONCE, F.col("n_slots")) - 1)))
     epoch = F.expr("slot div blocks")
@@ -121,19 +118,24 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     return slots.withColumn("epoch", epoch).select("src", "slot", index.alias("index"), words.alias("words"), shard.alias("shard"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, carry: bool = False) -> Mix:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block: int = BLOCK, texts: bool = True) -> Mix:
     """Plans the mix of all rows of docs.
 
     A null text has size 0 and is never taken; a null source is a source of its own, after all
     others. Ids may be null or repeated: each row has its own place in its source's stream, by a hash
-    of the id. With no words at all every target is 0. Reruns give the same mix. With `carry`,
-    `texts` have the whole row of docs as `_row`.
+    of the id; of rows with equal hashes the order is by id, size and place in the input. With no
+    words at all every target is 0. Reruns over the same rows in the same order give the same mix.
+    With `texts` the rows are kept, for blocks() and mix_documents(): `other` holds the columns of
+    docs beside the text.
     """
     checkpoints(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [F.struct(*docs.columns).alias("_row")] if carry else []
-    texts = docs.select(*kept, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), text.alias("text"), F.monotonically_increasing_id().alias("row")).checkpoint()
-    sized = texts.select("row", "doc_id", "source", "size")
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    kept = [text.alias("text"), (F.struct(*rest) if rest else F.lit(None)).alias("other")] if texts else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.monotonically_increasing_id().alias("row"), *kept)
+    # names by place hold for what was written alone, so rows are stored before anything else is read
+    base = stored(base) if texts else base.checkpoint()
+    sized = base.select("row", "doc_id", "source", "size")
     targets = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
     wanted = F.floor(F.col("target")).cast("long")
     sources = (
@@ -160,7 +162,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("start", F.col("offset") + F.col("inner")).drop("part", "mark", "inner", "offset", "n_rows").checkpoint()
 
     slots = _slots(sources, block)
-    takes = slots.groupBy("src", "index").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("part"))
+    takes = slots.groupBy("src", "index").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("reach"))
     end = F.col("start") + F.col("size")
     edge = F.col("blocks") * block
     # borders within a row, as places of its words: the blocks', and that of the tail
@@ -168,24 +170,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = F.when(F.col("end") > F.col("start"), F.transform(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}")), lambda i: F.struct(i.alias("index"), F.greatest(F.col("start"), i * block).alias("from"), F.least(F.col("end"), (i + 1) * block).alias("to"))))
     tail = F.when(end > edge, F.array(F.struct(F.lit(None).cast("long").alias("index"), F.greatest("start", edge).alias("from"), end.alias("to"))))
     none = F.array().cast("array<struct<index:bigint,from:bigint,to:bigint>>")
-    places = places.select("row", "src", "start", "blocks", "epochs", "tail_part", F.concat(F.coalesce(spans, none), F.coalesce(tail, none)).alias("spans"))
-    cut = texts.join(places.hint("merge"), "row").withColumn("_words", F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))
-    # what is exploded has one piece a row: the words are zipped in, not carried along
-    parts_of = F.transform(
-        F.arrays_zip(F.col("spans"), F.transform("spans", lambda p: F.slice(F.col("_words"), (p["from"] - F.col("start") + 1).cast("int"), (p["to"] - p["from"]).cast("int"))).alias("words")),
-        lambda z: F.struct(z["spans"]["index"].alias("index"), z["spans"]["from"].alias("from"), (z["spans"]["to"] - z["spans"]["from"]).alias("n_words"), F.array_join(z["words"], "").alias("text")),
-    )
-    low = F.when(F.col("p.index").isNull(), F.col("p.from") - edge).otherwise(F.col("p.from") - F.col("p.index") * block)
-    pieces = cut.withColumn("_parts", parts_of).select("row", "src", "epochs", "tail_part", "blocks", F.posexplode("_parts").alias("n", "p"))
-    pieces = pieces.select("row", "src", "epochs", "tail_part", "n", "p.index", low.alias("low"), "p.n_words", "p.text")
-    pieces = pieces.join(takes.hint("merge"), ["src", "index"], "left")
-    full = F.when(F.col("index").isNull(), F.col("epochs")).otherwise(F.coalesce("full", F.lit(0)))
-    reach = F.when(F.col("index").isNull(), F.col("tail_part")).otherwise(F.coalesce("part", F.lit(0)))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("n_words"), reach - F.col("low")))
-    pieces = pieces.select("row", "src", "n", "index", "low", "n_words", "text", full.alias("full"), part.alias("part"))
-    sums = pieces.groupBy("row").agg(F.sum(F.col("full") * F.col("n_words") + F.col("part")).alias("taken"))
-    taken = rows.join(sums.hint("merge"), "row", "left").select("src", "start", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return Mix(sources, rows, slots, taken, pieces, texts)
+    pieces = places.select("row", "src", "start", "blocks", "epochs", "tail_part", F.explode(F.concat(F.coalesce(spans, none), F.coalesce(tail, none))).alias("p"))
+    pieces = pieces.select("*", F.col("p.index").alias("index")).join(takes.hint("merge"), ["src", "index"], "left")
+    is_tail = F.col("index").isNull()
+    low = F.col("p.from") - F.when(is_tail, edge).otherwise(F.col("index") * block)
+    n = F.col("p.to") - F.col("p.from")
+    full = F.when(is_tail, F.col("epochs")).otherwise(F.coalesce("times", F.lit(0)))
+    reach = F.when(is_tail, F.col("tail_part")).otherwise(F.coalesce("reach", F.lit(0)))
+    part = F.greatest(F.lit(0).cast("long"), F.least(n, reach - low))
+    piece = F.struct((F.col("p.from") - F.col("start")).alias("at"), "index", low.alias("low"), n.alias("n_words"), full.alias("full"), part.alias("part"))
+    # a row has a piece for every `block` words, so what is gathered is smaller than its text
+    sums = pieces.groupBy("row").agg(F.sum(full * n + part).alias("taken"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    taken = rows.join(sums.hint("merge"), "row", "left").select("row", "src", "start", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
+    return Mix(sources, slots, taken, base.select("row", "text", "other") if texts else None)
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -195,14 +192,17 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     meets its target to a word. Rows are told apart by their place in the input, not by their ids; one
     of which nothing is taken goes. Columns are those of docs.
     """
-    mix = mix_sources(docs, id_col, text_col, source_col, carry=True)
-    times = F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0)
-    takes = mix.pieces.where("full > 0 or part > 0").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    takes = takes.select("row", "time", "n", F.when(F.col("time") <= F.col("full"), F.col("text")).otherwise(first_words(F.col("text"), F.col("part"))).alias("cut"))
+    mix = mix_sources(docs, id_col, text_col, source_col)
+    times = lambda p: p["full"] + F.when(p["part"] > 0, 1).otherwise(0)
+    most = F.array_max(F.transform("pieces", times))
+
+    def cuts(t: Column) -> Column:
+        taken = F.filter("pieces", lambda p: times(p) >= t)
+        return F.transform(taken, lambda p: F.array_join(F.slice(F.col("words"), (p["at"] + 1).cast("int"), F.when(t <= p["full"], p["n_words"]).otherwise(p["part"]).cast("int")), ""))
+
     # pieces that follow each other join as they were; else a line ends between them
-    ordered = F.array_sort(F.collect_list(F.struct("time", "n", "cut")))
-    mixed = takes.groupBy("row").agg(ordered.alias("_cuts"))
-    spaced = F.transform("_cuts", lambda c: F.when(c["cut"].rlike(r"[\x20\x09-\x0D]$"), c["cut"]).otherwise(F.concat(c["cut"], F.lit("\n"))))
+    all_cuts = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), most), cuts))
+    spaced = F.transform(all_cuts, lambda c: F.when(c.rlike(r"[\x20\x09-\x0D]$"), c).otherwise(F.concat(c, F.lit("\n"))))
     text = F.regexp_replace(F.array_join(spaced, ""), r"\n$", "")
-    joined = mix.texts.join(mixed.hint("merge"), "row")
-    return joined.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    joined = mix.cut().withColumn("mixed", text)
+    return joined.select(*[F.col("mixed").alias(c) if c == text_col else F.col("other")[c].alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from philolog.llm.mixing import mix_sources
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document; op6_mixed_blocks has the texts."""
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).taken.select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
