@@ -6,19 +6,20 @@ model knows any gives the word's score, the mean log frequency of those n-grams.
 language is the sum over its words.
 
 The model is fitted on a bounded sample of labelled rows (ROWS_PER_LANGUAGE, chosen by a hash of the
-id) and holds a bounded number of words and n-grams of each language.
+id) and holds every word and n-gram of that sample, each as a 64-bit hash. Fitting and prediction cut
+words by the same function.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +27,11 @@ from philolog.llm import _bytes
 
 #: Labelled rows of each language that the model is fitted on, about.
 ROWS_PER_LANGUAGE = 4000
-#: Words, and n-grams of each length, that the model keeps of each language.
-WORDS, GRAMS = 20_000, 5_000
 #: Lengths of character n-grams, the longest first; a word is fenced with spaces.
 LENGTHS = (4, 3, 2, 1)
 #: Of each language's frequency mass, what unknown entries have.
 UNSEEN = 1e-6
-KEPT_WORDS = 200_000
-BATCH_BYTES = 4 << 20
-_WORD = re.compile(r"[^\W\d_]+")
+BATCH_BYTES = 2 << 20
 UNKNOWN = "und"
 
 
@@ -43,12 +40,37 @@ def grams(word: str, n: int) -> list[str]:
     return [fenced[i : i + n] for i in range(len(fenced) - n + 1)] if n > 1 else list(word)
 
 
+def name_of(length: int, entry: str) -> int:
+    """Name of an n-gram, or of a whole word (length 0)."""
+    return xxhash.xxh64_intdigest(entry, seed=length)
+
+
+def word_blocks(column: pa.Array):
+    """(first row, last row, row of each word, place of each word among the distinct ones, distinct words) of blocks of texts.
+
+    A word is a run of letters, in lower case. Null counts as empty.
+    """
+    texts = pc.fill_null(column, "")
+    _, offsets = _bytes.utf8(texts)
+    for lo, hi in _bytes.blocks(offsets, BATCH_BYTES):
+        part = pc.replace_substring_regex(pc.utf8_lower(texts.slice(lo, hi - lo).cast(pa.large_string())), r"\P{L}+", " ")
+        cut = pc.split_pattern(part, " ")
+        row = np.repeat(np.arange(hi - lo), np.diff(cut.offsets.to_numpy()))
+        coded = cut.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        real = np.array([bool(w) for w in words], bool)[index] if words else np.zeros(0, bool)
+        yield lo, hi, row[real], index[real], words
+
+
 def _count(batches):
-    """Rows (lang, length, entry, n); length 0: whole words."""
+    """Rows (lang, length, name, n); length 0: whole words."""
     counts: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+        langs = batch.column(0).to_pylist()
+        for lo, _, row, index, words in word_blocks(batch.column(1)):
+            pairs, times = np.unique(np.stack((row, index), 1), axis=0, return_counts=True)
+            for (r, i), n in zip(pairs.tolist(), times.tolist(), strict=True):
+                counts.setdefault(langs[lo + r], Counter())[words[i]] += n
     for lang, words in counts.items():
         tables = {0: words, **{n: Counter() for n in LENGTHS}}
         for word, times in words.items():
@@ -56,31 +78,50 @@ def _count(batches):
                 for g in grams(word, n):
                     tables[n][g] += times
         for n, table in tables.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table), pa.string()), pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["lang", "length", "entry", "n"])
+            names = np.array([name_of(n, e) for e in table], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table), pa.string()), pa.array([n] * len(table), pa.int32()), pa.array(names.view(np.int64)), pa.array(list(table.values()), pa.int64())], ["lang", "length", "name", "n"])
 
 
 @dataclass
 class Model:
-    """Log frequencies by length (0: words) and entry, one for each language in order."""
+    """Languages in order, and the log frequencies of entries in each of them; names are sorted."""
 
     languages: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def score(self, word: str) -> np.ndarray:
-        if (found := self.tables[0].get(word)) is not None:
-            return found
-        if (found := self.cache.get(word)) is not None:
-            return found
-        out = np.zeros(len(self.languages))
+    names: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, languages: list[str], rows: list[tuple[str, int, float]]) -> Model:
+        """Of (language, name, share) rows: the share of the language's entries of that length."""
+        names, at = np.unique(np.array([r[1] for r in rows], np.uint64), return_inverse=True)
+        values = np.full((len(names), len(languages)), math.log(UNSEEN))
+        values[at, [languages.index(r[0]) for r in rows]] = np.log(np.array([r[2] for r in rows], float) + UNSEEN)
+        return cls(languages, names, values)
+
+    def places(self, names: list[int]) -> np.ndarray:
+        """Place of each name, -1 for one that isn't held."""
+        wanted = np.array(names, np.uint64)
+        if not len(self.names):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)
+        return np.where(self.names[at] == wanted, at, -1)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word; zeros for one of which nothing is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = self.places([name_of(0, w) for w in words])
+        out[at >= 0] = self.values[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n in LENGTHS:
-            table = self.tables[n]
-            if known := [x for g in grams(word, n) if (x := table.get(g)) is not None]:
-                out = sum(known) / len(known)
-                break
-        if len(self.cache) >= KEPT_WORDS:
-            self.cache.clear()
-        self.cache[word] = out
+            cut = [grams(words[i], n) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(c) for c in cut])
+            at = self.places([name_of(n, g) for c in cut for g in c])
+            owner, at = owner[at >= 0], at[at >= 0]
+            found = np.bincount(owner, minlength=len(left))
+            for k in range(len(self.languages)):
+                sums = np.bincount(owner, self.values[at, k], len(left))
+                out[left[found > 0], k] = sums[found > 0] / found[found > 0]
+            left = left[found == 0]
         return out
 
 
@@ -89,21 +130,16 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], {n: {} for n in (0, *LENGTHS)})
+        return Model.of([], [])
     place = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 30, (ROWS_PER_LANGUAGE << 30) // n))])
-    counted = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_count, "lang string, length int, entry string, n long")
-    counted = counted.groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("lang", "length")
-    ranked = counted.withColumn("all", F.sum("n").over(of)).withColumn("rank", F.row_number().over(of.orderBy(F.desc("n"), "entry")))
-    kept = ranked.where(F.col("rank") <= F.when(F.col("length") == 0, WORDS).otherwise(GRAMS)).select("lang", "length", "entry", "n", "all").toPandas()
+    counted = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_count, "lang string, length int, name long, n long")
+    counted = counted.groupBy("lang", "length", "name").agg(F.sum("n").alias("n"))
+    # the sample bounds what comes to the driver: three numbers for each of its words and n-grams
+    kept = counted.select("lang", "name", F.col("n") / F.sum("n").over(Window.partitionBy("lang", "length"))).toPandas()
     languages = sorted(kept["lang"].unique())
-    model = Model(languages, {n: {} for n in (0, *LENGTHS)})
-    blank = np.full(len(languages), math.log(UNSEEN))
-    for lang, n, entry, times, total in kept.itertuples(index=False):
-        row = model.tables[n].setdefault(entry, blank.copy())
-        row[languages.index(lang)] = math.log(times / total + UNSEEN)
-    return model
+    names = kept["name"].to_numpy(np.int64).view(np.uint64)
+    return Model.of(languages, list(zip(kept["lang"], names.tolist(), kept.iloc[:, 2], strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,26 +154,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = held.value
         languages, wide = np.array([*model.languages, UNKNOWN], object), len(model.languages)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            _, offsets = _bytes.utf8(texts)
-            for lo, hi in _bytes.blocks(offsets, BATCH_BYTES):
-                part = pc.replace_substring_regex(pc.utf8_lower(texts.slice(lo, hi - lo).cast(pa.large_string())), r"\P{L}+", " ")
-                cut = pc.split_pattern(part, " ")
-                at = cut.offsets.to_numpy()
-                coded = cut.flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                row = np.repeat(np.arange(hi - lo), np.diff(at))
-                index = coded.indices.to_numpy()
-                table = np.array([model.score(w) if w else np.zeros(wide) for w in words]).reshape(len(words), wide)
-                real = np.array([bool(w) for w in words], bool)[index] if len(words) else np.zeros(0, bool)
-                lettered = np.bincount(row[real], minlength=hi - lo) > 0
+            for lo, hi, row, index, words in word_blocks(batch.column(1)):
                 best, score = np.full(hi - lo, wide), np.zeros(hi - lo)
                 if wide:
+                    table = model.score(words)
                     sums = np.stack([np.bincount(row, table[index, k], hi - lo) for k in range(wide)], 1)
-                    top = sums.argmax(1)
                     with np.errstate(under="ignore"):
                         odds = np.exp(sums - sums.max(1, keepdims=True))
-                    best = np.where(lettered, top, wide)
+                    lettered = np.bincount(row, minlength=hi - lo) > 0
+                    best = np.where(lettered, sums.argmax(1), wide)
                     score = np.where(lettered, 1 / odds.sum(1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(languages[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

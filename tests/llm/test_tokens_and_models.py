@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from philolog.llm import _bytes, automaton, bpe, language, media, quality, unigram
@@ -67,8 +68,49 @@ def test_language(spark, corpus):
 
 
 def test_backoff_falls_to_shorter_grams():
-    model = language.Model(["a", "b"], {0: {"word": np.array([-1.0, -2.0])}, 4: {" wor": np.array([-3.0, -4.0])}, 3: {}, 2: {"zz": np.array([-5.0, -6.0])}, 1: {"q": np.array([-7.0, -7.5])}})
-    assert model.score("word")[0] == -1 and model.score("worx")[0] == -3 and model.score("zz")[1] == -6 and model.score("qq")[1] == -7.5 and not model.score("j").any()
+    rows = [(lang, language.name_of(n, entry), share) for n, entry, *shares in [(0, "word", 0.5, 0.1), (4, " wor", 0.3, 0.2), (2, "zz", 0.01, 0.4), (1, "q", 0.2, 0.1)] for lang, share in zip("ab", shares, strict=True)]
+    found = language.Model.of(["a", "b"], rows).score(["word", "worx", "zz", "qq", "j"])
+    assert found == pytest.approx(np.log(np.array([[0.5, 0.1], [0.3, 0.2], [0.01, 0.4], [0.2, 0.1], [1 - 1e-6, 1 - 1e-6]]) + 1e-6))
+
+
+def test_language_equals_dictionaries(spark, corpus):
+    """Model and prediction by dictionaries, word by word; ties go to the first language."""
+    odd = [(2000, "½ Ⅷ İX ǅ 12 straße", "de", "s"), (2001, "zzzz qqqq", "en", "s"), (2002, "", "fr", "s"), (2003, None, "fr", "s"), (2004, "the le", None, "s"), (None, "the thing", "en", "s"), (2000, "again 1", "en", "s")]
+    rows = corpus[:200] + odd
+    frame = spark.createDataFrame(rows, SCHEMA)
+    cut = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    tables, totals = {}, Counter()
+    for i, t, lang, _ in rows:
+        if i is not None and i % 4 != 2 and lang and t is not None:
+            for w in cut(t):
+                for n, entries in [(0, [w]), *((n, language.grams(w, n)) for n in language.LENGTHS)]:
+                    for e in entries:
+                        tables.setdefault((n, e), Counter())[lang] += 1
+                        totals[lang, n] += 1
+    languages = sorted({lang for lang, _ in totals})
+
+    def log(n, e):
+        return [math.log(tables[n, e][k] / totals[k, n] + language.UNSEEN) for k in languages]
+
+    def word(w):
+        if (0, w) in tables:
+            return log(0, w)
+        for n in language.LENGTHS:
+            if known := [log(n, g) for g in language.grams(w, n) if (n, g) in tables]:
+                return np.mean(known, 0)
+        return np.zeros(len(languages))
+
+    def wanted(t):
+        if not (words := cut(t)):
+            return "und", 0.0
+        sums = np.sum([word(w) for w in words], 0)
+        return languages[int(sums.argmax())], 1 / np.exp(sums - sums.max()).sum()
+
+    found = language.predict(frame, language.fit(frame, F.col("doc_id") % 4 != 2)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6))
+    expected = sorted([(i, *wanted(t)) for i, t, *_ in rows], key=key)
+    for own, right in zip(sorted(map(tuple, found), key=key), expected, strict=True):
+        assert own[:2] == right[:2] and own[2] == pytest.approx(right[2], rel=1e-6)
 
 
 def brute_lm(train, texts):
@@ -220,6 +262,34 @@ def test_media_round_trip(spark):
     assert by_id[0]["feature"] == by_id[1]["feature"] != by_id[4]["feature"]
 
 
+def plain_pairs(samples):
+    """Peak pairs frame by frame and band by band."""
+    frames = [[(x - 128) * (0.5 - 0.5 * math.cos(2 * math.pi * i / 191)) for i, x in enumerate(samples[at : at + 192])] for at in range(0, len(samples), 192)]
+    bins = range(1, 97)
+    tables = np.exp(-2j * np.pi * np.outer(np.arange(97), np.arange(192)) / 192)
+    power = [np.abs(tables @ np.array(f)) for f in frames]
+    best = []
+    for p in power:
+        low, row = 1, []
+        for high in media.BANDS:
+            k = max((b for b in bins if low <= b < high), key=lambda b, p=p: p[b])
+            row.append((p[k], k))
+            low = high
+        best.append(row)
+    peaks = [(t, best[t][b][1]) for t in range(len(best)) for b in range(len(media.BANDS)) if (t == 0 or best[t][b][0] > best[t - 1][b][0]) and (t + 1 == len(best) or best[t][b][0] >= best[t + 1][b][0])]
+    return sorted(t << 32 | k << 20 | peaks[i + s][1] << 8 | peaks[i + s][0] - t for i, (t, k) in enumerate(peaks) for s in range(1, media.FAN_OUT + 1) if i + s < len(peaks) and peaks[i + s][0] - t <= media.REACH)
+
+
+def test_fingerprint_equals_plain_transform():
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        samples = draw.integers(32, 127, 192 * n).astype(np.uint8)
+        found = media.fingerprint(samples).tolist()
+        wanted = plain_pairs(samples.tolist())
+        # single precision may choose another of two bins that are all but equal
+        assert len(set(found) ^ set(wanted)) <= 0.02 * len(wanted) and len(found) == len(wanted)
+
+
 def test_fingerprints_survive_a_shift():
     draw = np.random.default_rng(1)
     sound = draw.integers(0, 255, 192 * 200).astype(np.uint8)
