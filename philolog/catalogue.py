@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
-from philolog.operators import collocation, concordance, index, lists, parallel, retrieval
+from philolog.operators import collocation, concordance, exports, index, lists, ordering, parallel, retrieval
 from philolog.plans.query import parse_brackets, parse_simple
 from philolog.sources import intake
 from philolog.streaming import delivery
@@ -549,6 +549,99 @@ def audit_summary(spark, sf_dir):
     return parallel.audit_summary(parallel.audit(pairs(spark, sf_dir)))
 
 
+# ---- orders and exports
+
+
+def _top(sql: str, order: str, k: int) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({sql}) ORDER BY rank LIMIT {k}"
+
+
+def _ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    return lists.ranked(rows.orderBy(*order).limit(k), *order)
+
+
+@query(_top(_COLLOCATES, "mi DESC, frequency DESC, term", 50))
+def collocates_by_mi(spark, sf_dir):
+    """The 50 collocates of greatest mutual information."""
+    return _ranked(collocates(spark, sf_dir), ordering.collocates("mi"), 50)
+
+
+@query(_top(_COLLOCATES, "log_likelihood DESC, frequency DESC, term", 50))
+def collocates_by_likelihood(spark, sf_dir):
+    return _ranked(collocates(spark, sf_dir), ordering.collocates("log_likelihood"), 50)
+
+
+@query(_top(_COLLOCATES, "term, frequency DESC", 50))
+def collocates_by_term(spark, sf_dir):
+    return _ranked(collocates(spark, sf_dir), ordering.collocates("term"), 50)
+
+
+@query(_top(_SQL["keywords"].replace(" WHERE lr >= 0", ""), "abs(log_ratio) DESC, target_frequency DESC, term", 100))
+def keywords_by_strength(spark, sf_dir):
+    """The 100 words most typical of either side."""
+    rows = lists.keywords(*_split(spark, sf_dir), min_frequency=5, negatives=True)
+    rows = rows.select("term", "target_frequency", "reference_frequency", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("chi_square", 4).alias("chi_square"), rounded("log_ratio").alias("log_ratio"))
+    return _ranked(rows, ordering.keywords("log_ratio"), 100)
+
+
+@query(_top(_SQL["clusters_left"], "transition_probability DESC, frequency DESC, term", 100))
+def clusters_by_probability(spark, sf_dir):
+    return _ranked(clusters_left(spark, sf_dir), ordering.clusters("probability"), 100)
+
+
+@query(_top(_SQL["ngrams_2"], "document_range DESC, frequency DESC, term", 100))
+def ngrams_by_range(spark, sf_dir):
+    return _ranked(ngrams_2(spark, sf_dir), ordering.runs("range"), 100)
+
+
+@query(_top(_SQL["open_slot"], "pattern, frequency DESC", 100))
+def slots_by_term(spark, sf_dir):
+    return _ranked(open_slot(spark, sf_dir), ordering.runs("term", "pattern"), 100)
+
+
+@query(_top(EN + """ SELECT doc_id AS document_id, count(*) AS tokens, count(*) FILTER (norm = 'thing') AS hits, count(*) FILTER (norm = 'the') AS overlay_hits, round(count(*) FILTER (norm = 'thing') * 1e6 / count(*), 6) AS per_million FROM tok GROUP BY doc_id""", "per_million DESC, document_id", 300))
+def plot_by_frequency(spark, sf_dir):
+    """The 300 documents with most hits for their length, those without any included."""
+    rows = collocation.plot(english_tokens(spark, sf_dir), "thing", "the", 20, zero_hits=True)
+    return _ranked(rows.select("document_id", "tokens", "hits", "overlay_hits", rounded("per_million").alias("per_million")), ordering.plots("normalized_frequency", invert=True), 300)
+
+
+@query(_top(_SQL["parallel_context"], 'coalesce("R1", \'\'), coalesce("L1", \'\'), pair_no, occurrence_ordinal', 100))
+def parallel_sorted(spark, sf_dir):
+    """The first 100 whole-word occurrences by the words after and before."""
+    return _ranked(parallel_context(spark, sf_dir), ordering.occurrences(["R1", "L1"]), 100)
+
+
+@query(_OCCUR + ", x AS (SELECT pair_no, occurrence_ordinal, row_number() OVER (ORDER BY pair_no, occurrence_ordinal) AS r FROM o) SELECT pair_no, CAST(occurrence_ordinal AS INT) AS occurrence_ordinal, filename, a_text, b_text, alignment_unit, round(confidence, 6) AS confidence FROM x JOIN pairs USING (pair_no) WHERE (r - 1) % 3 = 0")
+def parallel_export(spark, sf_dir):
+    """Every third occurrence as an export writes it."""
+    return exports.occurrence_rows(pairs(spark, sf_dir), parallel.PairQuery("the", every=3)).withColumn("confidence", rounded("confidence"))
+
+
+_PLACES = EN + r""", g AS (SELECT doc_id, [x for x in string_split_regex(trim(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')), '\n\s*\n+') if trim(x) <> ''] AS ps FROM documents),
+c AS (SELECT doc_id, [len(regexp_extract_all(x, '{T}')) for x in ps] AS ns FROM g), u AS (SELECT doc_id, unnest([coalesce(list_sum(ns[1:k - 1]), 0) for k in range(1, len(ns) + 1)]) AS ahead FROM c),
+h AS (SELECT doc_id, p, sno FROM tok WHERE norm = 'thing'), f AS (SELECT h.doc_id, h.p, any_value(sno) AS sentence_no, count(*) AS paragraph_no FROM h JOIN u ON u.doc_id = h.doc_id AND ahead < p GROUP BY h.doc_id, h.p)""".replace("{T}", _TOKEN_SQL)
+
+
+@query(_PLACES + " SELECT f.doc_id AS document_id, f.p AS stream_position, sentence_no, paragraph_no, source FROM f JOIN documents USING (doc_id)")
+def kwic_places(spark, sf_dir):
+    """Hits with their sentence, paragraph and document's source."""
+    hits = concordance.Kwic("thing").hits(documents(spark, sf_dir), places=True)
+    found = exports.with_metadata(hits, table(spark, sf_dir, "documents"), "source")
+    return found.select("document_id", "stream_position", "sentence_no", "paragraph_no", "source")
+
+
+@query(_PLACES + """, x AS (SELECT doc_id, p, sentence_no, paragraph_no, 'doc' || doc_id || '.txt' AS filename FROM f)
+SELECT string_agg(CASE WHEN t.p < x.p THEN t.surface END, ' ' ORDER BY t.p) AS "left", max(CASE WHEN t.p = x.p THEN t.surface END) AS keyword, string_agg(CASE WHEN t.p > x.p THEN t.surface END, ' ' ORDER BY t.p) AS "right", filename, paragraph_no, sentence_no,
+  max(CASE WHEN t.p = x.p - 3 THEN t.norm END) AS "L3", max(CASE WHEN t.p = x.p - 2 THEN t.norm END) AS "L2", max(CASE WHEN t.p = x.p - 1 THEN t.norm END) AS "L1", max(CASE WHEN t.p = x.p + 1 THEN t.norm END) AS "R1", max(CASE WHEN t.p = x.p + 2 THEN t.norm END) AS "R2", max(CASE WHEN t.p = x.p + 3 THEN t.norm END) AS "R3"
+FROM x JOIN tok t ON t.doc_id = x.doc_id AND t.p BETWEEN x.p - 5 AND x.p + 5 GROUP BY x.doc_id, x.p, filename, paragraph_no, sentence_no""")
+def kwic_export(spark, sf_dir):
+    """All lines as an export writes them."""
+    docs = documents(spark, sf_dir).withColumn("filename", F.concat(F.lit("doc"), "doc_id", F.lit(".txt")))
+    rows = exports.line_rows(concordance.Kwic("thing", sort_keys=["R1"]), docs)
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("left", "right")})
+
+
 # ---- retrieval
 
 _BM = EN.replace("WHERE lang = 'en'", "") + """, t AS (SELECT doc_id, norm FROM tok WHERE length(norm) > 1 AND regexp_full_match(norm, '[\\p{L}\\p{N}]+')),

@@ -48,13 +48,14 @@ def phrase_hits(tokens: DataFrame, slots: list[Slot], *, scope: str = "stream",
     return hits.select(*columns[:5], F.lit(len(slots)).alias("token_length"), "document_length")
 
 
-def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None) -> DataFrame:
+def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None, places: bool = False) -> DataFrame:
     """The hits of phrase_hits() with what stands around them, found within each document's own row: nothing is shuffled.
 
     width: adds C, L<width>..L1, R1..R<width> (folded words, null beyond the document) and left_context,
     keyword and right_context (surfaces). context: adds left, keyword and right as they stand in the stream.
+    places: adds paragraph_no.
     """
-    rows = index.word_arrays(documents, offsets=context is not None)
+    rows = index.word_arrays(documents, offsets=context is not None, places=places)
     d, k = F.col("d"), len(slots)
     n = F.size(d["words"])
 
@@ -82,6 +83,8 @@ def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream",
     def described(i: Column) -> Column:
         last = i + (k - 1)
         out = {"sentence_no": sentence(i).cast("long"), "sentence_position": i.cast("long") - F.element_at(d["before"], sentence(i)), "stream_position": i.cast("long"), "token_length": F.lit(k), "document_length": n.cast("long")}
+        if places:
+            out |= {"paragraph_no": F.size(F.filter(d["paragraphs"], lambda b: b < i)).cast("long")}
         if width:
             out |= {"left_context": run("surfaces", i - width, i - 1), "keyword": run("surfaces", i, last), "right_context": run("surfaces", last + 1, last + width)}
             out |= {f"L{m}": F.get(d["words"], i - (1 + m)) for m in range(width, 0, -1)} | {"C": F.get(d["words"], i - 1)} | {f"R{m}": F.get(d["words"], last + (m - 1)) for m in range(1, width + 1)}
@@ -187,14 +190,14 @@ class Kwic:
     def slots(self) -> list[Slot]:
         return parse_simple(self.query, whole_words=self.whole_words, case_sensitive=self.case_sensitive, regular=self.regular)
 
-    def hits(self, documents: DataFrame) -> DataFrame:
+    def hits(self, documents: DataFrame, *, places: bool = False) -> DataFrame:
         if not 0 <= self.context <= MAX_CONTEXT:
             raise ValueError(f"context of 0 to {MAX_CONTEXT} tokens")
-        return concordance(documents, self.slots(), self)
+        return concordance(documents, self.slots(), self, places=places)
 
 
-def concordance(documents: DataFrame, slots: list[Slot], options: Kwic) -> DataFrame:
-    """Hits of any slots with contexts and kpf. Only documents that can hold a hit are cut into tokens, unless positions in the corpus are asked for."""
+def concordance(documents: DataFrame, slots: list[Slot], options: Kwic, *, places: bool = False) -> DataFrame:
+    """Hits of any slots with contexts and kpf, and with places (but for queries by pos) paragraph_no. Only documents that can hold a hit are cut into tokens, unless positions in the corpus are asked for."""
     keys = check_sort_keys(options.sort_keys)
     own = documents.where(F.col("lang") == options.language)
     width = max(options.context, 5 if keys else 0)
@@ -202,7 +205,7 @@ def concordance(documents: DataFrame, slots: list[Slot], options: Kwic) -> DataF
         tokens = index.token_table(own.where(may_hold(F.col("text"), slots)))
         hits = with_neighbours(phrase_hits(tokens, slots, language=options.language, pos=options.pos), tokens, width, width)
     else:
-        hits = row_hits(own.where(may_hold(F.col("text"), slots)), slots, language=options.language, width=width)
+        hits = row_hits(own.where(may_hold(F.col("text"), slots)), slots, language=options.language, width=width, places=places)
     if options.sample:
         offsets = index.document_offsets(index.word_counts(documents), documents.select(F.col("doc_id").alias("document_id")))
         hits = hits.join(offsets, "document_id").withColumn("global_position", F.col("tokens_before_document") + F.col("stream_position")).drop("tokens_before_document")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
+from philolog.sources.sinks import INDEX_VERSION
 
 #: Ranges of numbers whose rows one window task orders.
 PARTS = 256
@@ -57,11 +58,14 @@ def document_streams(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), text.alias("text"))
 
 
-def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False) -> DataFrame:
+def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False, places: bool = False) -> DataFrame:
     """A row per document: document_id, language, d: surfaces, words (folded), before (tokens before each sentence);
-    with offsets also stream, starts and ends (in code points of the stream)."""
-    rows = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(F.coalesce(F.col(text_col), F.lit("")), F.col(language_col)).alias("s"))
-    none = F.array().cast("array<long>")
+    with offsets also stream, starts and ends (in code points of the stream), with places also paragraphs (tokens before each)."""
+    text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast("array<long>")
+    counts = F.transform(X.paragraphs(text), lambda x: F.regexp_count(X.compact(x), F.lit(X.TOKEN)).cast("long"))
+    rows = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(text, F.col(language_col)).alias("s"), *([counts.alias("p")] if places else []))
+    if places:
+        rows = rows.withColumn("paragraphs", F.when(F.size("p") > 0, X.running(F.col("p"))).otherwise(none))
     if offsets:
         rows = rows.withColumn("stream", F.array_join("s", "\n")).withColumn("surfaces", X.tokens(F.col("stream")))
         rows = rows.withColumn("n", F.transform("s", lambda x: F.regexp_count(x, F.lit(X.TOKEN)).cast("long")))
@@ -71,7 +75,7 @@ def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         rows = rows.withColumn("t", F.transform("s", X.tokens)).withColumn("surfaces", F.flatten("t")).withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
     rows = rows.withColumn("words", F.transform("surfaces", X.casefold)).withColumn("before", F.when(F.size("n") > 0, X.running(F.col("n"))).otherwise(none))
-    names = ["surfaces", "words", "before", *(["stream", "starts", "ends"] if offsets else [])]
+    names = ["surfaces", "words", "before", *(["stream", "starts", "ends"] if offsets else []), *(["paragraphs"] if places else [])]
     # what is exploded is worked out once for each row, however often an expression above names it
     return rows.select("document_id", "language", F.explode(F.array(F.struct(*names))).alias("d"))
 
@@ -146,6 +150,7 @@ def write_index(documents: DataFrame, folder: str) -> None:
     word_totals(stored).write.mode("overwrite").partitionBy("language").parquet(f"{folder}/word_totals")
     word_totals(stored, "pos").write.mode("overwrite").partitionBy("language").parquet(f"{folder}/word_frequencies")
     document_streams(documents).write.mode("overwrite").partitionBy("language").parquet(f"{folder}/document_streams")
+    documents.sparkSession.createDataFrame([(INDEX_VERSION,)], "version string").write.mode("overwrite").json(f"{folder}/meta")
 
 
 def language_of(column: Column) -> Column:

@@ -144,7 +144,15 @@ def cloud_terms(rows: DataFrame, k: int, stop: list[str] | None = None) -> DataF
     return top.select("term", "frequency", "document_range", size.alias("font_size"))
 
 
-def cloud_layout(terms: list[tuple[str, int, float]], palette: tuple[str, ...] = ("#264653", "#2a9d8f", "#e76f51")) -> list[dict]:
+#: Fixed: colours of the themes of a cloud.
+THEMES = {
+    "ocean": ("#0f4c81", "#1261a0", "#1778b5", "#1597a5", "#2d9cdb", "#58b6d9"),
+    "forest": ("#174c3c", "#236b4e", "#2f855a", "#479f76", "#68b984", "#8acb88"),
+    "sunset": ("#713c67", "#9a3f62", "#c94c5c", "#e76f51", "#f49d5b", "#efbd68"),
+}
+
+
+def cloud_layout(terms: list[tuple[str, int, float]], palette: tuple[str, ...] = THEMES["ocean"]) -> list[dict]:
     """Places terms (at most some hundreds) outward on an ellipse, each at the first free place; a term without one is left out."""
     boxes, out = np.zeros((0, 4)), []
     step = np.arange(TRIES)

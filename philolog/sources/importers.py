@@ -94,7 +94,7 @@ def aligned_table(lines: DataFrame) -> DataFrame:
     cells = F.split("line", "\t")
     rows = lines.where(F.trim("line") != "").withColumn("a_text", F.trim(F.get(cells, F.lit(0)))).withColumn("b_text", F.trim(F.coalesce(F.get(cells, F.lit(1)), F.lit(""))))
     first = lines.where(F.trim("line") != "").agg(F.min("line_no").alias("first"))
-    header = (F.col("line_no") == F.col("first")) & F.lower(F.replace("line", F.lit(" "), F.lit(""))).rlike("^(?:zh\ten|cn\ten|chinese\tenglish)")
+    header = (F.col("line_no") == F.col("first")) & F.lower(F.replace("line", F.lit(" "), F.lit(""))).rlike(r"^(?:zh\ten|cn\ten|chinese\tenglish)\r?$")
     rows = rows.crossJoin(F.broadcast(first)).where(~header)  # one row
     return rows.select(F.col("line_no").alias("pair_no"), "a_text", "b_text", F.lit("sentence").alias("alignment_unit"), F.lit("provided").alias("method"), F.lit(1.0).alias("confidence"), ((F.col("a_text") == "") | (F.col("b_text") == "")).alias("is_error"))
 

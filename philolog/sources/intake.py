@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,38 +25,51 @@ SAMPLE, TAB_LINES, PAIR_LINES, LEAST_LETTERS, LEAST_MARKS, TITLE = 12000, 200, 5
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, filename, size_bytes, content of .txt and .tsv files below a folder; lock files of office programs are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,tsv}").load(root)
+    """path, relative_path, filename, size_bytes, content of .txt and .tsv files below a folder, whatever their letters' case; lock files of office programs are left out.
+
+    In the order of lower-cased relative paths once sorted by `scan_order`.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xXsS][tTvV]").load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(~name.startswith("~$")).select("path", name.alias("filename"), F.col("length").alias("size_bytes"), "content")
+    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    relative = F.substring_index("path", base, -1)
+    files = files.where(~name.startswith("~$") & F.lower(name).rlike(r"\.(?:txt|tsv)$"))
+    return files.select("path", relative.alias("relative_path"), name.alias("filename"), F.col("length").alias("size_bytes"), F.lower(relative).alias("scan_order"), "content")
+
+
+#: Fixed: byte-order marks; encodings that are tried; what a character of each kind adds to a text's readability; characters looked at.
+MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+ENCODINGS = ("utf-8-sig", "gb18030", "utf-16-le", "utf-16-be")
+PER_LETTER, PER_BLANK, PER_CONTROL, PER_REPLACED, LOOKED_AT = 0.001, 0.0002, -0.02, -0.5, 4000
 
 
 def readability(text: str) -> float:
     """Higher for text with letters and blanks, lower with control characters."""
-    if not text:
+    kinds = Counter("control" if c < " " and c not in "\r\n\t" else "replaced" if c == "�" else "blank" if c in " \n" else "other" for c in text[:LOOKED_AT])
+    size = min(len(text), LOOKED_AT)
+    if not size:
         return -1.0
-    head = text[:4000]
-    plain = sum(c.isprintable() or c in "\r\n\t" for c in head)
-    control = sum(ord(c) < 32 and c not in "\r\n\t" for c in head)
-    letters = len(re.findall(f"{LATIN}|{CJK}", head))
-    blanks = head.count(" ") + head.count("\n")
-    return plain / len(head) + 0.001 * letters + 0.0002 * blanks - 0.02 * control - 0.5 * head.count("�")
+    shown = sum(c.isprintable() or c in "\r\n\t" for c in text[:LOOKED_AT]) / size
+    letters = len(re.findall(f"{LATIN}|{CJK}", text[:LOOKED_AT]))
+    return shown + PER_LETTER * letters + PER_BLANK * kinds["blank"] + PER_CONTROL * kinds["control"] + PER_REPLACED * kinds["replaced"]
+
+
+def _decodable(data: bytes, encoding: str) -> str | None:
+    try:
+        return data.decode(encoding)
+    except UnicodeDecodeError:
+        return None
 
 
 def decode_bytes(data: bytes) -> tuple[str, str]:
-    """Text and encoding: by byte-order mark, else the most readable of four, else UTF-8 with replacements."""
-    for mark, encoding in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if data.startswith(mark):
-            return data.decode(encoding), encoding
-    best: tuple[float, str, str] | None = None
-    for encoding in ("utf-8-sig", "gb18030", "utf-16-le", "utf-16-be"):
-        try:
-            text = data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-        if best is None or readability(text) > best[0]:
-            best = (readability(text), text, encoding)
-    return best[1:] if best else (data.decode("utf-8", "replace"), "utf-8-replace")
+    """Text and encoding: by byte-order mark, else the most readable of four (of equals the first), else UTF-8 with replacements."""
+    if marked := next((e for mark, e in MARKS.items() if data.startswith(mark)), None):
+        return data.decode(marked), marked
+    texts = {e: t for e in ENCODINGS if (t := _decodable(data, e)) is not None}
+    if not texts:
+        return data.decode("utf-8", "replace"), "utf-8-replace"
+    best = max(texts, key=lambda e: readability(texts[e]))
+    return texts[best], best
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))

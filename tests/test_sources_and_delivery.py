@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from philolog.operators import parallel, retrieval
+from philolog.operators import index, parallel, retrieval
 from philolog.sources import importers, intake, sinks
 from philolog.streaming import delivery
 
@@ -88,7 +88,7 @@ def test_export(spark, tmp_path):
     rows = spark.createDataFrame([("=a", 1), ("b", 2)], "t string, n long")
     assert sinks.export_table(rows.coalesce(1), str(tmp_path / "out")) == 2
     text = "".join(p.read_bytes().decode() for p in (tmp_path / "out").glob("part-*"))
-    assert text.split("\r\n")[:3] == ["t\tn", "'=a\t1", "b\t2"]
+    assert text.split("\r\n")[:3] == ["\ufefft\tn", "'=a\t1", "b\t2"]
     with pytest.raises(ValueError):
         sinks.export_table(rows, str(tmp_path / "out2"), 1)
 
@@ -137,3 +137,81 @@ def test_streaming_dedup_and_windows(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert spark.table(name).count() == n
+
+
+def test_export_quotes_and_marks(spark, tmp_path):
+    rows = spark.createDataFrame([('say "no"\tnow', "=1"), ("", None)], "a string, b string").coalesce(1)
+    assert sinks.export_table(rows, str(tmp_path / "out")) == 2
+    (file,) = (tmp_path / "out").glob("part-*")
+    assert file.read_bytes().decode("utf-8-sig").split("\r\n")[:2] == ["a\tb", '"say ""no""\tnow"\t\'=1']
+    with pytest.raises(ValueError):
+        sinks.export_table(rows, str(tmp_path / "out"), 1)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1 and not list(tmp_path.glob("*.new-*"))
+
+
+def test_scan_takes_any_case_and_order(spark, tmp_path):
+    for name in ("b/X.TXT", "a.tsv", "~$a.txt", "c.md", "B/a.Tsv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert [r["relative_path"] for r in intake.scan(spark, str(tmp_path)).orderBy("scan_order").collect()] == ["a.tsv", "B/a.Tsv", "b/X.TXT"]
+
+
+def test_manifest_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.txt", "raw_en", "en", 0.78, "p1", 10, ["x", "y"]), ("b.txt", "tagged_zh", "zh", 0.9, None, 5, [])], "filename string, detected_type string, detected_language string, confidence double, probable_pair_id string, size_bytes long, notes array<string>")
+    sinks.write_manifest(rows.coalesce(1), str(tmp_path))
+    (file,) = (tmp_path / "csv").glob("part-*")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbffilename,") and "x;y" in file.read_text()
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    found = {r["detected_type"]: (r["files"], r["pairs"], r["bytes"]) for r in intake.summary(rows).collect()}
+    assert found == {"raw_en": (1, 1, 10), "tagged_zh": (1, 0, 5)}
+    assert [r["filename"] for r in intake.mismatched(rows, "tagged", "zh_en").collect()] == ["a.txt"]
+    assert [r["filename"] for r in intake.mismatched(rows, "raw_mono", "zh").collect()] == ["a.txt", "b.txt"]
+
+
+def test_index_health(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    assert sinks.index_health(spark, folder)[0] == "missing"
+    docs = spark.createDataFrame([(1, "One thing. Two.", "en"), (9_000_000_000, "Trois.", "fr")], "doc_id long, text string, lang string")
+    index.write_index(docs, folder)
+    assert sinks.index_health(spark, folder) == ("ready", "") and sinks.index_health(spark, folder, "2")[0] == "outdated"
+    stored = spark.read.parquet(f"{folder}/tokens")
+    assert sorted((r["document_id"], r["global_position"]) for r in stored.collect()) == [(1, k) for k in range(1, 6)] + [(9_000_000_000, 6), (9_000_000_000, 7)]
+    stored.drop("lemma").write.mode("overwrite").parquet(f"{folder}/word_totals")
+    assert sinks.index_health(spark, folder)[0] == "corrupt"
+
+
+def test_lines_of_interchange(spark, tmp_path):
+    sinks.write_lines({"documents": spark.createDataFrame([(1, "é")], "id long, text string")}, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "documents")).first().asDict() == {"id": 1, "text": "é"}
+
+
+def test_delivery_of_dead_and_old_events(spark):
+    now = datetime(2024, 1, 10)
+    rows = [(1, "dead", 12, now, 0, None), (2, "published", 1, now, 0, now - timedelta(days=8)), (3, "published", 1, now, 0, now - timedelta(days=6)), (4, "pending", 0, now, 0, None)]
+    frame = spark.createDataFrame(rows, "id long, status string, attempt_count int, available_at timestamp, replay_count int, published_at timestamp")
+    again = {r["id"]: (r["status"], r["attempt_count"], r["replay_count"]) for r in delivery.replayed(frame, F.lit(now)).collect()}
+    assert again[1] == ("pending", 0, 1) and again[4] == ("pending", 0, 0)
+    assert sorted(r["id"] for r in delivery.kept(frame, F.lit(now)).collect()) == [1, 3, 4]
+    jobs = spark.createDataFrame([(1, "running"), (2, "failed")], "job_id long, state string")
+    assert [r["state"] for r in delivery.restored(jobs).orderBy("job_id").collect()] == ["queued", "failed"]
+    ends = spark.createDataFrame([(1, now - timedelta(1)), (2, now + timedelta(1)), (3, None)], "id long, expires_at timestamp")
+    assert [r["id"] for r in delivery.expired(ends, F.lit(now)).collect()] == [1]
+    sums = spark.createDataFrame([(3, 1, 1.5, 2)], "pairs long, anomalies long, confidence_sum double, confidence_count long")
+    assert delivery.merged_summary(sums, sums).first()["pairs"] == 6
+    times = spark.createDataFrame([("a", now), ("a", now + timedelta(minutes=10)), ("a", now + timedelta(hours=2))], "key string, ts timestamp")
+    assert sorted(r["n"] for r in delivery.sessions(times, "key").collect()) == [1, 2]
+
+
+def test_chunks_of_pairs_and_their_vectors(spark):
+    pairs = spark.createDataFrame([(1, "甲", "a"), (2, "乙", "b")], "pair_no long, a_text string, b_text string")
+    chunks = retrieval.pair_chunks(pairs)
+    assert [r["text"] for r in chunks.orderBy("chunk_id").collect()] == ["[ZH] 甲\n[EN] a", "[ZH] 乙\n[EN] b"]
+    stored = chunks.where("chunk_id = 'pair:1'").select("chunk_id", "text_sha256").union(spark.createDataFrame([("pair:2", "old")], "chunk_id string, text_sha256 string"))
+    assert [r["chunk_id"] for r in retrieval.stale(chunks, stored).collect()] == ["pair:2"]
+    vectors = spark.createDataFrame([([1.0, 2.0],), ([0.0, 0.0],), ([float("nan"), 1.0],), ([1.0],)], "v array<double>")
+    assert [r[0] for r in vectors.select(retrieval.valid_vector(F.col("v"), 2)).collect()] == [True, False, False, False]
+
+
+def test_first_anomalies(spark):
+    rows = spark.createDataFrame([(k, ["x"] if k % 2 else [], 0.5) for k in range(10)], "pair_no long, reasons array<string>, confidence double")
+    assert [r["pair_no"] for r in parallel.first_anomalies(rows, 3).collect()] == [1, 3, 5]
