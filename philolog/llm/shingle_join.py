@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from philolog.llm import _bytes
 from philolog.llm._session import checkpoints, stored
+from philolog.llm.bloom import Bloom
 from philolog.llm.components import connected_components
 
 #: Rows of the sample that common shingles are looked for in, about, and how many of them every task knows.
@@ -42,7 +43,7 @@ FEW = 32
 #: Shingles for each counter of a point, about, and the fewest and most counters.
 PER_COUNTER, COUNTERS = 8, (16, 4096)
 #: Sets of a tile, and bytes of their shingle hashes; a larger set is a tile of its own, about.
-TILE_SETS, TILE_BYTES = 1024, 16 << 20
+TILE_SETS, TILE_BYTES = 4096, 32 << 20
 #: Sets of a cell that are compared with all sets of it and of its neighbours.
 PIVOTS = 4
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 3) % 2**64 | 1) for k in range(64)]
@@ -380,20 +381,23 @@ def _compared(table: pa.Table, t: Threshold) -> pa.Table:
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """members with `set`, the packed shingle hashes of the one text that a member's row names."""
-    columns = [c for c in members.columns if c not in ("least", "mark")]
+    """members with `set`, the packed shingle hashes of the one text that a member's row names.
+
+    A Bloom filter of the rows that are named keeps the others from being cut and shuffled.
+    """
+    key = lambda of: F.xxhash64(of, "mark").alias("key")
+    named = docs.sparkSession.sparkContext.broadcast(Bloom.of(members.select(key("least"))))
 
     def cut(batches):
         for batch in batches:
-            packed = [s.tobytes() if fingerprint(s) == node else None for s, node in zip(_sets_of(batch.column(0), width), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.large_binary()).cast(pa.binary())], [*batch.schema.names[1:], "set"])
-
-    texts = docs.select(F.col("id").alias("least"), "mark", "text").alias("d")
-    joined = texts.join(members.alias("m"), F.col("d.mark").eqNullSafe(F.col("m.mark")) & F.col("d.least").eqNullSafe(F.col("m.least")))
-    rows = joined.select("d.text", F.col("m.node").alias("node"), *[F.col(f"m.{c}").alias(c) for c in columns if c != "node"])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    # of rows with one id and one text each comes along; a null set is one whose 64-bit marks met by chance
-    return rows.mapInArrow(cut, f"{schema}, set binary").where("set is not null")
+            may = named.value.may(batch.column("key").to_numpy().view(np.uint64))
+            batch = batch.filter(pa.array(may))
+            sets = [(fingerprint(s), s.tobytes()) for s in _sets_of(batch.column("text"), width)] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), batch.column("key"), pa.array([x for _, x in sets], pa.binary())], ["node", "key", "set"])
+
+    sets = docs.where("text is not null").select("text", key("id")).mapInArrow(cut, "node long, key long, set binary")
+    # of rows with one id and one text each comes along; a tile takes each set once
+    return members.withColumn("key", key("least")).drop("least", "mark").join(sets, ["node", "key"]).drop("key")
 
 
 def _cells(members: DataFrame, t: Threshold) -> DataFrame:
