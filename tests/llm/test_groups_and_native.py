@@ -285,6 +285,35 @@ def test_phones_without_plus_are_added(spark):
     assert not any(found[i] for i in range(450, 750))
 
 
+def test_added_spans_are_personal_data(spark):
+    """Precision and recall of what is added beside the base patterns, on planted forms that these miss and on look-alikes."""
+    draw = random.Random(21)
+    n = lambda k: "".join(draw.choice("123456789") for _ in range(k))
+    words = lambda: " ".join(draw.choice(["thing", "there", "with", "other", "words", "seven"]) for _ in range(draw.randint(2, 9)))
+    planted = [
+        lambda: (f"phone: ({n(3)}) {n(3)}-{n(4)}", "phone"), lambda: (f"call {n(3)}-{n(3)}-{n(4)}", "phone"), lambda: (f"tel. 0{n(2)} {n(4)} {n(4)}", "phone"),
+        lambda: (f"card number {n(4)}.{n(4)}.{n(4)}.{n(4)}", "card"), lambda: (f"visa {n(4)} {n(4)} {n(4)} {n(3)}", "card"), lambda: (f"write to {draw.choice(['josé', 'zoë'])}.x@{draw.choice(['büro', 'haus'])}", "email"),
+    ]
+    alike = [lambda: f"lot {n(4)}.{n(5)}.{n(3)}", lambda: f"version {n(2)}.{n(2)}.{n(1)}", lambda: f"{n(9)} units", lambda: f"pages {n(3)}-{n(3)}", lambda: f"on {n(2)}/{n(2)}/{n(4)} {n(2)}:{n(2)}", lambda: f"isbn {n(3)}-{n(1)}-{n(5)}-{n(3)}-{n(1)}"]
+    base = [lambda: f"mail a{n(2)}@b.org", lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}", lambda: "card 4111 1111 1111 1111", lambda: f"ip 10.{n(1)}.{n(1)}.{n(1)}"]
+    texts, wanted = [], set()
+    for i in range(1500):
+        text = words() + " "
+        kind = i % 3
+        if kind == 0:
+            piece, name = draw.choice(planted)()
+            wanted.add((i, name))
+        else:
+            piece = draw.choice(alike if kind == 1 else base)()
+        texts.append(f"{text}{piece}, {words()}")
+    found = set()
+    for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        own = {f"{k}:{a}:{b}" for k, a, b in base_spans(texts[r["doc_id"]])}
+        found |= {(r["doc_id"], s.split(":")[0]) for s in r["spans"].split(",") if s and s not in own}
+    precision, recall = len(found & wanted) / len(found), len(found & wanted) / len(wanted)
+    assert precision >= 0.95 and recall >= 0.8, (precision, recall)
+
+
 def test_long_runs_take_linear_time(spark):
     texts = ["a" * 100_000, "1" * 100_000, "a@b" + ".c" * 20_000, "1.2.3.4 " * 8000, "+1" + " 2" * 20_000, "x@ " * 20_000]
     rows = {r["doc_id"]: r for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

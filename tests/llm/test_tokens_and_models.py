@@ -311,6 +311,39 @@ def test_quality_rules(spark):
     assert 0 < len(model.rules) < 60 and all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def plain_statistics(text):
+    t = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    n, many = max(len(t), 1), max(len(words), 1)
+    share = lambda p: len(regex.findall(p, t)) / n
+    return [round(x, 6) for x in (
+        math.log1p(len(words)), len(t) / many, len(set(words)) / many, share(r"\p{L}"), share(r"\p{Lu}"), share("[0-9]"), share(r"[^\p{L}\p{N}\s.,]"), share("[.,]"), share("!"), share(r"\|"), share("\n"),
+        share(r"[{}<>=;#$%&*_\\/]"), float(bool(re.search("licen[sc]e|copyright|all rights reserved", t, re.I))),
+    )]
+
+
+def test_quality_scores_equal_plain_rules(spark, corpus):
+    """Statistics, rules and weights by hand give each row's score, and the weights meet the lasso's conditions."""
+    texts = [t for _, t, *_ in corpus[:150]] + ["SPAM!! | $5 " * k for k in range(1, 60)] + ["", None, "All Rights Reserved\n{x}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 150)) for i in range(209) if i % 4], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+    x = np.array([plain_statistics(t) for t in texts])
+    margin = np.full(len(x), model.bias)
+    for rule, weight in model.rules:
+        margin += weight * rule.holds(x)
+    found = {r["doc_id"]: r["score"] for r in quality.score(frame, model).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx((1 / (1 + np.exp(-margin))).tolist(), abs=1e-9)
+    draw = np.random.default_rng(1)
+    z, y = (draw.random((300, 12)) < 0.4).astype(float), (draw.random(300) < 0.6).astype(float)
+    z[:, 0] = y
+    bias, w = quality.lasso(z, y)
+    error = 1 / (1 + np.exp(-(z @ w + bias))) - y
+    slope = z.T @ error / len(y)
+    assert abs(error.mean()) < 1e-3 and (np.abs(slope) <= quality.PENALTY + 1e-3).all()
+    assert np.allclose(slope[w != 0], -quality.PENALTY * np.sign(w[w != 0]), atol=1e-3) and w[0] > 1
+
+
 def test_rules_hold_alike_in_both_forms(spark):
     rule = quality.Rule(((0, True, 1.0), (1, False, 2.0)))
     x = np.array([[1.0, 3.0], [2.0, 3.0], [0.0, 2.0]])
