@@ -221,6 +221,13 @@ def corpus_counts(spark, sf_dir):
     return index.corpus_counts(documents(spark, sf_dir))
 
 
+@query(f"""SELECT * FROM ({_SQL['corpus_counts']}), (SELECT count(DISTINCT source) AS files FROM documents), (SELECT count(*) AS pairs FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'), (SELECT sum(chunks)::BIGINT AS chunks FROM (__CHUNKS__))""")
+def build_counts(spark, sf_dir):
+    """All counters of a build; sources stand in for files."""
+    files, chunks = table(spark, sf_dir, "documents").select("source").where("source is not null").distinct(), retrieval.build_chunks(documents(spark, sf_dir))
+    return index.build_counts(files, documents(spark, sf_dir), pairs(spark, sf_dir), chunks)
+
+
 @query(TOK + """ SELECT doc_id AS document_id, count(DISTINCT sno) AS sentences, count(*) AS tokens FROM tok GROUP BY doc_id""")
 def sentence_counts(spark, sf_dir):
     rows = index.sentence_table(documents(spark, sf_dir)).where(F.size("tokens") > 0)
@@ -701,6 +708,9 @@ def chunk_counts(spark, sf_dir):
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("letters"), F.max(F.length("text")).alias("longest"))
 
 
+_SQL["build_counts"] = _SQL["build_counts"].replace("__CHUNKS__", _SQL["chunk_counts"])
+
+
 # ---- intake, catalogue and delivery
 
 
@@ -756,6 +766,16 @@ def access_semi_join(spark, sf_dir):
     return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_semi").select("c_custkey", "c_nationkey")
 
 
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def access_policy(spark, sf_dir):
+    """Rows that are open to all, or of a group, or granted one by one."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    group = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(True).alias("in_group"))
+    granted = orders.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("granted", F.lit(True))
+    seen = customers.join(F.broadcast(group), "c_nationkey", "left").join(granted, "c_custkey", "left")  # nations are 25
+    return seen.where((F.col("c_mktsegment") == "BUILDING") | F.col("in_group") | F.col("granted")).select("c_custkey", "c_mktsegment")
+
+
 @query("SELECT event_type AS status, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS cost, min(event_id) AS first_event FROM events GROUP BY event_type")
 def ops_snapshot(spark, sf_dir):
     rows = table(spark, sf_dir, "events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,6 +145,12 @@ def clip(value: Column, most: int) -> Column:
     return F.substring(value, 1, most)
 
 
+def bounded(value: Column, most_entries: int, most_letters: int) -> Column:
+    """A map of strings with its first entries by key, each value clipped."""
+    kept = F.slice(F.array_sort(F.map_entries(value)), 1, most_entries)
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], F.substring(e["value"], 1, most_letters).alias("value"))))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.left(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), F.lit(32)))
 
@@ -164,10 +171,14 @@ def chunks(text: Column, limit: int = CHUNK_LIMIT) -> Column:
     return F.filter(F.transform(parts, lambda c: F.trim(c)), lambda c: c != "")
 
 
-def literal_spans(text: str, term: str, case_sensitive: bool, whole_words: bool) -> list[tuple[int, int]]:
+_TOKEN = regex.compile(TOKEN)
+
+
+def literal_spans(text: str, term: str, case_sensitive: bool, whole_words: bool, token_borders: bool = False) -> list[tuple[int, int]]:
     """Spans of a term in a text, not overlapping; folded letters may be longer than the ones they stand for.
 
-    With whole_words the characters beside a span may not be letters if the span ends in one itself.
+    With whole_words the characters beside a span may not be letters if the span ends in one itself;
+    with token_borders as well, a span must begin where a token begins and end where one ends.
     """
     if not text or not term:
         return []
@@ -186,15 +197,19 @@ def literal_spans(text: str, term: str, case_sensitive: bool, whole_words: bool)
             if not out or start >= out[-1][1]:
                 out.append((start, end))
         at = folded.find(term, at + len(term))
+    if whole_words and token_borders and out:
+        edges = [m.span() for m in _TOKEN.finditer(text)]
+        starts, ends = {a for a, _ in edges}, {b for _, b in edges}
+        out = [(a, b) for a, b in out if a in starts and b in ends]
     return out
 
 
-def spans_of(text: Column, term: str, *, case_sensitive: bool = False, whole_words: bool = False) -> Column:
+def spans_of(text: Column, term: str, *, case_sensitive: bool = False, whole_words: bool = False, token_borders: bool = False) -> Column:
     """array<struct<start, end>> of a term's occurrences."""
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def found(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"start": a, "end": b} for a, b in literal_spans(t, term, case_sensitive, whole_words)])
+        return column.map(lambda t: [{"start": a, "end": b} for a, b in literal_spans(t, term, case_sensitive, whole_words, token_borders)])
 
     return found(text)
 

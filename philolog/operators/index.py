@@ -142,6 +142,27 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
     return shape.crossJoin(sentences).crossJoin(types)  # one row each
 
 
+def build_counts(files: DataFrame, documents: DataFrame, pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: corpus_counts() with the numbers of files, pairs and chunks."""
+    others = [d.agg(F.count(F.lit(1)).alias(n)) for n, d in (("files", files), ("pairs", pairs), ("chunks", chunks))]
+    out = corpus_counts(documents)
+    for other in others:
+        out = out.crossJoin(other)  # one row each
+    return out
+
+
+def selected(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys are among the wanted ones."""
+    return rows.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def merged_totals(old: DataFrame, new: DataFrame) -> DataFrame:
+    """word_totals() of two parts of a corpus that share no document, as those of the whole."""
+    by = [c for c in ("language", "normalized", "pos") if c in old.columns]
+    sums = [F.min("display").alias("display"), F.sum("frequency").alias("frequency"), F.sum("document_range").alias("document_range"), F.min("is_punctuation").alias("is_punctuation")]
+    return old.unionByName(new).groupBy(*by).agg(*sums)
+
+
 def write_index(documents: DataFrame, folder: str) -> None:
     """The token table and its aggregates as Parquet: split by language, in the order of documents and positions."""
     tokens = with_global_position(token_table(documents, offsets=True), documents.select(F.col("doc_id").alias("document_id")))

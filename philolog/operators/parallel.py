@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
 from philolog.operators import index
+from philolog.sources.sinks import replace
 
 
 @dataclass
@@ -29,6 +30,7 @@ class PairQuery:
     alignment_unit: str = ""
     min_confidence: float = 0.0
     whole_words: bool = False
+    token_borders: bool = False
     case_sensitive: bool = False
     every: int = 1
     context: int = 5
@@ -70,7 +72,7 @@ def occurrences(pairs: DataFrame, query: PairQuery) -> DataFrame:
     if not term:
         none = F.lit(None).cast("int")
         return found.select("*", F.lit(1).alias("occurrence_ordinal"), none.alias("start"), none.alias("end"))
-    spans = X.spans_of(F.col(f"{side}_text"), term, case_sensitive=query.case_sensitive, whole_words=query.whole_words)
+    spans = X.spans_of(F.col(f"{side}_text"), term, case_sensitive=query.case_sensitive, whole_words=query.whole_words, token_borders=query.token_borders)
     rows = found.select("*", F.posexplode(spans).alias("_i", "_s")).select(*pairs.columns, (F.col("_i") + 1).alias("occurrence_ordinal"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
     return every_nth(rows, query.every, pairs) if query.every > 1 else rows
 
@@ -131,6 +133,23 @@ def infer_highlights(pairs: DataFrame, query: PairQuery, *, max_matches: int | N
     return forms.withColumn("place", F.row_number().over(order)).where(F.col("place") <= surfaces).select("key", "surface", "score", "place")
 
 
+#: Columns of a stored pair.
+PAIR_SCHEMA = "pair_no long, pair_id string, a_text string, b_text string, alignment_unit string, method string, filename string, confidence double"
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs from JSON lines; a line that isn't a pair fails the read."""
+    return spark.read.schema(PAIR_SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+def write_report(audited: DataFrame, folder: str) -> None:
+    """summary and anomalies of an audit as JSON lines, each put in place in one step after both were written."""
+    parts = {"anomalies": first_anomalies(audited), "summary": audit_summary(audited)}
+    for name, rows in parts.items():
+        rows.coalesce(1).write.mode("overwrite").json(f"{folder}.new/{name}")  # 1,000 rows at most
+    replace(audited.sparkSession, f"{folder}.new", folder)
+
+
 #: Fixed: defaults of an audit.
 LOW_CONFIDENCE, MIN_RATIO, MAX_RATIO, MAX_ANOMALIES = 0.60, 0.12, 1.80, 1000
 

@@ -49,8 +49,12 @@ def _count(word: str) -> Column:
     return F.size(F.filter("t", lambda x: x == word))
 
 
-def dense_search(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k vectors of greatest cosine (exact), ties by id; vectors of another length or without one are passed over."""
+def dense_search(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", *, language: str = "", language_col: str = "language") -> DataFrame:
+    """The k vectors of greatest cosine (exact), ties by id; vectors of another length or without one are passed over.
+
+    With a language, those of it and of pairs (zh_en) are searched.
+    """
+    vectors = vectors.where(F.col(language_col).isin(language, "zh_en")) if language else vectors
     q = F.array(*[F.lit(float(x)) for x in query])
     v = F.transform(vector_col, lambda x: x.cast("double"))
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -57,18 +57,24 @@ def write_manifest(manifest: DataFrame, folder: str) -> None:
 
 
 def publish(rows: DataFrame, path: str) -> None:
-    """Replaces a Parquet folder in one step: written aside, then renamed; on failure the old one comes back."""
-    spark: SparkSession = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """Replaces a Parquet folder by rows: written aside, then renamed."""
+    aside = f"{path}.new-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    replace(rows.sparkSession, aside, path)
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a folder in the place of another by two renames; if the second fails the old folder comes back.
+
+    A store without a rename over folders has a moment between the two in which readers find nothing.
+    """
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh, target, old = jvm.Path(new), jvm.Path(path), jvm.Path(f"{path}.old-{uuid.uuid4().hex}")
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    mark = uuid.uuid4().hex
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new-{mark}"), jvm.org.apache.hadoop.fs.Path(f"{path}.old-{mark}")
-    rows.write.parquet(new.toString())
     had = files.exists(target)
     if had and not files.rename(target, old):
         raise OSError(f"{path} cannot be set aside")
-    if not files.rename(new, target):
+    if not files.rename(fresh, target):
         if had:
             files.rename(old, target)
         raise OSError(f"{path} cannot be replaced")
@@ -76,6 +82,11 @@ def publish(rows: DataFrame, path: str) -> None:
         files.delete(old, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 #: Fixed: the version that stored indexes of this form carry.
 INDEX_VERSION = "1"
 #: Tables of a stored index and the columns that queries need.

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from philolog.sources.sinks import exists
+
 #: Fixed: first delay and longest delay in seconds, doublings at most, attempts before a message is dead, days kept.
 FIRST_DELAY, LONGEST_DELAY, DOUBLINGS, ATTEMPTS, KEPT_DAYS = 5, 3600, 10, 12, 7
 #: Fixed: redelivery of results.
@@ -58,23 +60,24 @@ def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "10 minute
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def project_once(batch: DataFrame, path: str, id_col: str = "message_id", payload_col: str = "payload") -> DataFrame:
+def project_once(batch: DataFrame, path: str, id_col: str = "message_id", payload_col: str = "payload", *, buckets: int = 64) -> DataFrame:
     """Adds a micro-batch to a stored table once; gives back messages whose id is known with another payload.
 
-    For foreachBatch: a batch that comes again adds nothing.
+    For foreachBatch of one query, whose batches follow each other: a batch that comes again adds
+    nothing. The table is split by a hash of the id, so a batch reads ids of its own buckets alone.
     """
     spark = batch.sparkSession
-    new = batch.withColumn("payload_sha256", F.sha2(payload_col, 256)).dropDuplicates([id_col, "payload_sha256"])
+    new = batch.withColumn("payload_sha256", F.sha2(payload_col, 256)).withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
     new = first_by_key(new, id_col, "payload_sha256")
-    try:
-        known = spark.read.parquet(path).select(id_col, F.col("payload_sha256").alias("_sha"))
-    except Exception as problem:  # nothing was stored yet
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-        known = new.select(id_col, F.col("payload_sha256").alias("_sha")).limit(0)
-    met = new.join(known, id_col, "left").persist()
-    met.where("_sha is null").drop("_sha").write.mode("append").parquet(path)
-    return met.where("_sha is not null and _sha != payload_sha256").drop("_sha")
+    if not exists(spark, path):
+        new.limit(0).write.partitionBy("bucket").parquet(path)
+    stored = spark.read.schema(new.schema).parquet(path)
+    mine = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+    known = stored.where(F.col("bucket").isin(mine)).select(id_col, F.col("payload_sha256").alias("_sha"))
+    # rows added below never differ from the batch, so this holds before and after
+    other = new.join(known, id_col).where("_sha != payload_sha256").drop("_sha", "bucket")
+    new.join(known, id_col, "left_anti").write.mode("append").partitionBy("bucket").parquet(path)
+    return other
 
 
 #: Fixed: which states a job may pass to.

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from philolog.operators import index, parallel, retrieval
+from philolog.functions import text as X
+from philolog.operators import exports, index, ordering, parallel, retrieval
 from philolog.sources import importers, intake, sinks
 from philolog.streaming import delivery
 
@@ -215,3 +216,52 @@ def test_chunks_of_pairs_and_their_vectors(spark):
 def test_first_anomalies(spark):
     rows = spark.createDataFrame([(k, ["x"] if k % 2 else [], 0.5) for k in range(10)], "pair_no long, reasons array<string>, confidence double")
     assert [r["pair_no"] for r in parallel.first_anomalies(rows, 3).collect()] == [1, 3, 5]
+
+
+def test_token_borders_of_spans():
+    assert X.literal_spans("state-of-the-art the", "the", False, True) == [(9, 12), (17, 20)]
+    assert X.literal_spans("state-of-the-art the", "the", False, True, True) == [(17, 20)]
+
+
+def test_bounded_maps(spark):
+    (row,) = spark.range(1).select(X.bounded(F.create_map(F.lit("b"), F.lit("xyz"), F.lit("a"), F.lit("q"), F.lit("c"), F.lit("r")), 2, 2).alias("m")).collect()
+    assert row["m"] == {"a": "q", "b": "xy"}
+
+
+def test_audit_files(spark, tmp_path):
+    (tmp_path / "pairs.jsonl").write_text('{"pair_no": 1, "a_text": "x", "b_text": "y", "confidence": 0.9}\n{"pair_no": 2, "a_text": "", "b_text": "y", "confidence": 2}\n')
+    audited = parallel.audit(parallel.read_pairs(spark, str(tmp_path / "pairs.jsonl")))
+    parallel.write_report(audited, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "summary")).first()["empty_side_pairs"] == 1
+    assert spark.read.json(str(tmp_path / "report" / "anomalies")).count() == 1
+    (tmp_path / "pairs.jsonl").write_text("no pair\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        parallel.write_report(parallel.audit(parallel.read_pairs(spark, str(tmp_path / "pairs.jsonl"))), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "summary")).first()["total_pairs"] == 2
+
+
+def test_selected_and_merged(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, t string")
+    assert [r["t"] for r in index.selected(rows, spark.createDataFrame([(3,), (3,), (9,)], "id long"), "id").collect()] == ["c"]
+    docs = spark.createDataFrame([(1, "The cat. The dog", "en"), (2, "the Cat", "en")], "doc_id long, text string, lang string")
+    of = lambda d: index.word_totals(index.token_table(d))
+    merged = index.merged_totals(of(docs.where("doc_id = 1")), of(docs.where("doc_id = 2")))
+    columns = sorted(merged.columns)
+    assert sorted(map(tuple, merged.select(*columns).collect())) == sorted(map(tuple, of(docs).select(*columns).collect()))
+
+
+def test_dense_search_by_language(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "en"), (2, [1.0, 0.0], "zh"), (3, [1.0, 0.1], "zh_en")], "vec_id long, embedding array<double>, language string")
+    assert [r["id"] for r in retrieval.dense_search(vectors, [1.0, 0.0], 5, language="en").collect()] == [1, 3]
+
+
+def test_exports(spark):
+    q = parallel.PairQuery("the", filename_has="x", min_confidence=0.5, context=9)
+    assert exports.remembered(q, ["R1"]) | {} == {"q": "the", "side": "a", "a_has": "", "b_has": "", "a_lacks": "", "b_lacks": "", "alignment_unit": "", "whole_words": False, "case_sensitive": False, "every": 1, "sort_1": "R1", "sort_2": "", "sort_3": ""}
+    pairs = spark.createDataFrame([(1, "the b the a", "x", "sentence", "f", 1.0), (2, "the a", "y", "sentence", "f", 1.0)], "pair_no long, a_text string, b_text string, alignment_unit string, filename string, confidence double")
+    assert [(r["pair_no"], r["occurrence_ordinal"]) for r in exports.occurrence_rows(pairs, parallel.PairQuery("the"), ["R1"]).collect()] == [(1, 2), (2, 1), (1, 1)]
+    for bad in (ordering.collocates, ordering.keywords, ordering.runs, ordering.clusters, ordering.plots):
+        with pytest.raises(ValueError):
+            bad("nothing")
+    with pytest.raises(ValueError):
+        ordering.occurrences(["L1", "L2", "L3", "R1"])
