@@ -15,15 +15,17 @@ the pairs.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from philolog.llm import _bytes
 from philolog.llm._session import checkpoints
 from philolog.llm.components import connected_components
 from philolog.llm.shingle_join import Forest
@@ -49,27 +51,39 @@ def least_count() -> int:
     return k
 
 
+def _names(x: np.ndarray, labels: list) -> np.ndarray:
+    """64-bit names of rows of scaled vectors and their labels; rows with equal numbers and labels have equal names."""
+    bits = (x + 0.0).view(np.uint64)
+    marks = _bytes.mix(np.arange(1, x.shape[1] + 1, dtype=np.uint64))
+    of_label = {v: xxhash.xxh64_intdigest(repr(v)) for v in set(labels)}
+    sums = _bytes.mix(bits * (marks | np.uint64(1)) + marks).sum(1, dtype=np.uint64)
+    return _bytes.mix(_bytes.mix(sums) + np.array([of_label[v] for v in labels], np.uint64)).view(np.int64)
+
+
 def _named(batches, deviation: float):
     """(vec_id, label, node, dim, cell, unit): the last four are null for vectors that link with nothing."""
     for batch in batches:
-        nodes, dims, cells, units = [], [], [], []
-        for label, vector in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            x = None
-            if label is not None and vector.is_valid and vector.values.null_count == 0 and len(vector.values):
-                x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                scale = np.abs(x).max()
-                x = x / scale if np.isfinite(scale) and scale > 0 else None
-            if x is None:
-                for out in (nodes, dims, cells, units):
-                    out.append(None)
-                continue
-            raw = hashlib.blake2b((x + 0.0).tobytes() + repr(label).encode(), digest_size=8).digest()
-            x = x / np.linalg.norm(x)
-            nodes.append(int.from_bytes(raw, "big", signed=True))
-            dims.append(len(x))
-            cells.append(math.floor(float(lines(len(x))[0] @ x) / (CELL * deviation)))
-            units.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(dims, pa.int32()), pa.array(cells, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "label", "node", "dim", "cell", "unit"])
+        lists, labels = batch.column(2), np.array(batch.column(1).to_pylist(), object)
+        offsets, flat = lists.offsets.to_numpy(), lists.values
+        absent = np.concatenate(([0], np.cumsum(np.asarray(flat.is_null()))))
+        values = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy()
+        length = np.diff(offsets)
+        able = np.asarray(lists.is_valid()) & (length > 0) & (absent[offsets[1:]] == absent[offsets[:-1]]) & np.array([v is not None for v in labels], bool)
+        nodes, dims, cells, units = (np.full(len(lists), None, object) for _ in range(4))
+        for dim in np.unique(length[able]).tolist():
+            rows = np.flatnonzero(able & (length == dim))
+            x = values[offsets[rows][:, None] + np.arange(dim)]
+            scale = np.abs(x).max(1)
+            good = np.isfinite(scale) & (scale > 0)
+            rows, x = rows[good], x[good] / scale[good, None]
+            if len(rows):
+                nodes[rows] = _names(x, labels[rows].tolist())
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                dims[rows] = dim
+                cells[rows] = np.floor(x @ lines(dim)[0] / (CELL * deviation)).astype(np.int64)
+                units[rows] = np.array([u.tobytes() for u in x], object)
+        columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(dims, pa.int32()), pa.array(cells, pa.int32()), pa.array(units, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "node", "dim", "cell", "unit"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: float):
