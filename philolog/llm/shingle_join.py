@@ -8,8 +8,10 @@ its group counts. Two sets share at most the sum of the coordinate minima of the
    many before it. The order puts shingles that a sample of rows shows to be common last, so frequent
    passages that unlike texts share rarely make a key; whatever the sample, no link is lost. The sets
    of a key are taken as pairs if they are few, and the pairs that the bound on the points rules out
-   are dropped. The sets of a key that more share become a star, first within an Arrow batch and then
-   across them, so such a key holds one row for each batch however many texts share it.
+   are dropped. Of the sets of a key that more share, an R-tree over their points gives the pairs that
+   the bound leaves, and a forest of them is kept. The sets of a key that very many share become a
+   star, first within an Arrow batch and then across them, so such a key holds one row for each batch
+   however many texts share it.
 2. The components of these edges are the units within which all links lie. A small unit is one tile.
    A unit of more sets or bytes is cut into cells by size, such that links reach the next cell at
    most, and cells into tiles of bounded size. A few pivots of each cell are compared with all sets
@@ -38,8 +40,8 @@ from philolog.llm.components import connected_components
 
 #: Rows of the sample that common shingles are looked for in, about, and how many of them every task knows.
 SAMPLE_ROWS, COMMON = 10_000, 400_000
-#: Sets of a key that are taken as pairs; more become a star.
-FEW = 32
+#: Sets of a key that are taken as pairs, and that an R-tree takes; more become a star.
+FEW, MANY = 32, 2048
 #: Shingles for each counter of a point, about, and the fewest and most counters.
 PER_COUNTER, COUNTERS = 8, (16, 4096)
 #: Sets of a tile, and bytes of their shingle hashes; a larger set is a tile of its own, about.
@@ -210,7 +212,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _shared_keys(docs: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
-    """(u, v, star) of set names that share a blocking key: all pairs of a key with few sets, else a star."""
+    """(u, v, kind) of set names that share a blocking key: pairs of a key with few sets, rows (key, set) of one with more, and a star of one with very many."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
     flag = np.uint64(1)  # the lowest bit of a key's row says that it stands for a star
 
@@ -230,7 +232,7 @@ def _shared_keys(docs: DataFrame, width: int, t: Threshold, buckets: int) -> Dat
                 continue
             keys, nodes = np.concatenate(keys) & ~flag, np.repeat(np.array(nodes, np.int64), sizes)
             keys, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-            hot = times[inverse] > FEW
+            hot = times[inverse] > MANY
             heads, at, us, vs = _stars(keys[inverse[hot]], nodes[hot])
             keys, nodes = np.concatenate((keys[inverse[~hot]], heads | flag)), np.concatenate((nodes[~hot], at))
             order = np.argsort(keys)
@@ -247,21 +249,46 @@ def _shared_keys(docs: DataFrame, width: int, t: Threshold, buckets: int) -> Dat
     def meet(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["packed"].to_pylist()]
         both = np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.uint64)
-        few = np.zeros((0, 2), np.int64)
+        few = some = np.zeros((0, 2), np.int64)
         if table["bucket"][0].as_py() < 0:
             us, vs = _thin(both.view(np.int64).T)
         else:
-            _, inverse, times = np.unique(both[0] & ~flag, return_inverse=True, return_counts=True)
-            hot = (times > FEW) | (np.bincount(inverse, both[0] & flag, len(times)) > 0)
-            some = (times[inverse] > 1) & ~hot[inverse]
-            few = _pairs(inverse[some], both[1].view(np.int64)[some])
-            large = hot[inverse]
-            _, _, us, vs = _stars(inverse[large].astype(np.uint64), both[1].view(np.int64)[large])
-        star = np.repeat([True, False], [len(us), len(few)])
-        return pa.table({"u": pa.array(np.concatenate((us, few[:, 0])), pa.int64()), "v": pa.array(np.concatenate((vs, few[:, 1])), pa.int64()), "star": pa.array(star)})
+            nodes = both[1].view(np.int64)
+            names, inverse, times = np.unique(both[0] & ~flag, return_inverse=True, return_counts=True)
+            large = (times > MANY) | (np.bincount(inverse, both[0] & flag, len(times)) > 0)
+            few = _pairs(inverse[((times > 1) & (times <= FEW) & ~large)[inverse]], nodes[((times > 1) & (times <= FEW) & ~large)[inverse]])
+            middle = ((times > FEW) & ~large)[inverse]
+            some = np.stack((names.view(np.int64)[inverse[middle]], nodes[middle]), 1)
+            _, _, us, vs = _stars(inverse[large[inverse]].astype(np.uint64), nodes[large[inverse]])
+        kind = np.repeat(np.array([PAIR, SHARED, STAR], np.int8), [len(few), len(some), len(us)])
+        return pa.table({"u": pa.array(np.concatenate((few[:, 0], some[:, 0], us)), pa.int64()), "v": pa.array(np.concatenate((few[:, 1], some[:, 1], vs)), pa.int64()), "kind": pa.array(kind)})
 
     packed = docs.select("text").mapInArrow(emit, "bucket int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "u long, v long, star boolean")
+    return packed.groupBy("bucket").applyInArrow(meet, "u long, v long, kind tinyint")
+
+
+#: Kinds of rows of _shared_keys().
+PAIR, SHARED, STAR = 0, 1, 2
+
+
+def bound_forest(points: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
+    """A forest that joins all sets which the bound on their points leaves as possible links."""
+    sizes, lengths = np.array([int(p.sum()) for p in points], np.int64), np.array([len(p) for p in points])
+    group, found = np.arange(len(points)), []
+    # sets that link differ by less than a factor of two in size, so by one step of length at most
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+        if len(own) < 2:
+            continue
+        tree = RTree(np.stack([points[i].reshape(-1, length).sum(0) for i in own.tolist()]).astype(np.int32), sizes[own], t)
+        for k, i in enumerate(own.tolist()):
+            near = own[tree.query(k)]
+            near = near[(group[near] != group[i]) & ((lengths[near] == length) | (lengths[i] == length))]
+            for j in near.tolist():
+                if group[i] != group[j]:
+                    group[group == group[j]] = group[i]
+                    found.append((i, j))
+    return found
 
 
 def _pairs(groups: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -279,11 +306,17 @@ def _pairs(groups: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 def _units(docs: DataFrame, known: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
     """Edges (u, v) between set names such that every link lies within a component."""
-    shared = _shared_keys(docs, width, t, buckets).groupBy("u", "v").agg(F.max("star").alias("star")).checkpoint()
+    shared = _shared_keys(docs, width, t, buckets).distinct().checkpoint()
     points = known.where("node is not null").groupBy("node").agg(F.first("point").alias("point"))
-    asked = shared.where("not star")
+    asked = shared.where(F.col("kind") == PAIR)
     for end in ("u", "v"):
         asked = asked.join(points.select(F.col("node").alias(end), F.col("point").alias(f"{end}_point")), end)
+    held = shared.where(F.col("kind") == SHARED).select(F.col("u").alias("key"), F.col("v").alias("node")).join(points, "node")
+
+    def forest(table: pa.Table) -> pa.Table:
+        names = table["node"].to_numpy()
+        edges = bound_forest([np.frombuffer(x, np.uint32) for x in table["point"].to_pylist()], t)
+        return pa.table({"u": pa.array(names[[a for a, _ in edges]], pa.int64()), "v": pa.array(names[[b for _, b in edges]], pa.int64())})
 
     def bounded(batches):
         for batch in batches:
@@ -294,7 +327,8 @@ def _units(docs: DataFrame, known: DataFrame, width: int, t: Threshold, buckets:
                 may.append(reach(x, y) >= t.needed(int(x.sum()) + int(y.sum())))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(may, pa.bool_()))
 
-    return shared.where("star").select("u", "v").unionByName(asked.mapInArrow(bounded, "u long, v long"))
+    stars = shared.where(F.col("kind") == STAR).select("u", "v")
+    return stars.unionByName(asked.mapInArrow(bounded, "u long, v long")).unionByName(held.groupBy("key").applyInArrow(forest, "u long, v long"))
 
 
 class RTree:

@@ -77,6 +77,7 @@ def groups_by_hand(rows, width=4, percent=85):
 def test_shingle_groups(spark, seed, tile, monkeypatch):
     monkeypatch.setattr(shingle_join, "TILE_SETS", tile)  # large units are compared by tiles
     monkeypatch.setattr(shingle_join, "FEW", 2 if tile < 16 else 32)
+    monkeypatch.setattr(shingle_join, "MANY", 6 if tile == 5 else 2048)
     texts = near_texts(random.Random(seed))
     ids = random.Random(seed).sample(range(10_000), len(texts))
     frame = spark.createDataFrame([(i, t, "?") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, node string").repartition(3)
@@ -130,6 +131,15 @@ def test_points_bound_what_sets_share():
         assert shared <= bound <= min(len(a), len(b))
 
 
+def test_bound_forest_joins_all_that_may_link():
+    draw, t = np.random.default_rng(12), shingle_join.Threshold(80)
+    base = [np.unique(draw.integers(0, 2**64, int(n), dtype=np.uint64)) for n in draw.integers(5, 700, 40)]
+    sets = base + [np.unique(np.concatenate((s[: len(s) * 9 // 10], draw.integers(0, 2**64, len(s) // 20, dtype=np.uint64)))) for s in base]
+    points = [shingle_join.point_of(s) for s in sets]
+    may = [(i, j) for i in range(len(sets)) for j in range(i) if shingle_join.reach(points[i], points[j]) >= t.needed(len(sets[i]) + len(sets[j])) and 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j]))]
+    assert len(may) >= 40 and smallest(range(len(sets)), shingle_join.bound_forest(points, t)) == smallest(range(len(sets)), may)
+
+
 def test_rtree_keeps_all_that_link():
     draw, t = np.random.default_rng(5), shingle_join.Threshold(85)
     base = [np.unique(draw.integers(0, 2**64, int(n), dtype=np.uint64)) for n in draw.integers(20, 200, 60)]
