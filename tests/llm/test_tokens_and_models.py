@@ -14,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from philolog.llm import _bytes, automaton, bpe, language, media, quality, unigram
+from philolog.llm import _bytes, automaton, bloom, bpe, language, media, quality, unigram
 from philolog.llm.queries_tokens import bpe_path
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -180,6 +180,19 @@ def test_seldom_ngrams_are_kept_in_large_corpora(spark, monkeypatch, frequent):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_frequent_keys_pass(spark, monkeypatch):
+    """All keys that occur often enough pass, few others do, however the counts are cut into parts."""
+    draw = np.random.default_rng(5)
+    keys = draw.integers(0, 2**64, 3000, dtype=np.uint64)
+    times = draw.integers(1, 9, 3000)
+    rows = np.repeat(keys, times)
+    draw.shuffle(rows)
+    frame = spark.createDataFrame([(r.tobytes(),) for r in np.array_split(rows, 40)], "raw binary").repartition(3)
+    own, none = bloom.frequent(frame, lambda c: ((np.frombuffer(x, np.uint64), np.zeros(0, np.uint64)) for x in c.to_pylist()), 2, 4, 500)
+    assert (own.may(keys) == (times >= 4)).mean() > 0.99 and own.may(keys[times >= 4]).all()
+    assert not none.may(keys).any()
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
