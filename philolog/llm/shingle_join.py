@@ -41,11 +41,13 @@ from philolog.llm.components import connected_components
 #: Rows of the sample that common shingles are looked for in, about, and how many of them every task knows.
 SAMPLE_ROWS, COMMON = 10_000, 400_000
 #: Sets of a key that are taken as pairs, and that an R-tree takes; more become a star.
-FEW, MANY = 32, 2048
+FEW, MANY = 8, 2048
 #: Shingles for each counter of a point, about, and the fewest and most counters.
 PER_COUNTER, COUNTERS = 8, (16, 4096)
 #: Sets of a tile, and bytes of their shingle hashes; a larger set is a tile of its own, about.
-TILE_SETS, TILE_BYTES = 4096, 32 << 20
+TILE_SETS, TILE_BYTES = 4096, 16 << 20
+#: Rows of an Arrow batch whose keys are held at once.
+ROWS_AT_ONCE = 2000
 #: Sets of a cell that are compared with all sets of it and of its neighbours.
 PIVOTS = 4
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 3) % 2**64 | 1) for k in range(64)]
@@ -217,7 +219,7 @@ def _shared_keys(docs: DataFrame, width: int, t: Threshold, buckets: int) -> Dat
     flag = np.uint64(1)  # the lowest bit of a key's row says that it stands for a star
 
     def emit(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, ROWS_AT_ONCE)):
             keys, nodes, sizes = [], [], []
             seen = set()
             for s in _sets_of(batch.column(0), width):
@@ -402,12 +404,22 @@ def links_forest(sets: list[np.ndarray], t: Threshold, group: np.ndarray | None
     return found
 
 
+def _packed_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a binary column, as views of its memory."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32, len(chunk) + 1, chunk.offset * 4).tolist()
+        out += [np.frombuffer(data, np.uint64, (b - a) // 8, a) for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
 def _compared(table: pa.Table, t: Threshold) -> pa.Table:
     """(u, v) of the links that a tile's sets need; rows (node, set, label, asks), of which a node may come twice on a side."""
     names, label, asks = (table[c].to_numpy() for c in ("node", "label", "asks"))
     _, first = np.unique(np.stack((names, asks.astype(np.int64)), 1), axis=0, return_index=True)
-    held = table["set"].take(pa.array(first)).to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in held]
+    held = _packed_sets(table["set"])
+    sets = [held[i] for i in first.tolist()]
     names, asks = names[first], asks[first]
     # phase one has no asking sets: all are compared with all
     links = links_forest(sets, t, label[first], asks if asks.any() else None) if len(sets) > 1 else []
