@@ -232,10 +232,16 @@ class Encoder:
             yield list(chain.from_iterable(map(known.__getitem__, own)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Bpe:
+    """A worker keeps the vocabulary over its tasks, and nothing that it learns from texts."""
+    return Bpe(path)
+
+
 def encoder(path: str) -> Encoder:
-    """A worker keeps one over its tasks."""
-    return Encoder(Bpe(path))
+    bpe = vocabulary(path)
+    bpe.may.clear()
+    return Encoder(bpe)
 
 
 def digests(own: Encoder, parts: Iterable[list[int]], keep: tuple[str, ...]) -> tuple:
