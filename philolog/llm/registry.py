@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from philolog.llm import queries_groups, queries_language, queries_media, queries_merges, queries_mixing, queries_pii, queries_quality, queries_tokens, queries_trie
+from philolog.llm import queries_groups, queries_language, queries_media, queries_merges, queries_mixing, queries_negatives, queries_pii, queries_quality, queries_tokens, queries_trie
 
-_MODULES = (queries_groups, queries_language, queries_media, queries_merges, queries_mixing, queries_pii, queries_quality, queries_tokens, queries_trie)
+_MODULES = (queries_groups, queries_language, queries_media, queries_merges, queries_mixing, queries_negatives, queries_pii, queries_quality, queries_tokens, queries_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
