@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from philolog.llm._session import stored
+
 #: Rows whose words are counted to choose those that are folded once: words that make up 1 / SHARE of all, so at most SHARE.
 SAMPLE_ROWS, SHARE = 20_000, 1 << 21
 #: Bytes of the longest word that the literal map of words holds; from this size on a word is cut before it is folded.
@@ -94,7 +96,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-@lru_cache(maxsize=4)
 def _members(of: str) -> frozenset[int]:
     """Code points of a class of characters, as the library of such vocabularies knows it."""
     single = tiktoken.Encoding("bytes", pat_str=of, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
@@ -226,11 +227,12 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     total = counts.agg(F.sum("n").alias("total"))
     own = merges.words(spark)
     often = counts.join(F.broadcast(total)).where((F.col("n") > 1) & (F.col("n") * share >= F.col("total"))).select("word")
-    often = often.join(F.broadcast(own.select("word")), "word", "left_anti").select("word", merges.encoded(F.col("word")).alias("ids"))
-    cells: list[dict[str, list[int]]] = [{} for _ in range(WORD_CELLS)]
-    for word, ids, cell in own.unionByName(often).select("word", "ids", _cell(F.col("word"))).collect():
-        cells[cell][word] = ids
-    known = literal(cells, "array<map<string,array<int>>>")
+    # written first, as a plan that runs on names its literals each time it changes
+    often = stored(often.join(F.broadcast(own.select("word")), "word", "left_anti")).select("word", merges.encoded(F.col("word")).alias("ids"))
+    cells: list[list[str]] = [[] for _ in range(WORD_CELLS)]
+    for word, ids, cell in own.unionByName(often).select("word", "ids", _cell(F.col("word"))).toLocalIterator():
+        cells[cell].append(f"{json.dumps(word, ensure_ascii=False)}:[{','.join(map(str, ids))}]")
+    known = F.from_json(F.lit("[" + ",".join("{" + ",".join(cell) + "}" for cell in cells) + "]"), "array<map<string,array<int>>>")
     ids = F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.coalesce(F.get(known, _cell(w))[w], merges.encoded(w))))
     return docs.withColumn(ids_col, ids)
 
