@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
-from philolog.operators import collocation, concordance, exports, index, lists, ordering, parallel, retrieval
+from philolog.operators import collocation, concordance, exports, index, lists, ordering, parallel, postings, retrieval
 from philolog.plans.query import parse_brackets, parse_simple
 from philolog.sources import intake
 from philolog.streaming import delivery
@@ -799,3 +799,41 @@ def event_windows(spark, sf_dir):
     """Extension: event-time windows, here over a batch."""
     rows = delivery.windowed_counts(table(spark, sf_dir, "events"), "ts", "1 hour", "1 hour", "event_type")
     return rows.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+# ---- the stored positional index
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> postings.PositionalIndex:
+    return postings.of_documents(documents(spark, sf_dir), sf_dir)
+
+
+@query(EN + ", h AS (SELECT a.doc_id, a.p FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.p = a.p + 1 WHERE a.norm = 'of' AND b.norm = 'the') " + _context_sql(2))
+def index_phrase(spark, sf_dir):
+    """kwic_phrase from the stored index."""
+    return _kwic_columns(stored_index(spark, sf_dir).kwic("of the"))
+
+
+@query(EN + ", h AS (SELECT a.doc_id, a.p FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.p = a.p + 2 WHERE a.norm LIKE 'th%' AND b.norm = 'of') " + _context_sql(3))
+def index_wildcards(spark, sf_dir):
+    """A wildcard, any token, and a word, from the stored index."""
+    return _kwic_columns(stored_index(spark, sf_dir).kwic(parse_brackets("th* [] of")))
+
+
+@query(_COLLOCATES)
+def index_collocates(spark, sf_dir):
+    rows = stored_index(spark, sf_dir).collocates("thing", left=3, right=3, min_frequency=2)
+    exact = ["term", "display", "frequency", "left_frequency", "right_frequency", "document_range", "corpus_frequency"]
+    six = ["mi", "t_score", "log_dice", "dice", "mi2", "mi3", "minimum_sensitivity", "mu", "rrf", "drf", "z_score", "log_ratio"]
+    return rows.select(*exact, *[rounded(c).alias(c) for c in six], *[F.round(c, 4).alias(c) for c in ("chi_square", "log_likelihood")])
+
+
+@query(_SQL["word_list_en"])
+def index_word_list(spark, sf_dir):
+    rows = stored_index(spark, sf_dir).word_list().orderBy(*lists.list_order("frequency")).limit(50)
+    return lists.ranked(rows, *lists.list_order("frequency")).withColumn("per_million", rounded("per_million"))
+
+
+@query(_PLOT + " SELECT doc_id AS document_id, bin, hits FROM c")
+def index_plot_bins(spark, sf_dir):
+    return stored_index(spark, sf_dir).plot_bins("thing")
