@@ -7,6 +7,7 @@ Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from philolog.functions import text as X
 from philolog.operators import collocation, concordance, exports, index, lists, ordering, parallel, postings, retrieval
 from philolog.plans.query import parse_brackets, parse_simple
-from philolog.sources import intake
-from philolog.streaming import delivery
+from philolog.sources import intake, versions
+from philolog.streaming import auditing, delivery
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -837,3 +838,28 @@ def index_word_list(spark, sf_dir):
 @query(_PLOT + " SELECT doc_id AS document_id, bin, hits FROM c")
 def index_plot_bins(spark, sf_dir):
     return stored_index(spark, sf_dir).plot_bins("thing")
+
+
+# ---- an audit in batches
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> auditing.Audit:
+    """All pairs in three batches, in the order of their numbers."""
+    audit = auditing.Audit(spark, f"{versions.workspace(spark)}/audit-{uuid.uuid4().hex}", buckets=16)
+    rows = pairs(spark, sf_dir)
+    rows = rows.withColumn("_part", index.part_of(rows, "pair_no", 3))
+    for k in range(3):
+        audit.add(rows.where(F.col("_part") == k).drop("_part"), k)
+    return audit
+
+
+@query(_SQL["audit_flags"])
+def audit_batches(spark, sf_dir):
+    """audit_flags of three batches that follow each other."""
+    return _audited(spark, sf_dir).flags().select("pair_no", "length_ratio", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(_SQL["audit_summary"])
+def audit_running_summary(spark, sf_dir):
+    """audit_summary from the counts of three batches."""
+    return _audited(spark, sf_dir).summary()

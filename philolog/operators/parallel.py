@@ -160,11 +160,29 @@ def audit(pairs: DataFrame, low: float = LOW_CONFIDENCE, least: float = MIN_RATI
     A pair equal to an earlier one is a duplicate; one whose target differs from the first target of
     its source is a variant. First ones are found by grouped minimums, so a frequent pair is not sorted.
     """
-    rows = pairs.select("pair_no", "a_text", "b_text", "confidence", X.audit_form(F.coalesce("a_text", F.lit(""))).alias("a"), X.audit_form(F.coalesce("b_text", F.lit(""))).alias("b"))
-    full = rows.where("a != '' and b != ''")
-    first = full.groupBy("a", "b").agg(F.min("pair_no").alias("first_pair"))
-    target = first.groupBy("a").agg(F.min_by("b", "first_pair").alias("first_target"))
-    rows = rows.join(first, ["a", "b"], "left").join(target, "a", "left")
+    rows = audit_rows(pairs)
+    first = first_pairs(rows)
+    rows = rows.join(first, ["a", "b"], "left").join(first_targets(first), "a", "left")
+    return flagged(rows, low, least, most)
+
+
+def audit_rows(pairs: DataFrame) -> DataFrame:
+    """Pairs with a and b: their sides as an audit compares them."""
+    return pairs.select("pair_no", "a_text", "b_text", "confidence", X.audit_form(F.coalesce("a_text", F.lit(""))).alias("a"), X.audit_form(F.coalesce("b_text", F.lit(""))).alias("b"))
+
+
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """a, b, first_pair: the first number of each pair of sides that are both there."""
+    return rows.where("a != '' and b != ''").groupBy("a", "b").agg(F.min("pair_no").alias("first_pair"))
+
+
+def first_targets(first: DataFrame) -> DataFrame:
+    """a, first_target."""
+    return first.groupBy("a").agg(F.min_by("b", "first_pair").alias("first_target"))
+
+
+def flagged(rows: DataFrame, low: float = LOW_CONFIDENCE, least: float = MIN_RATIO, most: float = MAX_RATIO) -> DataFrame:
+    """pair_no, confidence, reasons, length_ratio of audit_rows() with first_pair and first_target."""
     a_units, b_units = X.symbol_units(F.coalesce("a_text", F.lit(""))), X.word_units(F.coalesce("b_text", F.lit("")))
     rows = rows.withColumn("length_ratio", F.when((a_units > 0) & (b_units > 0), F.round(b_units / F.when(a_units > 0, a_units), 4)))
     empty, bad = (F.col("a") == "") | (F.col("b") == ""), (F.col("confidence") < 0) | (F.col("confidence") > 1)
