@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
-from philolog.operators import collocation, concordance, exports, index, lists, ordering, parallel, postings, retrieval
+from philolog.operators import collocation, concordance, exports, index, lists, neighbours, ordering, parallel, postings, retrieval
 from philolog.plans.query import parse_brackets, parse_simple
 from philolog.sources import intake, versions
 from philolog.streaming import auditing, delivery
@@ -863,3 +863,25 @@ def audit_batches(spark, sf_dir):
 def audit_running_summary(spark, sf_dir):
     """audit_summary from the counts of three batches."""
     return _audited(spark, sf_dir).summary()
+
+
+# ---- approximate neighbours
+
+
+def _neighbour_index(spark: SparkSession, sf_dir: str) -> neighbours.NeighbourIndex:
+    """Built anew: languages are dealt by label, as the table has none."""
+    rows = table(spark, sf_dir, "embeddings")
+    language = F.when(F.col("label") % 5 == 4, "zh_en").when(F.col("label") % 2 == 0, "en").otherwise("zh")
+    return neighbours.build(rows.withColumn("language", language), f"{versions.workspace(spark)}/neighbours-{uuid.uuid4().hex}", language_col="language")
+
+
+@query()
+def neighbours_approximate(spark, sf_dir):
+    """The 10 nearest other vectors of each whose id is divisible by 50, from the index."""
+    return _neighbour_index(spark, sf_dir).search(table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), 10, others=True)
+
+
+@query()
+def neighbours_by_language(spark, sf_dir):
+    """The same among vectors of one language and of pairs."""
+    return _neighbour_index(spark, sf_dir).search(table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), 10, language="en", others=True)
