@@ -126,12 +126,16 @@ class Model:
 
 
 def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the rows for which `learn` is true and neither text nor language is null."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    """A model of the rows for which `learn` is true and neither text nor language is null.
+
+    Of a language with more than ROWS_PER_LANGUAGE rows about so many are drawn, row by row: by a hash
+    of id, text and place in the input, so that ids may be null or repeated.
+    """
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()).alias("name"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model.of([], [])
-    place = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30))
+    place = F.pmod(F.col("name"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 30, (ROWS_PER_LANGUAGE << 30) // n))])
     counted = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_count, "lang string, length int, name long, n long")
     counted = counted.groupBy("lang", "length", "name").agg(F.sum("n").alias("n"))
