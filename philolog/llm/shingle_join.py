@@ -435,14 +435,20 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     named = docs.sparkSession.sparkContext.broadcast(Bloom.of(members.select(key("least"))))
 
     def cut(batches):
+        # of rows with one id and one text, each task sends one
+        sent: set[int] = set()
         for batch in batches:
-            may = named.value.may(batch.column("key").to_numpy().view(np.uint64))
+            keys = batch.column("key").to_numpy()
+            may = named.value.may(keys.view(np.uint64))
+            for k in np.flatnonzero(may).tolist():
+                may[k] = keys[k] not in sent
+                sent.add(int(keys[k]))
             batch = batch.filter(pa.array(may))
             sets = [(fingerprint(s), s.tobytes()) for s in _sets_of(batch.column("text"), width)] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), batch.column("key"), pa.array([x for _, x in sets], pa.binary())], ["node", "key", "set"])
 
     sets = docs.where("text is not null").select("text", key("id")).mapInArrow(cut, "node long, key long, set binary")
-    # of rows with one id and one text each comes along; a tile takes each set once
+    # one row of each task comes along; a tile takes each set once
     return members.withColumn("key", key("least")).drop("least", "mark").join(sets, ["node", "key"]).drop("key")
 
 
