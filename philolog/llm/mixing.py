@@ -123,7 +123,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text has size 0 and is never taken; a null source is a source of its own, after all
     others. Ids may be null or repeated: each row has its own place in its source's stream, by a hash
-    of the id; of rows with equal hashes the order is by id, size and place in the input. With no
+    of id and text; of rows with equal hashes the order is by id, size and place in the input. With no
     words at all every target is 0. Reruns over the same rows in the same order give the same mix.
     With `texts` the rows are kept, for blocks() and mix_documents(): `other` holds the columns of
     docs beside the text.
@@ -132,10 +132,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [F.col(c) for c in docs.columns if c != text_col]
     kept = [text.alias("text"), (F.struct(*rest) if rest else F.lit(None)).alias("other")] if texts else []
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.monotonically_increasing_id().alias("row"), *kept)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("own"), *kept)
     # names by place hold for what was written alone, so rows are stored before anything else is read
     base = stored(base) if texts else base.checkpoint()
-    sized = base.select("row", "doc_id", "source", "size")
+    sized = base.select("row", "doc_id", "source", "size", "own")
     targets = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
     wanted = F.floor(F.col("target")).cast("long")
     sources = (
@@ -152,14 +152,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # places in the streams: a prefix sum over groups of rows, then one within each group
     known = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rows = known.select("d.row", "d.doc_id", "d.size", F.col("s.source").alias("source"), "src", "source_size", "target", "epochs", "blocks", "tail_part", "n_rows")
-    rows = rows.withColumn("mark", F.xxhash64("doc_id", F.lit(SEED + 3))).withColumn("part", F.pmod("mark", F.expr(f"n_rows div {ROWS_AT_ONCE} + 1")))
+    rows = known.select("d.row", "d.doc_id", "d.size", "d.own", F.col("s.source").alias("source"), "src", "source_size", "target", "epochs", "blocks", "tail_part", "n_rows")
+    rows = rows.withColumn("mark", F.xxhash64("doc_id", "own", F.lit(SEED + 3))).withColumn("part", F.pmod("mark", F.expr(f"n_rows div {ROWS_AT_ONCE} + 1")))
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("src", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("src", "part").orderBy("mark", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["src", "part"])
-    rows = rows.withColumn("start", F.col("offset") + F.col("inner")).drop("part", "mark", "inner", "offset", "n_rows").checkpoint()
+    rows = rows.withColumn("start", F.col("offset") + F.col("inner")).drop("part", "mark", "own", "inner", "offset", "n_rows").checkpoint()
 
     slots = _slots(sources, block)
     takes = slots.groupBy("src", "index").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("reach"))
