@@ -150,13 +150,16 @@ def lasso(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of the documents with one label, 0 or 1. Of more than SAMPLE_ROWS labels about so many are drawn, which bounds what is broadcast."""
+    """A model of the documents with one label, 0 or 1. Of more than SAMPLE_ROWS labels about so many are drawn, which bounds what is broadcast, and of the rows that bear them at most about twice so many, whatever ids are repeated."""
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_most"))
     labels = labels.where("y = _most and y in (0, 1)").select(F.col(id_col).alias("_id"), F.col("y").cast("double").alias("y"))
     n = labels.count()
     if n > SAMPLE_ROWS:
         labels = labels.where(F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 30)) < (SAMPLE_ROWS << 30) // n)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(labels), "_id")
+    most = 2 * SAMPLE_ROWS
+    if (there := rows.count()) > most:
+        rows = rows.sample(most / there, SEED)
     found = described(rows, "text").select("_id", "y", "_stats.*").collect()
     names = list(statistics(F.lit("")))
     if not found:

@@ -28,7 +28,7 @@ def steps(spark, tmp_path_factory):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "personal data", "mixing sources", "BPE encoding"]
-    assert {re.match(r"op(\d+)_", n)[1] for n in registry.queries()} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in registry.queries()} == {str(n) for n in range(1, 14)}
 
 
 def test_quality_keeps_clean_documents(spark, steps):
