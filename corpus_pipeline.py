@@ -34,16 +34,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id, once if its row is repeated.
+    """Of each group of linked documents the one with the least id; of equal ids the first in the input, and one without an id last.
 
-    A document without an id goes by a number made of its text, above 2^62 and so after all ids: it
-    stays if its group has no document with an id and no lesser such number.
+    Rows go by their places in the stage's table, so ids may be null or repeated, over like texts or
+    unlike ones.
     """
-    name = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
-    work = docs.select(F.struct(*docs.columns).alias("row"), name.alias("doc_id"), F.col("text"))
-    first = shingle_groups(work, width=WIDTH, percent=PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    kept = work.join(first.hint("merge"), "doc_id", "left_semi").select("row", "doc_id", F.xxhash64("text").alias("mark"))
-    return kept.dropDuplicates(["doc_id", "mark"]).select("row.*")
+    work = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("place"), F.col("text"))
+    groups = shingle_groups(work, "place", width=WIDTH, percent=PERCENT).select(F.col("doc_id").alias("place"), "component_id")
+    ids = work.select("place", F.col("row.doc_id").cast("long").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
+    first = groups.join(ids, "place").groupBy("component_id").agg(least.alias("first")).select(F.col("first.place").alias("place"))
+    return work.join(first.hint("merge"), "place", "left_semi").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
