@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
-from philolog.operators import collocation, concordance, exports, index, lists, neighbours, ordering, parallel, postings, retrieval
+from philolog.operators import collocation, concordance, exports, index, lists, neighbours, ordering, pages, parallel, postings, retrieval
 from philolog.plans.query import parse_brackets, parse_simple
 from philolog.sources import intake, versions
 from philolog.streaming import auditing, delivery
@@ -885,3 +885,28 @@ def neighbours_approximate(spark, sf_dir):
 def neighbours_by_language(spark, sf_dir):
     """The same among vectors of one language and of pairs."""
     return _neighbour_index(spark, sf_dir).search(table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), 10, language="en", others=True)
+
+
+# ---- pages and patterns
+
+
+@query(EN + """, h AS (SELECT a.doc_id, a.p, l.norm AS l1, r.norm AS r1 FROM tok a LEFT JOIN tok l ON l.doc_id = a.doc_id AND l.p = a.p - 1 LEFT JOIN tok r ON r.doc_id = a.doc_id AND r.p = a.p + 1 WHERE a.norm = 'the')
+SELECT doc_id AS document_id, p AS stream_position, l1 AS "L1", r1 AS "R1" FROM h ORDER BY r1 IS NULL, r1, l1 IS NULL, l1, doc_id, p LIMIT 100 OFFSET 300""")
+def kwic_page(spark, sf_dir):
+    """The fourth page of 100 lines by R1, then L1."""
+    hits = concordance.Kwic("the", sort_keys=["R1", "L1"]).hits(documents(spark, sf_dir)).select("document_id", "stream_position", "L1", "R1")
+    return pages.page(hits, pages.concordance_keys(["R1", "L1"]), 4, 100, at_once=2000).rows
+
+
+@query(EN + """, h AS (SELECT norm, count(*) AS kpf FROM tok GROUP BY norm)
+SELECT doc_id AS document_id, p AS stream_position, norm AS "C", kpf FROM tok JOIN h USING (norm) WHERE norm LIKE 'th%' ORDER BY kpf DESC, norm, doc_id, p LIMIT 50 OFFSET 450""")
+def kwic_page_by_frequency(spark, sf_dir):
+    """The tenth page of 50 lines, frequent words first."""
+    hits = concordance.Kwic("th*", sort_keys=["C"], by_frequency=True).hits(documents(spark, sf_dir)).select("document_id", "stream_position", "C", "kpf")
+    return pages.page(hits, pages.concordance_keys(["C"], True), 10, 50, at_once=2000).rows
+
+
+@query(EN + """ SELECT doc_id AS document_id, p AS stream_position, surface FROM tok WHERE regexp_full_match(surface, 'th(e|ing)+r?', 'i')""")
+def pattern_tokens(spark, sf_dir):
+    """A pattern tried on each distinct surface once."""
+    return concordance.pattern_tokens(english_tokens(spark, sf_dir), "th(e|ing)+r?").select("document_id", "stream_position", "surface")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from philolog.functions import text as X
 from philolog.operators import index
-from philolog.plans.query import QueryError, Slot, check_pattern, may_hold, parse_simple, predicate
+from philolog.plans.query import PatternTimeout, QueryError, Slot, check_pattern, may_hold, parse_simple, predicate
 
 #: Fixed: sort keys, how many may be given, the multiplier of the sampling order.
 SORT_KEYS = ("L5", "L4", "L3", "L2", "L1", "C", "R1", "R2", "R3", "R4", "R5", "FILE", "FILE_ID", "ROW_ID")
 MAX_SORT_KEYS, SAMPLE_STEP, MAX_CONTEXT, MAX_LIST = 3, 1103515245, 50, 100
+#: Fixed: milliseconds of a pattern on a text. A long text has them for each so many letters.
+PATTERN_MS, TIMED_LETTERS = 50, 1000
 
 
 def phrase_hits(tokens: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", pos: str = "") -> DataFrame:
@@ -237,18 +239,50 @@ def filter_by_context(hits: DataFrame, tokens: DataFrame, conditions: list[Slot]
     return hits.join(met.select(*key), key, "left_anti" if exclude else "left_semi")
 
 
-def pattern_hits(documents: DataFrame, pattern: str, *, language: str = "en", case_sensitive: bool = False) -> DataFrame:
+def _seconds(text: str, limit_ms: float) -> float:
+    """Time for a pattern on a text: limit_ms for each TIMED_LETTERS of it, begun ones too."""
+    return limit_ms / 1000 * (1 + len(text) // TIMED_LETTERS)
+
+
+def matching_surfaces(surfaces: DataFrame, pattern: str, *, case_sensitive: bool = False, whole: bool = True, limit_ms: float = PATTERN_MS, column: str = "surface") -> DataFrame:
+    """The distinct surfaces that a pattern fits, each tried once, within limit_ms."""
+    check_pattern(pattern)
+    compiled = regex.compile(pattern, 0 if case_sensitive else regex.IGNORECASE)
+
+    @F.pandas_udf("boolean")
+    def fits(words: pd.Series) -> pd.Series:
+        def one(word: str) -> bool:
+            try:
+                return bool((compiled.fullmatch if whole else compiled.search)(word, timeout=_seconds(word, limit_ms)))
+            except TimeoutError:
+                raise PatternTimeout(f"more than {limit_ms:g} ms for a token") from None
+
+        return words.map(one)
+
+    return surfaces.select(column).distinct().where(F.col(column).isNotNull()).where(fits(column))
+
+
+def pattern_tokens(tokens: DataFrame, pattern: str, *, case_sensitive: bool = False, whole: bool = True, limit_ms: float = PATTERN_MS) -> DataFrame:
+    """Tokens whose surface a pattern fits: the pattern runs on distinct surfaces, which then meet the tokens."""
+    return tokens.join(matching_surfaces(tokens, pattern, case_sensitive=case_sensitive, whole=whole, limit_ms=limit_ms), "surface", "left_semi")
+
+
+def pattern_hits(documents: DataFrame, pattern: str, *, language: str = "en", case_sensitive: bool = False, limit_ms: float = PATTERN_MS) -> DataFrame:
     """Hits of a pattern in whole document streams: start, end (code points), text, first token and number of tokens.
 
     Spans without length, and those that meet no token, are no hits. One Arrow pass over documents; a
-    document's spans find their tokens by bisection in its own token offsets.
+    document's spans find their tokens by bisection in its own token offsets. A pattern that takes more
+    than limit_ms for each TIMED_LETTERS of a text fails: see pattern_errors().
     """
     check_pattern(pattern, 500)
     compiled = regex.compile(pattern, 0 if case_sensitive else regex.IGNORECASE)
     token = regex.compile(X.TOKEN)
 
     def hits_of(text: str) -> list[dict]:
-        found = [m for m in compiled.finditer(text) if m.end() > m.start()]
+        try:
+            found = [m for m in compiled.finditer(text, timeout=_seconds(text, limit_ms)) if m.end() > m.start()]
+        except TimeoutError:
+            raise PatternTimeout(f"more than {_seconds(text, limit_ms):g} s for a text of {len(text)} letters") from None
         edges = [m.span() for m in token.finditer(text)] if found else []
         starts, ends = [a for a, _ in edges], [b for _, b in edges]
         out = []

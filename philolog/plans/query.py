@@ -8,10 +8,12 @@ contains(v), and bare terms with wildcards.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import regex
+from pyspark.errors import PythonException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,21 @@ class QueryError(ValueError):
         self.position = position
 
 
+class PatternTimeout(QueryError):
+    """A pattern took too long on one text."""
+
+
+@contextmanager
+def pattern_errors() -> Iterator[None]:
+    """Around an action: a pattern that ran out of time on a worker ends in a PatternTimeout here."""
+    try:
+        yield
+    except PythonException as problem:
+        if found := re.search(r"PatternTimeout: (.+)", str(problem)):
+            raise PatternTimeout(found[1]) from problem
+        raise
+
+
 @dataclass(frozen=True)
 class Slot:
     """What one token must be. kind: any, exact, contains, starts, ends, wildcard, regex (part) or full (whole)."""
