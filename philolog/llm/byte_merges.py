@@ -171,12 +171,14 @@ class Merges:
             merged = let(marks, lambda mark: F.transform(s, lambda x, i: F.when(F.get(mark, i) == "1", least).when((i > 0) & (F.get(mark, i - 1) == "1"), F.lit(GONE).cast("long")).otherwise(x)))
             return F.filter(merged, lambda x: x != GONE)
 
-        def step(s: Column, _: Column) -> Column:
-            def merge(ranks: Column) -> Column:
-                pick = F.array_min(ranks)
-                return let(pick, lambda least: F.when(least < NONE, F.when(F.size(s) < WORD_BYTES, first(s, ranks, least)).otherwise(every(s, ranks, least))).otherwise(F.concat(s, F.array(F.lit(DONE).cast("long")))))
+        def merged(s: Column, ranks: Column, least: Column) -> Column:
+            some = F.when(F.size(s) < WORD_BYTES, first(s, ranks, least)).otherwise(every(s, ranks, least))
+            return F.when(least < NONE, some).otherwise(F.concat(s, F.array(F.lit(DONE).cast("long"))))
 
-            return F.when(F.element_at(s, -1) == DONE, s).otherwise(let(ranks_of(s), merge))
+        def step(s: Column, _: Column) -> Column:
+            # folds over one element name a value as let() does, and copy nothing
+            ranked = F.aggregate(F.array(ranks_of(s)), s, lambda s, ranks: F.aggregate(F.array(F.array_min(ranks)), s, lambda s, least: merged(s, ranks, least)))
+            return F.when(F.element_at(s, -1) == DONE, s).otherwise(ranked)
 
         return F.filter(F.aggregate(F.array_repeat(F.lit(0), F.size(start) - 1), start, step), lambda x: x >= 0).cast("array<int>")
 
@@ -185,8 +187,8 @@ class Merges:
         return F.flatten(F.transform(let(self.bytes_of(word), self.segments), self.fold))
 
     def words(self, spark: SparkSession) -> DataFrame:
-        """(word, ids) of all tokens that are whole characters."""
-        texts = [(token.decode(), [rank]) for token, rank in self.ranks.rank_of.items() if _is_text(token)]
+        """(word, ids) of all tokens that are whole characters, and of the empty match."""
+        texts = [("", [])] + [(token.decode(), [rank]) for token, rank in self.ranks.rank_of.items() if _is_text(token)]
         return spark.createDataFrame(texts, "word string, ids array<int>")
 
     def packed(self, ids: Column) -> Column:
@@ -233,7 +235,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     for word, ids, cell in own.unionByName(often).select("word", "ids", _cell(F.col("word"))).toLocalIterator():
         cells[cell].append(f"{json.dumps(word, ensure_ascii=False)}:[{','.join(map(str, ids))}]")
     known = F.from_json(F.lit("[" + ",".join("{" + ",".join(cell) + "}" for cell in cells) + "]"), "array<map<string,array<int>>>")
-    ids = F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.coalesce(F.get(known, _cell(w))[w], merges.encoded(w))))
+    ids = F.flatten(F.transform(words, lambda w: F.coalesce(F.get(known, _cell(w))[w], merges.encoded(w))))
     return docs.withColumn(ids_col, ids)
 
 
