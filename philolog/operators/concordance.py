@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
+from philolog.functions.segment import Lexicon, resolved
 from philolog.operators import index
 from philolog.plans.query import PatternTimeout, QueryError, Slot, check_pattern, may_hold, parse_simple, predicate
 
@@ -50,14 +51,14 @@ def phrase_hits(tokens: DataFrame, slots: list[Slot], *, scope: str = "stream",
     return hits.select(*columns[:5], F.lit(len(slots)).alias("token_length"), "document_length")
 
 
-def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None, places: bool = False) -> DataFrame:
+def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None, places: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """The hits of phrase_hits() with what stands around them, found within each document's own row: nothing is shuffled.
 
     width: adds C, L<width>..L1, R1..R<width> (folded words, null beyond the document) and left_context,
     keyword and right_context (surfaces). context: adds left, keyword and right as they stand in the stream.
-    places: adds paragraph_no.
+    places: adds paragraph_no. A lexicon cuts Chinese text; it goes with width only.
     """
-    rows = index.word_arrays(documents, offsets=context is not None, places=places)
+    rows = index.word_arrays(documents, offsets=context is not None, places=places, lexicon=lexicon)
     d, k = F.col("d"), len(slots)
     n = F.size(d["words"])
 
@@ -100,6 +101,20 @@ def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream",
     return rows.select("document_id", "language", F.explode(F.transform(at, described)).alias("h")).select("document_id", "language", "h.*")
 
 
+def chinese_hits(documents: DataFrame, query: str, lexicon: Lexicon | None, *, whole_words: bool = True, case_sensitive: bool = False, regular: bool = False, width: int = 5) -> DataFrame:
+    """Hits in Chinese documents: of the query as one token if there is any, else of its words one after the other.
+
+    Without a lexicon a run of letters is one token, and a query's characters are sought one by one.
+    """
+    own = documents.where("lang = 'zh'")
+
+    def found(slots: list[Slot]) -> bool:
+        return not row_hits(own.where(may_hold(F.col("text"), slots)), slots, language="zh", lexicon=lexicon).isEmpty()
+
+    slots = resolved(query, lexicon, found, whole_words=whole_words, case_sensitive=case_sensitive, regular=regular)
+    return row_hits(own.where(may_hold(F.col("text"), slots)), slots, language="zh", width=width, lexicon=lexicon)
+
+
 def with_neighbours(hits: DataFrame, tokens: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
     """Adds L<left>..L1, C and R1..R<right> (folded words, null beyond the document), and keyword, left_context, right_context (surfaces).
 

@@ -11,16 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
+from philolog.functions.segment import Lexicon
 from philolog.sources.sinks import INDEX_VERSION
 
 #: Ranges of numbers whose rows one window task orders.
 PARTS = 256
 
 
-def sentence_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
+def _cut(sentences: str, lexicon: Lexicon | None) -> Column:
+    """Tokens of each sentence; those of Chinese ones by a lexicon, if there is one."""
+    plain = F.transform(sentences, X.tokens)
+    return plain if lexicon is None else F.coalesce(lexicon.tokens_of_each(F.when(F.col("language") == "zh", F.col(sentences))), plain)
+
+
+def sentence_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", lexicon: Lexicon | None = None) -> DataFrame:
     """document_id, language, sentence_no (from 1), sentence, tokens (surfaces), tokens_before, document_length, stream_start."""
     base = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(F.coalesce(F.col(text_col), F.lit("")), F.col(language_col)).alias("s"))
-    base = base.withColumn("t", F.transform("s", X.tokens))
+    base = base.withColumn("t", _cut("s", lexicon))
     base = base.withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
     base = base.withColumn("z", F.arrays_zip(F.col("s").alias("sentence"), F.col("t").alias("tokens"), F.when(F.size("n") > 0, X.running(F.col("n"))).otherwise(F.array().cast("array<long>")).alias("before"), F.when(F.size("n") > 0, X.running(F.transform("s", lambda x: (F.length(x) + 1).cast("long")))).otherwise(F.array().cast("array<long>")).alias("start")))
     length = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -29,11 +36,14 @@ def sentence_table(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return base.select("document_id", "language", (F.col("i") + 1).cast("long").alias("sentence_no"), "z.sentence", "z.tokens", F.col("z.before").alias("tokens_before"), "document_length", F.col("z.start").alias("stream_start"))
 
 
-def token_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False) -> DataFrame:
+def token_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """Tokens: document_id, language, sentence_no, sentence_position, stream_position, surface, normalized,
     lemma, pos, is_punctuation, sentence_length, document_length; with offsets also document_start and
-    document_end, in code points of the stream (sentences joined with line feeds)."""
-    rows = sentence_table(documents, id_col, text_col, language_col)
+    document_end, in code points of the stream (sentences joined with line feeds). A lexicon cuts
+    Chinese text; it gives no offsets."""
+    if offsets and lexicon:
+        raise ValueError("words cut by a lexicon have no offsets")
+    rows = sentence_table(documents, id_col, text_col, language_col, lexicon)
     keep = ["document_id", "language", "sentence_no", "tokens_before", "document_length"]
     if offsets:
         gaps = F.slice(X.token_gaps(F.col("sentence")), F.lit(1), F.size("tokens"))
@@ -58,9 +68,11 @@ def document_streams(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), text.alias("text"))
 
 
-def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False, places: bool = False) -> DataFrame:
+def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", *, offsets: bool = False, places: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """A row per document: document_id, language, d: surfaces, words (folded), before (tokens before each sentence);
     with offsets also stream, starts and ends (in code points of the stream), with places also paragraphs (tokens before each)."""
+    if lexicon and (offsets or places):
+        raise ValueError("words cut by a lexicon have no offsets and no paragraphs")
     text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast("array<long>")
     counts = F.transform(X.paragraphs(text), lambda x: F.regexp_count(X.compact(x), F.lit(X.TOKEN)).cast("long"))
     rows = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(text, F.col(language_col)).alias("s"), *([counts.alias("p")] if places else []))
@@ -73,7 +85,7 @@ def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = rows.withColumn("at", F.when(F.size("gaps") > 0, X.running(F.zip_with("gaps", "surfaces", lambda g, t: (g + F.length(t)).cast("long")))).otherwise(none))
         rows = rows.withColumn("starts", F.zip_with("at", "gaps", lambda x, g: x + g)).withColumn("ends", F.zip_with("starts", "surfaces", lambda x, t: x + F.length(t)))
     else:
-        rows = rows.withColumn("t", F.transform("s", X.tokens)).withColumn("surfaces", F.flatten("t")).withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
+        rows = rows.withColumn("t", _cut("s", lexicon)).withColumn("surfaces", F.flatten("t")).withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
     rows = rows.withColumn("words", F.transform("surfaces", X.casefold)).withColumn("before", F.when(F.size("n") > 0, X.running(F.col("n"))).otherwise(none))
     names = ["surfaces", "words", "before", *(["stream", "starts", "ends"] if offsets else []), *(["paragraphs"] if places else [])]
     # what is exploded is worked out once for each row, however often an expression above names it

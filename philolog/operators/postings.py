@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from philolog.functions import text as X
 from philolog.functions.measures import Contingency, ratio
+from philolog.functions.segment import Lexicon, resolved
 from philolog.operators import index
 from philolog.plans.query import QueryError, Slot, parse_simple, predicate
 from philolog.sources import versions
@@ -37,11 +38,11 @@ def postings(words: DataFrame) -> DataFrame:
     return rows.select("language", F.get("r", F.lit(0))["term"].alias("term"), "document_id", F.size("r").cast("long").alias("n"), display.alias("display"), X.is_punctuation(display).alias("is_punctuation"), "surfaces", "positions")
 
 
-def build(documents: DataFrame, folder: str) -> PositionalIndex:
-    """Writes the index of documents (doc_id, text, lang) as a new version of folder, and opens it."""
+def build(documents: DataFrame, folder: str, lexicon: Lexicon | None = None) -> PositionalIndex:
+    """Writes the index of documents (doc_id, text, lang) as a new version of folder, and opens it. A lexicon cuts Chinese text."""
     spark = documents.sparkSession
     before = versions.current(spark, folder)
-    words = index.word_arrays(documents).select("document_id", "language", "d.surfaces", "d.words", "d.before")
+    words = index.word_arrays(documents, lexicon=lexicon).select("document_id", "language", "d.surfaces", "d.words", "d.before")
     found = postings(words).repartitionByRange("language", "term", "document_id").sortWithinPartitions("language", "term", "document_id")
     # counted from the postings, without their positions
     terms = found.groupBy("language", "term").agg(F.min("display").alias("display"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min(F.col("is_punctuation").cast("int")).cast("boolean").alias("is_punctuation"))
@@ -146,6 +147,10 @@ class PositionalIndex:
         rows = self._hits(query, language).select("document_id", "token_length", F.explode(F.transform("at", described)).alias("h"))
         return rows.select("document_id", "h.sentence_no", "h.stream_position", "token_length", "h.left_context", "h.keyword", "h.right_context")
 
+    def chinese(self, query: str, lexicon: Lexicon | None, *, case_sensitive: bool = False) -> list[Slot]:
+        """Slots of a Chinese term: as one token if the index has such a posting, else its words."""
+        return resolved(query, lexicon, lambda slots: not self.positions(slots, "zh").isEmpty(), case_sensitive=case_sensitive)
+
     def collocates(self, query: str | list[Slot], language: str = "en", *, left: int = 5, right: int = 5, min_frequency: int = 1, min_range: int = 1, punctuation: bool = False) -> DataFrame:
         """Words near the query's hits within their sentences, with the columns and measures of collocation.collocates().
 
