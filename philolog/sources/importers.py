@@ -11,6 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,35 +105,73 @@ STEPS = {(1, 1): 0.0, (1, 2): 0.35, (2, 1): 0.35, (1, 0): 1.2, (0, 1): 1.2}
 RATIO_BOUNDS, SURE, LESS_SURE = (0.5, 8.0), 0.95, 0.82
 
 
+#: Steps in the order in which equally cheap ones are preferred, and the first width of the band.
+_ORDER, FIRST_WIDTH = ((2, 1), (1, 2), (1, 1), (1, 0), (0, 1)), 64
+
+
 def align_lengths(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, float]]:
-    """Cheapest alignment of two lists of lengths as (from a, to a, from b, to b, confidence)."""
-    ratio = min(max(sum(b) / max(sum(a), 1), RATIO_BOUNDS[0]), RATIO_BOUNDS[1])
+    """Cheapest alignment of two lists of lengths as (from a, to a, from b, to b, confidence).
 
-    def stretch(i: int, i2: int, j: int, j2: int) -> float:
-        return abs(math.log((sum(b[j:j2]) + 1) / (sum(a[i:i2]) * ratio + 1))) if i2 > i and j2 > j else 0.0
-
-    best: dict[tuple[int, int], tuple[float, tuple[int, int] | None]] = {(0, 0): (0.0, None)}
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            here = best.get((i, j))
-            if here is None:
-                continue
-            for (da, db), extra in STEPS.items():
-                to = (i + da, j + db)
-                if to[0] <= len(a) and to[1] <= len(b):
-                    cost = here[0] + stretch(i, to[0], j, to[1]) + extra
-                    if to not in best or cost < best[to][0]:
-                        best[to] = (cost, (i, j))
-    out, at = [], (len(a), len(b))
-    while best[at][1] is not None:
-        i, j = best[at][1]
-        i2, j2 = at
-        top = 0.0 if i == i2 or j == j2 else (SURE if i2 - i == j2 - j == 1 else LESS_SURE) * math.exp(-stretch(i, i2, j, j2))
-        out.append((i, i2, j, j2, round(top, 4)))
-        at = (i, j)
+    Costs are worked out diagonal by diagonal, four of which are kept, within a band round the line
+    from start to end; each cell of the band keeps its step in a byte. A path that leaves the band
+    takes steps that aren't one to one on its way out and back, so it costs more than a bound; if the
+    cheapest path within the band doesn't stay below that, the band is made wider.
+    """
+    ratio = min(max(sum(b) / max(sum(a), 1), RATIO_BOUNDS[0]), RATIO_BOUNDS[1])
+    n, m, width = len(a), len(b), FIRST_WIDTH
+    uneven = min(cost for (da, db), cost in STEPS.items() if da != db)
+    while True:
+        cost, steps = _banded(a, b, ratio, width)
+        if cost < uneven * (2 * (width + 1) + abs(m - n)) or width >= n + m:
+            break
+        width *= 4
+    out, i, j = [], n, m
+    while i or j:
+        first, codes = steps[i + j]
+        da, db = _ORDER[codes[i - first]]
+        top = 0.0
+        if da and db:
+            stretch = abs(math.log((sum(b[j - db : j]) + 1) / (sum(a[i - da : i]) * ratio + 1)))
+            top = (SURE if da == db == 1 else LESS_SURE) * math.exp(-stretch)
+        out.append((i - da, i, j - db, j, round(top, 4)))
+        i, j = i - da, j - db
     return out[::-1]
 
 
+def _banded(a: list[int], b: list[int], ratio: float, width: int) -> tuple[float, dict[int, tuple[int, np.ndarray]]]:
+    """The least cost within a band, and for each diagonal its first place in a and the places' steps."""
+    n, m = len(a), len(b)
+    low, high = min(0, m - n) - width, max(0, m - n) + width
+    # two places before the start let every step look back
+    sums = [np.concatenate((np.zeros(2), np.cumsum([0, *x], dtype=np.float64))) for x in (a, b)]
+    costs = {0: np.full(n + 3, np.inf)}
+    costs[0][2] = 0.0
+    steps: dict[int, tuple[int, np.ndarray]] = {}
+    for d in range(1, n + m + 1):
+        first, last = max(0, d - m, -((high - d) // 2)), min(n, d, (d - low) // 2)
+        here = np.full(n + 3, np.inf)
+        if first <= last:
+            i = np.arange(first, last + 1)
+            j = d - i
+            best, code = np.full(len(i), np.inf), np.full(len(i), -1, np.int8)
+            for k, (da, db) in enumerate(_ORDER):
+                before = costs.get(d - da - db)
+                if before is None:
+                    continue
+                cost = before[i + 2 - da]
+                if da and db:
+                    long_a, long_b = sums[0][i + 2] - sums[0][i + 2 - da], sums[1][j + 2] - sums[1][j + 2 - db]
+                    cost = cost + np.abs(np.log((long_b + 1) / (long_a * ratio + 1)))
+                cost = cost + STEPS[da, db]
+                better = cost < best
+                best[better], code[better] = cost[better], k
+            here[first + 2 : last + 3] = best
+            steps[d] = (first, code)
+        costs[d] = here
+        costs.pop(d - 3, None)
+    return float(costs[n + m][n + 2]), steps
+
+
 @F.pandas_udf(STEP_TYPE)
 def aligned_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("a_from", "a_to", "b_from", "b_to", "confidence"), x, strict=True)) for x in align_lengths(list(p), list(q))] for p, q in zip(a, b, strict=True)])
