@@ -12,7 +12,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from philolog.llm import _bytes
+from philolog.llm._memory import give_back
 
 #: Fixed: the way byte-level vocabularies of this kind cut text into pre-tokens.
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -232,18 +232,6 @@ class Encoder:
             yield list(chain.from_iterable(map(known.__getitem__, own)))
 
 
-@lru_cache(maxsize=1)
-def vocabulary(path: str) -> Bpe:
-    """A worker keeps the vocabulary over its tasks, and nothing that it learns from texts."""
-    return Bpe(path)
-
-
-def encoder(path: str) -> Encoder:
-    bpe = vocabulary(path)
-    bpe.may.clear()
-    return Encoder(bpe)
-
-
 def digests(own: Encoder, parts: Iterable[list[int]], keep: tuple[str, ...]) -> tuple:
     """n_tokens, digests of the ids and of the decoded text, and what is kept, of a text whose parts have these ids."""
     text_of, n, lead = own.bpe.text_of, 0, ""
@@ -273,7 +261,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(k, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k in keep]
 
     def run(batches):
-        own = encoder(vocabulary_path)
+        # read anew by each task and given back after it: later stages run in the same workers
+        own = Encoder(Bpe(vocabulary_path))
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
             _, offsets = _bytes.utf8(texts)
@@ -284,6 +273,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     rows = [digests(own, [ids], keep) for ids in own.encode(texts.slice(lo, hi - lo).to_pylist())]
                 columns = [pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), *columns], [*batch.schema.names[1:], *(k for k, _ in fields)])
+        del own
+        give_back()
 
     source = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
