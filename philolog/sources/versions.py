@@ -13,6 +13,7 @@ import tempfile
 import time
 import uuid
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,12 +98,13 @@ def current(spark: SparkSession, folder: str) -> Version | None:
     return None
 
 
-def publish(tables: dict[str, DataFrame], folder: str, *, after: Version | None = None, partition_by: dict[str, list[str]] | None = None, keep: int = 3) -> Version:
+def publish(tables: dict[str, DataFrame], folder: str, *, after: Version | None = None, partition_by: dict[str, list[str]] | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None, keep: int = 3) -> Version:
     """Writes tables and makes them the folder's newest version.
 
     `after` is the version that they were made from: if another was published since, this one is
-    dropped and Conflict raised. Versions older than the newest `keep` are deleted. A published version
-    is whole: a table that could not be written leaves the one before in place.
+    dropped and Conflict raised. `check` gets the tables as they were written and may raise. Versions
+    older than the newest `keep` are deleted. A published version is whole: a table that could not be
+    written leaves the one before in place.
     """
     spark = next(iter(tables.values())).sparkSession
     made = f"versions/{uuid.uuid4().hex}"
@@ -115,6 +117,8 @@ def publish(tables: dict[str, DataFrame], folder: str, *, after: Version | None
                 writer = writer.partitionBy(*by)
             writer.parquet(f"{folder}/{made}/{name}")
             counts[name] = spark.read.schema(rows.schema).parquet(f"{folder}/{made}/{name}").count()
+        if check:
+            check({name: spark.read.schema(rows.schema).parquet(f"{folder}/{made}/{name}") for name, rows in tables.items()})
         where, files = _files(spark, f"{folder}/manifests")
         files.mkdirs(where)
         names = _manifests(spark, folder)
