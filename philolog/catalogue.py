@@ -910,3 +910,18 @@ def kwic_page_by_frequency(spark, sf_dir):
 def pattern_tokens(spark, sf_dir):
     """A pattern tried on each distinct surface once."""
     return concordance.pattern_tokens(english_tokens(spark, sf_dir), "th(e|ing)+r?").select("document_id", "stream_position", "surface")
+
+
+# ---- more measures
+
+_MORE = _COLLOCATES[: _COLLOCATES.rindex("SELECT term, display")] + """SELECT term, frequency,
+  round(greatest(0, abs(o11 - e11) - 0.5)**2 / e11 + greatest(0, abs(o12 - e12) - 0.5)**2 / e12 + greatest(0, abs(o21 - e21) - 0.5)**2 / e21 + greatest(0, abs(o22 - e22) - 0.5)**2 / e22, 4) AS chi_square_yates,
+  round(2 * (o11 * ln(o11 / e11) + CASE WHEN o21 > 0 THEN o21 * ln(o21 / e21) ELSE 0 END), 4) AS log_likelihood_simple,
+  2 * (o11 * ln(o11 / e11) + CASE WHEN o12 > 0 THEN o12 * ln(o12 / e12) ELSE 0 END + CASE WHEN o21 > 0 THEN o21 * ln(o21 / e21) ELSE 0 END + CASE WHEN o22 > 0 THEN o22 * ln(o22 / e22) ELSE 0 END) > 3.841458820694124 AS significant FROM x"""
+
+
+@query(_MORE)
+def collocates_significance(spark, sf_dir):
+    """Corrected and simple statistics, and whether the p value is below 0.05, from the stored index."""
+    rows = stored_index(spark, sf_dir).collocates("thing", left=3, right=3, min_frequency=2)
+    return rows.select("term", "frequency", F.round("chi_square_yates", 4).alias("chi_square_yates"), F.round("log_likelihood_simple", 4).alias("log_likelihood_simple"), (F.col("p_value") < 0.05).alias("significant"))

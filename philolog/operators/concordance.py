@@ -329,16 +329,20 @@ def file_view(documents: DataFrame, document_id: int, spans: DataFrame) -> DataF
     own = documents.where(F.col("doc_id") == document_id)
     counts = index.token_table(own).groupBy("document_id").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("normalized").alias("types"))
     marks = spans.where(F.col("document_id") == document_id).groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("marks"))
-    text = F.col("text")
-
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.struct(F.substring(text, acc["at"] + 1, m["start"] - acc["at"]).alias("text"), F.lit(False).alias("matched"))
-        hit = F.struct(F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"), F.lit(True).alias("matched"))
-        taken = F.struct(m["end"].cast("int").alias("at"), F.concat(acc["out"], F.array(gap, hit)).alias("out"))
-        return F.when(m["start"] >= acc["at"], taken).otherwise(acc)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,matched:boolean>>").alias("out"))
-    view = index.document_streams(own).join(marks, "document_id", "left").withColumn("cut", F.aggregate(F.coalesce("marks", F.array().cast("array<struct<start:int,end:int>>")), start, step))
-    tail = F.array(F.struct(F.substring(text, F.col("cut.at") + 1, F.length(text)).alias("text"), F.lit(False).alias("matched")))
-    pieces = F.filter(F.concat("cut.out", tail), lambda p: p["text"] != "")
-    return view.select("document_id", pieces.alias("segments")).join(counts, "document_id", "left")
+
+    @F.pandas_udf("array<struct<text:string,matched:boolean>>")
+    def pieces(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        """One pass over a text and its spans in order."""
+
+        def cut(text: str, spans) -> list[dict]:
+            out, at = [], 0
+            for span in spans if spans is not None else ():
+                if span["start"] >= at:
+                    out += [{"text": text[at : span["start"]], "matched": False}, {"text": text[span["start"] : span["end"]], "matched": True}]
+                    at = span["end"]
+            return [p for p in (*out, {"text": text[at:], "matched": False}) if p["text"]]
+
+        return pd.Series([cut(t, m) for t, m in zip(texts, marks, strict=True)])
+
+    view = index.document_streams(own).join(marks, "document_id", "left")
+    return view.select("document_id", pieces("text", "marks").alias("segments")).join(counts, "document_id", "left")

@@ -1,6 +1,7 @@
 """Hand-worked answers over three sentences of four words."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,16 @@ def test_file_view(spark, docs):
     assert (row["tokens"], row["types"]) == (4, 4)
 
 
+def test_file_view_of_many_spans(spark):
+    """100,000 spans in a text of 2 MB, in time linear in both."""
+    n = 100_000
+    docs = spark.createDataFrame([(1, "ab cd efgh ij kl mno " * n, "en")], "doc_id long, text string, lang string")
+    spans = spark.range(n).select(F.lit(1).cast("long").alias("document_id"), (F.col("id") * 21).cast("int").alias("start"), (F.col("id") * 21 + 5).cast("int").alias("end"))
+    began = time.time()
+    row = concordance.file_view(docs, 1, spans).select(F.size(F.filter("segments", lambda s: s["matched"])).alias("n"), F.element_at("segments", 3).alias("third")).first()
+    assert row["n"] == n and tuple(row["third"]) == ("ab cd", True) and time.time() - began < 60
+
+
 def test_snippets(spark):
     docs = spark.createDataFrame([(1, "A b.  C-d, e f!\n\nG h", "en")], "doc_id long, text string, lang string")
     (row,) = concordance.snippets(docs, parse_simple("e"), 2).collect()

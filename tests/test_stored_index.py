@@ -62,7 +62,7 @@ def test_what_the_index_lacks(made):
             made.kwic(slots)
 
 
-@pytest.mark.parametrize("name", ["index_phrase", "index_wildcards", "index_collocates", "index_word_list", "index_plot_bins"])
+@pytest.mark.parametrize("name", ["index_phrase", "index_wildcards", "index_collocates", "index_word_list", "index_plot_bins", "collocates_significance"])
 def test_against_sql(spark, duck, name):  # noqa: F811
     rows = __spark_entry__.queries()[name](spark, FOLDER)
     columns = sorted(rows.columns)

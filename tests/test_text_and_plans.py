@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from philolog.functions import text as X
 from philolog.plans.query import QueryError, Slot, parse_brackets, parse_simple
+from philolog.sources import importers
 
 
 def one(spark, column):
@@ -76,3 +79,11 @@ def test_simple_queries():
     for bad in ("", "*", "(", " ".join("a" * 21)):
         with pytest.raises(QueryError):
             parse_simple(bad, regular=bad == "(")
+
+
+def test_ids_titles_and_highlights(spark):
+    frame = spark.createDataFrame([(1, "\n  A title \nThe thing is a Thing", "x"), (2, None, "y")], "n long, t string, k string")
+    rows = frame.select(X.stable_id("pair", F.col("n"), F.col("k")).alias("id"), importers.title_of(F.col("t")).alias("title"), X.highlighted(F.col("t"), ["thing", "the thing"]).alias("parts")).collect()
+    assert rows[0]["id"] == "pair-" + hashlib.sha256(b"1:x").hexdigest()[:32] and rows[0]["id"] != rows[1]["id"]
+    assert [r["title"] for r in rows] == ["A title", ""]
+    assert [(p["text"], p["matched"]) for p in rows[0]["parts"]] == [("\n  A title \n", False), ("The thing", True), (" is a ", False), ("Thing", True)] and rows[1]["parts"] == []
