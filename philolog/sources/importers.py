@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from philolog.functions import text as X
+from philolog.sources.structure import structured
 
 #: Fixed: a word with its tag.
 ZH_TAGGED, EN_TAGGED = r"^(.+)/([A-Za-z][A-Za-z0-9_-]*)$", r"^(.+)_([A-Z0-9$-]+)$"
@@ -227,4 +228,5 @@ def paired_structure(pairs: DataFrame, tag: str = "s") -> DataFrame:
 
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
     "raw_mono": raw_mono, "tagged": tagged, "xml_like": xml_like, "aligned_tsv": aligned_table, "paired_raw": paired_paragraphs, "paired_tagged": paired_structure,
+    "tagged_structure": structured,
 }
