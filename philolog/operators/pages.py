@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges of one pass, keys sampled for each bound, and rows that are sorted at once.
-RANGES, PER_BOUND, SORTED_ROWS = 64, 16, 20_000
+#: Ranges of one pass (few, so that the tests of all bounds fit one generated method), keys sampled for each bound, and rows that are sorted at once.
+RANGES, PER_BOUND, SORTED_ROWS = 16, 32, 20_000
 
 
 @dataclass(frozen=True)
