@@ -9,9 +9,13 @@ the whole corpus. Building shuffles postings once; a query reads the postings of
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,30 +27,71 @@ from philolog.plans.query import QueryError, Slot, parse_simple, predicate
 from philolog.sources import versions
 
 TABLES = ("postings", "words", "terms")
+#: Tokens whose terms are found at once, and the parts over which a term's documents are dealt.
+TOKENS_AT_ONCE, SPREAD = 200_000, 16
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents' word arrays a row for each term of a document, some documents at a time."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("words")).fill_null(0).to_numpy(zero_copy_only=False)
+        marks = np.flatnonzero(np.diff(np.cumsum(sizes) // TOKENS_AT_ONCE, prepend=0))
+        for low, high in zip([0, *marks], [*marks, len(batch)], strict=True):
+            if sizes[low:high].any():
+                yield _terms_of(batch.slice(low, high - low), sizes[low:high])
+
+
+def _terms_of(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+    words, surfaces = (batch.column(c).flatten().dictionary_encode() for c in ("words", "surfaces"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    key = row * len(words.dictionary) + words.indices.to_numpy()
+    order = np.argsort(key, kind="stable")  # by document and term, then by position
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(starts[1:], len(order))
+    first = order[starts]
+    # a surface's first place in its run; places in the order of bytes tell the least one
+    run, surface = np.repeat(np.arange(len(starts)), ends - starts), surfaces.indices.to_numpy()[order]
+    kept = np.sort(np.unique(run * len(surfaces.dictionary) + surface, return_index=True)[1])
+    by_bytes = pc.sort_indices(surfaces.dictionary.cast("binary")).to_numpy()
+    place = np.empty_like(by_bytes)
+    place[by_bytes] = np.arange(len(by_bytes))
+    least = by_bytes[np.minimum.reduceat(place[surface], starts)]
+
+    def lists(values: pa.Array, upto: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), values)
+
+    columns = {
+        "language": batch.column("language").take(row[first]), "term": words.dictionary.take(words.indices.to_numpy()[first]), "document_id": batch.column("document_id").take(row[first]), "n": pa.array(ends - starts, pa.int64()),
+        "display": surfaces.dictionary.take(least), "surfaces": lists(surfaces.dictionary.take(surface[kept]), np.cumsum(np.bincount(run[kept], minlength=len(starts)))), "positions": lists(pa.array(at[order], pa.int32()), ends),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def postings(words: DataFrame) -> DataFrame:
     """language, term, document_id, n, display (least surface), is_punctuation, surfaces (distinct), positions (from 1) of rows of word arrays: a row for each term of a document, found within the document's own row."""
-    pairs = F.array_sort(F.transform("words", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at"))))
-    rows = words.select("document_id", "language", "surfaces", pairs.alias("p")).where(F.size("p") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get("p", i)["term"] != F.get("p", i - 1)["term"]))
-    rows = rows.withColumn("s", F.concat(starts, F.array(F.size("p"))))
-    runs = F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda lo, k: F.slice("p", lo + 1, F.get("s", k + 1) - lo))
-    rows = rows.select("document_id", "language", "surfaces", F.explode(runs).alias("r"))
-    rows = rows.withColumn("positions", F.transform("r", lambda x: x["at"])).withColumn("surfaces", F.array_distinct(F.transform("positions", lambda i: F.get("surfaces", i - 1))))
-    display = F.array_min("surfaces")
-    return rows.select("language", F.get("r", F.lit(0))["term"].alias("term"), "document_id", F.size("r").cast("long").alias("n"), display.alias("display"), X.is_punctuation(display).alias("is_punctuation"), "surfaces", "positions")
+    own = words.select("document_id", "language", "surfaces", "words")
+    number = own.schema["document_id"].dataType.simpleString()
+    rows = own.mapInArrow(_runs, f"language string, term string, document_id {number}, n long, display string, surfaces array<string>, positions array<int>")
+    return rows.select("language", "term", "document_id", "n", "display", X.is_punctuation(F.col("display")).alias("is_punctuation"), "surfaces", "positions")
+
+
+def _terms(found: DataFrame) -> DataFrame:
+    return found.groupBy("language", "term").agg(F.min("display").alias("display"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min(F.col("is_punctuation").cast("int")).cast("boolean").alias("is_punctuation"))
 
 
 def build(documents: DataFrame, folder: str, lexicon: Lexicon | None = None) -> PositionalIndex:
-    """Writes the index of documents (doc_id, text, lang) as a new version of folder, and opens it. A lexicon cuts Chinese text."""
+    """Writes the index of documents (doc_id, text, lang) as a new version of folder, and opens it. A lexicon cuts Chinese text.
+
+    Texts are cut once for the words and once for the postings, which are shuffled once: by hash, as
+    bounds of ranges would ask for another cut. A term's rows are dealt over SPREAD parts, each in the
+    order of terms. Terms are counted from the postings as they were written, without their positions.
+    """
     spark = documents.sparkSession
     before = versions.current(spark, folder)
     words = index.word_arrays(documents, lexicon=lexicon).select("document_id", "language", "d.surfaces", "d.words", "d.before")
-    found = postings(words).repartitionByRange("language", "term", "document_id").sortWithinPartitions("language", "term", "document_id")
-    # counted from the postings, without their positions
-    terms = found.groupBy("language", "term").agg(F.min("display").alias("display"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min(F.col("is_punctuation").cast("int")).cast("boolean").alias("is_punctuation"))
-    tables = {"words": words.drop("words").sortWithinPartitions("document_id"), "postings": found, "terms": terms}
+    found = postings(words).repartition("language", "term", F.pmod(F.hash("document_id"), F.lit(SPREAD))).sortWithinPartitions("language", "term", "document_id")
+    tables = {"words": words.drop("words").sortWithinPartitions("document_id"), "postings": found, "terms": lambda written: _terms(written["postings"])}
     made = versions.publish(tables, folder, after=before, partition_by={t: ["language"] for t in TABLES})
     return PositionalIndex(spark, made)
 

@@ -98,27 +98,29 @@ def current(spark: SparkSession, folder: str) -> Version | None:
     return None
 
 
-def publish(tables: dict[str, DataFrame], folder: str, *, after: Version | None = None, partition_by: dict[str, list[str]] | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None, keep: int = 3) -> Version:
-    """Writes tables and makes them the folder's newest version.
+def publish(tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], folder: str, *, after: Version | None = None, partition_by: dict[str, list[str]] | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None, keep: int = 3) -> Version:
+    """Writes tables and makes them the folder's newest version. A table may be a function of those written before it.
 
     `after` is the version that they were made from: if another was published since, this one is
     dropped and Conflict raised. `check` gets the tables as they were written and may raise. Versions
     older than the newest `keep` are deleted. A published version is whole: a table that could not be
     written leaves the one before in place.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark = next(iter(tables.values())).sparkSession  # the first is no function
     made = f"versions/{uuid.uuid4().hex}"
     number = 1 + (after.number if after else 0)
-    counts = {}
+    counts, written = {}, {}
     try:
         for name, rows in tables.items():
+            rows = rows(written) if callable(rows) else rows
             writer = rows.write
             if by := (partition_by or {}).get(name):
                 writer = writer.partitionBy(*by)
             writer.parquet(f"{folder}/{made}/{name}")
-            counts[name] = spark.read.schema(rows.schema).parquet(f"{folder}/{made}/{name}").count()
+            written[name] = spark.read.schema(rows.schema).parquet(f"{folder}/{made}/{name}")
+            counts[name] = written[name].count()
         if check:
-            check({name: spark.read.schema(rows.schema).parquet(f"{folder}/{made}/{name}") for name, rows in tables.items()})
+            check(written)
         where, files = _files(spark, f"{folder}/manifests")
         files.mkdirs(where)
         names = _manifests(spark, folder)

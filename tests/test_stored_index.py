@@ -135,3 +135,28 @@ def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         versions.publish({"t": spark.range(3).select((1 / F.col("id")).alias("x")), "u": spark.range(3).select(F.expr("1 / (id - id)").alias("x"))}, folder, after=first)
     assert versions.current(spark, folder) == first
+
+
+def test_a_table_made_from_the_one_before(spark, tmp_path):
+    """Terms are counted from the postings as they were written, so texts are not cut for them."""
+    made = versions.publish({"t": spark.range(5), "u": lambda written: written["t"].where("id > 2")}, str(tmp_path))
+    assert made.rows == {"t": 5, "u": 2} and made.table(spark, "u").count() == 2
+
+
+def test_postings_of_documents_in_portions(monkeypatch):
+    """Documents dealt over portions, some without words, give the runs that a plain loop finds."""
+    import pyarrow as pa
+
+    words = [["b", "a", "b"], [], None, ["é", "a", "a"], ["z"] * 5, []]
+    surfaces = [["B", "a", "b"], [], None, ["É", "A", "a"], ["z", "Z", "z", "z", "Z"], []]
+    batch = pa.RecordBatch.from_pydict({"document_id": [1, 2, 3, None, 5, 6], "language": ["en", "en", "en", None, "de", "de"], "surfaces": surfaces, "words": words})
+    want = []
+    for k, (number, language) in enumerate(zip(batch["document_id"].to_pylist(), batch["language"].to_pylist(), strict=True)):
+        for term in sorted(set(words[k] or [])):
+            at = [i for i, w in enumerate(words[k]) if w == term]
+            own = [surfaces[k][i] for i in at]
+            want.append((language, term, number, len(at), min(own), list(dict.fromkeys(own)), [i + 1 for i in at]))
+    for portion in (1, 4, 100):
+        monkeypatch.setattr(postings, "TOKENS_AT_ONCE", portion)
+        got = [tuple(r.values()) for b in postings._runs(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
