@@ -894,7 +894,7 @@ def neighbours_by_language(spark, sf_dir):
 SELECT doc_id AS document_id, p AS stream_position, l1 AS "L1", r1 AS "R1" FROM h ORDER BY r1 IS NULL, r1, l1 IS NULL, l1, doc_id, p LIMIT 100 OFFSET 300""")
 def kwic_page(spark, sf_dir):
     """The fourth page of 100 lines by R1, then L1."""
-    hits = concordance.Kwic("the", sort_keys=["R1", "L1"]).hits(documents(spark, sf_dir)).select("document_id", "stream_position", "L1", "R1")
+    hits = concordance.Kwic("the", sort_keys=["R1", "L1"]).hits(documents(spark, sf_dir), only=["stream_position", "L1", "R1"]).select("document_id", "stream_position", "L1", "R1")
     return pages.page(hits, pages.concordance_keys(["R1", "L1"]), 4, 100, at_once=2000).rows
 
 
@@ -902,8 +902,8 @@ def kwic_page(spark, sf_dir):
 SELECT doc_id AS document_id, p AS stream_position, norm AS "C", kpf FROM tok JOIN h USING (norm) WHERE norm LIKE 'th%' ORDER BY kpf DESC, norm, doc_id, p LIMIT 50 OFFSET 450""")
 def kwic_page_by_frequency(spark, sf_dir):
     """The tenth page of 50 lines, frequent words first."""
-    hits = concordance.Kwic("th*", sort_keys=["C"], by_frequency=True).hits(documents(spark, sf_dir)).select("document_id", "stream_position", "C", "kpf")
-    return pages.page(hits, pages.concordance_keys(["C"], True), 10, 50, at_once=2000).rows
+    hits = concordance.Kwic("th*", sort_keys=["C"]).hits(documents(spark, sf_dir), only=["stream_position", "C"]).select("document_id", "stream_position", "C")
+    return pages.page(concordance.pattern_frequency(hits, ["C"], spread=True), pages.concordance_keys(["C"], True), 10, 50, at_once=2000).rows
 
 
 @query(EN + """ SELECT doc_id AS document_id, p AS stream_position, surface FROM tok WHERE regexp_full_match(surface, 'th(e|ing)+r?', 'i')""")

@@ -51,12 +51,13 @@ def phrase_hits(tokens: DataFrame, slots: list[Slot], *, scope: str = "stream",
     return hits.select(*columns[:5], F.lit(len(slots)).alias("token_length"), "document_length")
 
 
-def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None, places: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream", language: str = "en", width: int = 0, context: int | None = None, places: bool = False, lexicon: Lexicon | None = None, only: list[str] | None = None) -> DataFrame:
     """The hits of phrase_hits() with what stands around them, found within each document's own row: nothing is shuffled.
 
     width: adds C, L<width>..L1, R1..R<width> (folded words, null beyond the document) and left_context,
     keyword and right_context (surfaces). context: adds left, keyword and right as they stand in the stream.
-    places: adds paragraph_no. A lexicon cuts Chinese text; it goes with width only.
+    places: adds paragraph_no. A lexicon cuts Chinese text; it goes with width only. only: the columns
+    worked out beside document_id and language, where few are asked for.
     """
     rows = index.word_arrays(documents, offsets=context is not None, places=places, lexicon=lexicon)
     d, k = F.col("d"), len(slots)
@@ -96,7 +97,7 @@ def row_hits(documents: DataFrame, slots: list[Slot], *, scope: str = "stream",
             first, final = F.element_at(d["starts"], F.greatest(i - context, F.lit(1))), F.element_at(d["ends"], F.least(last + context, n))
             cut = lambda x, y: F.substring(d["stream"], (x + 1).cast("int"), (y - x).cast("int"))
             out |= {"left": X.display_fragment(cut(first, start), language), "keyword": cut(start, end), "right": X.display_fragment(cut(end, final), language)}
-        return F.struct(*[c.alias(name) for name, c in out.items()])
+        return F.struct(*[c.alias(name) for name, c in out.items() if only is None or name in only])
 
     return rows.select("document_id", "language", F.explode(F.transform(at, described)).alias("h")).select("document_id", "language", "h.*")
 
@@ -142,9 +143,17 @@ def with_neighbours(hits: DataFrame, tokens: DataFrame, left: int = 5, right: in
     )
 
 
-def pattern_frequency(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds kpf: how many hits share the values of the sort keys; 1 without keys."""
+def pattern_frequency(hits: DataFrame, keys: list[str], *, spread: bool = False) -> DataFrame:
+    """Adds kpf: how many hits share the values of the sort keys; 1 without keys.
+
+    spread: hits are read twice and meet their counts in a join, so that those of a frequent word are
+    not rows of one task.
+    """
     names = ["document_id" if k in ("FILE", "FILE_ID") else "stream_position" if k == "ROW_ID" else k for k in keys]
+    if spread and names:
+        counts = hits.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)]).agg(F.count(F.lit(1)).alias("kpf"))
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+        return hits.join(counts, reduce(Column.__and__, same)).drop(*[f"_k{i}" for i in range(len(names))])
     return hits.withColumn("kpf", F.count(F.lit(1)).over(Window.partitionBy(*names)) if names else F.lit(1).cast("long"))
 
 
@@ -207,14 +216,14 @@ class Kwic:
     def slots(self) -> list[Slot]:
         return parse_simple(self.query, whole_words=self.whole_words, case_sensitive=self.case_sensitive, regular=self.regular)
 
-    def hits(self, documents: DataFrame, *, places: bool = False) -> DataFrame:
+    def hits(self, documents: DataFrame, *, places: bool = False, only: list[str] | None = None) -> DataFrame:
         if not 0 <= self.context <= MAX_CONTEXT:
             raise ValueError(f"context of 0 to {MAX_CONTEXT} tokens")
-        return concordance(documents, self.slots(), self, places=places)
+        return concordance(documents, self.slots(), self, places=places, only=only)
 
 
-def concordance(documents: DataFrame, slots: list[Slot], options: Kwic, *, places: bool = False) -> DataFrame:
-    """Hits of any slots with contexts and kpf, and with places (but for queries by pos) paragraph_no. Only documents that can hold a hit are cut into tokens, unless positions in the corpus are asked for."""
+def concordance(documents: DataFrame, slots: list[Slot], options: Kwic, *, places: bool = False, only: list[str] | None = None) -> DataFrame:
+    """Hits of any slots with contexts and kpf, and with places (but for queries by pos) paragraph_no. Only documents that can hold a hit are cut into tokens, unless positions in the corpus are asked for. only: as in row_hits(); sort keys are among them."""
     keys = check_sort_keys(options.sort_keys)
     own = documents.where(F.col("lang") == options.language)
     width = max(options.context, 5 if keys else 0)
@@ -222,7 +231,7 @@ def concordance(documents: DataFrame, slots: list[Slot], options: Kwic, *, place
         tokens = index.token_table(own.where(may_hold(F.col("text"), slots)))
         hits = with_neighbours(phrase_hits(tokens, slots, language=options.language, pos=options.pos), tokens, width, width)
     else:
-        hits = row_hits(own.where(may_hold(F.col("text"), slots)), slots, language=options.language, width=width, places=places)
+        hits = row_hits(own.where(may_hold(F.col("text"), slots)), slots, language=options.language, width=width, places=places, only=only)
     if options.sample:
         offsets = index.document_offsets(index.word_counts(documents), documents.select(F.col("doc_id").alias("document_id")))
         hits = hits.join(offsets, "document_id").withColumn("global_position", F.col("tokens_before_document") + F.col("stream_position")).drop("tokens_before_document")

@@ -1,5 +1,7 @@
 """One page of a long result without sorting all of it.
 
+Rows are worked out once and held on disk while the page is sought. A page near the top is cut from
+the first rows that each task keeps. Else:
 Rows are counted by ranges of the order's keys, whose bounds come from a sample of keys. Only the
 ranges in which the page lies are kept; if they are still many rows, they are divided again. What is
 sorted in the end is about a page.
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +76,17 @@ def _bounds(rows: DataFrame, keys: list[Key], total: int, ranges: int) -> list[t
 def page(rows: DataFrame, keys: list[Key], number: int, size: int, *, ranges: int = RANGES, at_once: int = SORTED_ROWS) -> Page:
     """The page of this number, from 1; beyond the last page the last one. keys must tell any two rows apart, or rows may share a place.
 
-    Rows are read a few times, each time by filters alone: nothing but the page's ranges is sorted.
+    Rows are worked out once, so they should have no columns but the page's. What is held is read a few
+    times, each time by filters alone: nothing but the page's ranges is sorted.
     """
     if size < 1:
         raise ValueError("a page has one row at least")
+    rows = rows.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
     total = rows.count()
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
     first, held, there = (number - 1) * size, rows, total
-    while there > max(at_once, 2 * size):
+    while there > max(at_once, 2 * size) and first + size > at_once:
         bounds = _bounds(held, keys, there, ranges)
         placed = held.withColumn("_range", _range(keys, bounds))
         counts = dict(map(tuple, placed.groupBy("_range").count().collect()))  # a row for each range

@@ -38,6 +38,28 @@ def test_a_page_sorts_little(rows):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
+def test_rows_are_worked_out_once(spark, rows):
+    """However often a page's ranges are counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    own = rows.mapInArrow(counted, rows.schema)
+    for number in (1, 12):
+        seen.value = 0
+        found = pages.page(own, [pages.Key(F.col("id"))], number, 50, at_once=100)
+        assert [r["id"] for r in found.rows.collect()] == list(range(50 * number - 50, 50 * number)) and seen.value == 3000
+
+
+def test_frequencies_by_join(rows):
+    """kpf with nulls among the keys, of hits spread over tasks and of those in one window."""
+    kinds = [sorted(map(tuple, concordance.pattern_frequency(rows.select(F.col("word").alias("C"), F.col("x").alias("R1"), "id"), ["C", "R1"], spread=s).collect()), key=repr) for s in (False, True)]
+    assert kinds[0] == kinds[1] and len(kinds[0]) == 3000
+
+
 def test_equal_keys_and_no_rows(spark, rows):
     same = pages.page(rows.select(F.lit(1).alias("k")), [pages.Key(F.col("k"))], 3, 1000, at_once=10)
     assert same.rows.count() == 1000
