@@ -70,16 +70,16 @@ def dynamic_list(tokens: DataFrame, *, kind: str = "type", case_sensitive: bool
 def ngrams(documents: DataFrame, n: int, *, language: str = "en", min_frequency: int = 2, min_range: int = 1, contains: str = "", punctuation: bool = False) -> DataFrame:
     """term (folded words), display (the first surfaces seen), frequency, document_range."""
     runs = index.windows(documents, n, language)
-    seen = F.struct("document_id", "position")
-    rows = runs.select(F.array_join("words", JOINER).alias("term"), "document_id", F.struct(seen.alias("at"), F.array_join("surfaces", " ").alias("display"), F.col("has_punctuation")).alias("first"))
-    rows = rows.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    # whether a run holds punctuation or a text is told by its folded words, so such runs needn't be counted first
+    runs = runs if punctuation else runs.where(~F.col("has_punctuation"))
+    runs = runs.where(F.array_join("words", " ").contains(contains.casefold())) if contains else runs
+    # shuffled once, by term, with the surfaces only where they are not the words
+    shown = F.when(F.col("surfaces") != F.col("words"), F.array_join("surfaces", " "))
+    rows = runs.select(F.array_join("words", JOINER).alias("term"), "document_id", "position", shown.alias("display")).repartition("term")
+    rows = rows.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("document_id", "position", "display")).alias("first"))
     rows = rows.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min("first").alias("first"))
-    rows = rows.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range))
-    if not punctuation:
-        rows = rows.where(~F.col("first.has_punctuation"))
-    if contains:
-        rows = rows.where(X.casefold(F.col("first.display")).contains(contains.casefold()))
-    return rows.select(F.replace("term", F.lit(JOINER), F.lit(" ")).alias("term"), F.col("first.display").alias("display"), "frequency", "document_range")
+    rows = rows.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range)).withColumn("term", F.replace("term", F.lit(JOINER), F.lit(" ")))
+    return rows.select("term", F.coalesce("first.display", "term").alias("display"), "frequency", "document_range")
 
 
 def open_slot_ngrams(documents: DataFrame, n: int, slot: int, *, language: str = "en", min_frequency: int = 2, min_range: int = 1, contains: str = "", punctuation: bool = False) -> DataFrame:
@@ -88,13 +88,14 @@ def open_slot_ngrams(documents: DataFrame, n: int, slot: int, *, language: str =
     runs = runs if punctuation else runs.where(~F.col("has_punctuation"))
     words = F.transform("words", lambda w, i: F.when(i == slot - 1, F.lit("<*>")).otherwise(w))
     rows = runs.select(F.array_join(words, " ").alias("pattern"), F.element_at("surfaces", slot).alias("variant"), "document_id")
-    # one row for a pattern, variant and document; then per variant; documents are counted beside, as they overlap between variants
-    per = rows.groupBy("pattern", "variant", "document_id").agg(F.count(F.lit(1)).alias("n"))
-    ranges = per.select("pattern", "document_id").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("document_range"))
-    variants = per.groupBy("pattern", "variant").agg(F.sum("n").alias("n"))
+    # shuffled once, by pattern; the first row of a variant and of a document counts it
+    per = rows.repartition("pattern").groupBy("pattern", "variant", "document_id").agg(F.count(F.lit(1)).alias("n"))
+    of_variant, of_document = Window.partitionBy("pattern", "variant"), Window.partitionBy("pattern", "document_id").orderBy("variant")
+    per = per.withColumn("all", F.sum("n").over(of_variant)).withColumn("v", F.row_number().over(of_variant.orderBy("document_id")) == 1).withColumn("d", F.row_number().over(of_document) == 1)
     # -sum p log2 p with p = n / f is log2 f - sum n log2 n / f
-    stats = variants.groupBy("pattern").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("variants"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    stats = stats.where(F.col("frequency") >= min_frequency).join(ranges.where(F.col("document_range") >= min_range), "pattern")
+    variant = lambda x: F.when(F.col("v"), x)
+    stats = per.groupBy("pattern").agg(F.sum("n").alias("frequency"), F.count_if("d").alias("document_range"), F.count_if("v").alias("variants"), F.sum(variant(F.col("all") * F.log2("all"))).alias("s"))
+    stats = stats.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range))
     stats = stats.where(X.casefold(F.col("pattern")).contains(contains.casefold())) if contains else stats
     return stats.select("pattern", "frequency", "document_range", "variants", (F.col("variants") / F.col("frequency")).alias("type_token_ratio"), (F.log2("frequency") - F.col("s") / F.col("frequency")).alias("entropy"))
 

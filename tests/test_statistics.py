@@ -170,3 +170,24 @@ def test_keywords(tokens):
 def test_cloud_layout_is_free_of_overlaps():
     placed = lists.cloud_layout([(f"word{i}", 50 - i, 40.0 - i / 2) for i in range(30)])
     assert len(placed) > 20 and placed == lists.cloud_layout([(f"word{i}", 50 - i, 40.0 - i / 2) for i in range(30)])
+
+
+def test_folding_leaves_punctuation_punctuation():
+    """So folded words tell whether a run holds punctuation, and runs with it may be left out before they are counted."""
+    import sys
+    import unicodedata
+
+    marks = lambda t: all(unicodedata.category(c)[0] in "PS" for c in t)
+    assert all(marks(chr(i)) == marks(chr(i).casefold()) for i in range(sys.maxunicode + 1))
+
+
+def test_runs_are_shuffled_once(spark):
+    """By term or pattern; repeated ids count as one document, surfaces of the first are shown."""
+    texts = [(2, "The old man. THE Old Man! the old man", "en"), (1, "the Old man, the old hat", "en"), (1, "The old man", "en"), (3, None, "en"), (None, "the old man", "en")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    runs, slots = lists.ngrams(docs, 3), lists.open_slot_ngrams(docs, 3, 3)
+    for found in (runs, slots, lists.ngrams(docs, 3, contains="Old")):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in runs.collect()] == [("the old man", "the old man", 6, 3)]
+    row = slots.first()
+    assert tuple(row)[:4] == ("the old <*>", 7, 3, 3) and row["entropy"] == pytest.approx(1.148835, abs=1e-6)
