@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from philolog.functions import text as X
 from philolog.operators import collocation, concordance, exports, index, lists, neighbours, ordering, pages, parallel, postings, retrieval
-from philolog.plans.query import parse_brackets, parse_simple
+from philolog.plans.query import may_hold, parse_brackets, parse_simple
 from philolog.sources import intake, versions
 from philolog.streaming import auditing, delivery
 
@@ -424,7 +424,8 @@ SELECT term, display, frequency, left_frequency, right_frequency, document_range
 
 @query(_COLLOCATES)
 def collocates(spark, sf_dir):
-    rows = collocation.collocates(english_tokens(spark, sf_dir), "thing", left=3, right=3, min_frequency=2)
+    held = english(spark, sf_dir).where(may_hold(F.col("text"), parse_simple("thing")))
+    rows = collocation.collocates(english_tokens(spark, sf_dir), "thing", left=3, right=3, min_frequency=2, within=index.token_table(held))
     exact = ["term", "display", "frequency", "left_frequency", "right_frequency", "document_range", "corpus_frequency"]
     six = ["mi", "t_score", "log_dice", "dice", "mi2", "mi3", "minimum_sensitivity", "mu", "rrf", "drf", "z_score", "log_ratio"]
     return rows.select(*exact, *[rounded(c).alias(c) for c in six], *[F.round(c, 4).alias(c) for c in ("chi_square", "log_likelihood")])

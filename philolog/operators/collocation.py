@@ -25,20 +25,25 @@ def context_tokens(tokens: DataFrame, found: DataFrame, left: int, right: int) -
     return asked.join(tokens.select("document_id", "sentence_no", "sentence_position", "normalized", "surface", "pos"), ["document_id", "sentence_no", "sentence_position"])
 
 
-def collocates(tokens: DataFrame, query: str, *, left: int = 5, right: int = 5, pos: str = "", min_frequency: int = 1, min_range: int = 1, punctuation: bool = False) -> DataFrame:
+def collocates(tokens: DataFrame, query: str, *, left: int = 5, right: int = 5, pos: str = "", min_frequency: int = 1, min_range: int = 1, punctuation: bool = False, within: DataFrame | None = None) -> DataFrame:
     """Words near the query's hits with frequencies by side, range, corpus frequency and all association measures.
 
-    tokens are of one language. pos and punctuation limit the words near a hit, not the hit.
+    tokens are of one language. pos and punctuation limit the words near a hit, not the hit. within: the
+    tokens of all documents that can hold a hit, where they are fewer; all tokens are then only counted.
     """
     if left < 0 or right < 0 or left + right == 0:
         raise ValueError("one span at least must be positive")
-    able = tokens if punctuation else tokens.where(~F.col("is_punctuation"))
-    able = able.where(F.col("pos") == pos) if pos else able
-    near = context_tokens(able, nodes(tokens, query), left, right)
+
+    def able(of: DataFrame) -> DataFrame:
+        kept = of if punctuation else of.where(~F.col("is_punctuation"))
+        return kept.where(F.col("pos") == pos) if pos else kept
+
+    within = tokens if within is None else within
+    near = context_tokens(able(within), nodes(within, query), left, right)
     per = near.groupBy("normalized", "document_id").agg(F.min("surface").alias("display"), F.count(F.lit(1)).alias("n"), F.sum(F.col("is_left").cast("long")).alias("l"), F.collect_set("pos").alias("pos"))
     observed = per.groupBy("normalized").agg(F.min("display").alias("display"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pos")))), ",").alias("pos"), F.sum("n").alias("frequency"), F.sum("l").alias("left_frequency"), F.count(F.lit(1)).alias("document_range"))
     opportunities = observed.agg(F.sum("frequency").alias("opportunities"))
-    corpus = able.groupBy("normalized").agg(F.count(F.lit(1)).alias("corpus_frequency"))
+    corpus = able(tokens).groupBy("normalized").agg(F.count(F.lit(1)).alias("corpus_frequency"))
     size = corpus.agg(F.sum("corpus_frequency").alias("size"))
     rows = observed.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range)).join(corpus, "normalized")
     rows = rows.crossJoin(F.broadcast(opportunities)).crossJoin(F.broadcast(size))  # one row each

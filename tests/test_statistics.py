@@ -191,3 +191,12 @@ def test_runs_are_shuffled_once(spark):
     assert [tuple(r) for r in runs.collect()] == [("the old man", "the old man", 6, 3)]
     row = slots.first()
     assert tuple(row)[:4] == ("the old <*>", 7, 3, 3) and row["entropy"] == pytest.approx(1.148835, abs=1e-6)
+
+
+def test_collocates_within_documents_that_can_hold_a_hit(spark):
+    """The same rows, whether nodes are sought in all documents or in those that hold the word; counts stay those of all."""
+    texts = [(1, "The Thing near a hat. A thing, near", "en"), (2, "a hat near nothing", "en"), (3, "a hat", "en"), (4, None, "en"), (5, "THING hat", "en")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    tokens, held = index.token_table(docs), index.token_table(docs.where("doc_id in (1, 2, 5)"))
+    kinds = [sorted(map(tuple, collocation.collocates(tokens, "thing", left=2, right=2, within=w).collect())) for w in (None, held)]
+    assert kinds[0] == kinds[1] and {r[0]: r[7] for r in kinds[1]}["hat"] == 4
