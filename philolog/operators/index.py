@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from philolog.functions import cutting
 from philolog.functions import text as X
 from philolog.functions.segment import Lexicon
 from philolog.sources.sinks import INDEX_VERSION
@@ -24,8 +25,17 @@ def _cut(sentences: str, lexicon: Lexicon | None) -> Column:
     return plain if lexicon is None else F.coalesce(lexicon.tokens_of_each(F.when(F.col("language") == "zh", F.col(sentences))), plain)
 
 
+def cut_rows(documents: DataFrame, kind: str, names: list[str], id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
+    """Rows of a kind of cutting.ROWS with these columns: texts are cut once for each document, in Arrow."""
+    own = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).cast("string").alias("language"), F.col(text_col).alias("text"))
+    types = dict(c.split(" ") for c in cutting.ROWS[kind][1].format(id=own.schema["document_id"].dataType.simpleString()).split(", "))
+    return own.mapInArrow(cutting.cutter(kind, names), ", ".join(f"{n} {types[n]}" for n in names))
+
+
 def sentence_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", lexicon: Lexicon | None = None) -> DataFrame:
     """document_id, language, sentence_no (from 1), sentence, tokens (surfaces), tokens_before, document_length, stream_start."""
+    if lexicon is None:
+        return cut_rows(documents, "sentence", ["document_id", "language", "sentence_no", "sentence", "tokens", "tokens_before", "document_length", "stream_start"], id_col, text_col, language_col)
     base = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(F.coalesce(F.col(text_col), F.lit("")), F.col(language_col)).alias("s"))
     base = base.withColumn("t", _cut("s", lexicon))
     base = base.withColumn("n", F.transform("t", lambda x: F.size(x).cast("long")))
@@ -43,6 +53,11 @@ def token_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Chinese text; it gives no offsets."""
     if offsets and lexicon:
         raise ValueError("words cut by a lexicon have no offsets")
+    if not offsets and lexicon is None:
+        names = ["document_id", "language", "sentence_no", "sentence_position", "stream_position", "surface", "normalized", "is_punctuation", "sentence_length", "document_length"]
+        blank = F.lit("")
+        rows = cut_rows(documents, "token", names, id_col, text_col, language_col)
+        return rows.select(*names[:7], blank.alias("lemma"), blank.alias("pos"), *names[7:])
     rows = sentence_table(documents, id_col, text_col, language_col, lexicon)
     keep = ["document_id", "language", "sentence_no", "tokens_before", "document_length"]
     if offsets:
@@ -73,6 +88,9 @@ def word_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with offsets also stream, starts and ends (in code points of the stream), with places also paragraphs (tokens before each)."""
     if lexicon and (offsets or places):
         raise ValueError("words cut by a lexicon have no offsets and no paragraphs")
+    if not offsets and not places and lexicon is None:
+        names = ["surfaces", "words", "before"]
+        return cut_rows(documents, "document", ["document_id", "language", *names], id_col, text_col, language_col).select("document_id", "language", F.struct(*names).alias("d"))
     text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast("array<long>")
     counts = F.transform(X.paragraphs(text), lambda x: F.regexp_count(X.compact(x), F.lit(X.TOKEN)).cast("long"))
     rows = documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), X.sentences(text, F.col(language_col)).alias("s"), *([counts.alias("p")] if places else []))
@@ -136,12 +154,11 @@ def word_totals(tokens: DataFrame, *extra: str) -> DataFrame:
 
 def windows(documents: DataFrame, n: int, language: str | None = None) -> DataFrame:
     """All runs of n tokens within a sentence: document_id, language, sentence_no, position, surfaces, words, has_punctuation."""
-    rows = sentence_table(documents if language is None else documents.where(F.col("lang") == language)).where(F.size("tokens") >= n)
-    # folding and testing are done once for each token, before runs are cut
-    rows = rows.withColumn("folded", F.transform("tokens", X.casefold)).withColumn("marks", F.transform("tokens", X.is_punctuation))
+    own = documents if language is None else documents.where(F.col("lang") == language)
+    rows = cut_rows(own, "sentence", ["document_id", "language", "sentence_no", "tokens", "words", "marks", "tokens_before"]).where(F.size("tokens") >= n)
     rows = rows.withColumn("i", F.explode_outer(F.sequence(F.lit(1), F.size("tokens") - n + 1)))
     cut = lambda c: F.slice(c, F.col("i"), F.lit(n))
-    return rows.select("document_id", "language", "sentence_no", (F.col("tokens_before") + F.col("i")).alias("position"), cut("tokens").alias("surfaces"), cut("folded").alias("words"), F.array_contains(cut("marks"), True).alias("has_punctuation"))
+    return rows.select("document_id", "language", "sentence_no", (F.col("tokens_before") + F.col("i")).alias("position"), cut("tokens").alias("surfaces"), cut("words").alias("words"), F.array_contains(cut("marks"), True).alias("has_punctuation"))
 
 
 def corpus_counts(documents: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """A stored positional index: postings by term and document, and the documents' words beside them.
 
-postings has a row for each term of a document with its positions, in the order of terms, so that a
-term asked for reaches the scan and picks the row groups that hold it. words has each document's
+postings has a row for each term of some documents with its positions in each, in the order of terms, so
+that a term asked for reaches the scan and picks the row groups that hold it. words has each document's
 surfaces and sentence borders, from which contexts are cut, and terms what lists and measures need of
 the whole corpus. Building shuffles postings once; a query reads the postings of its own terms.
 """
@@ -27,7 +27,8 @@ from philolog.plans.query import QueryError, Slot, parse_simple, predicate
 from philolog.sources import versions
 
 TABLES = ("postings", "words", "terms")
-#: Tokens whose terms are found at once, and the parts over which a term's documents are dealt.
+COLUMNS = ["language", "term", "frequency", "document_range", "display", "is_punctuation", "surfaces", "document_ids", "positions"]
+#: Tokens whose terms are found at once where a lexicon cut them, and the parts over which a term's documents are dealt.
 TOKENS_AT_ONCE, SPREAD = 200_000, 16
 
 
@@ -69,15 +70,21 @@ def _terms_of(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
 
 
 def postings(words: DataFrame) -> DataFrame:
-    """language, term, document_id, n, display (least surface), is_punctuation, surfaces (distinct), positions (from 1) of rows of word arrays: a row for each term of a document, found within the document's own row."""
+    """COLUMNS of rows of word arrays: a row for each term of a document, found within the document's own row."""
     own = words.select("document_id", "language", "surfaces", "words")
     number = own.schema["document_id"].dataType.simpleString()
     rows = own.mapInArrow(_runs, f"language string, term string, document_id {number}, n long, display string, surfaces array<string>, positions array<int>")
-    return rows.select("language", "term", "document_id", "n", "display", X.is_punctuation(F.col("display")).alias("is_punctuation"), "surfaces", "positions")
+    one = F.lit(1).cast("long").alias("document_range")
+    return rows.select("language", "term", F.col("n").alias("frequency"), one, "display", X.is_punctuation(F.col("display")).alias("is_punctuation"), "surfaces", F.array("document_id").alias("document_ids"), F.array("positions").alias("positions"))
+
+
+def of_texts(documents: DataFrame) -> DataFrame:
+    """COLUMNS of documents (doc_id, text, lang): a row for each term of some documents of a language, found as their texts are cut."""
+    return index.cut_rows(documents, "posting", COLUMNS)
 
 
 def _terms(found: DataFrame) -> DataFrame:
-    return found.groupBy("language", "term").agg(F.min("display").alias("display"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min(F.col("is_punctuation").cast("int")).cast("boolean").alias("is_punctuation"))
+    return found.groupBy("language", "term").agg(F.min("display").alias("display"), F.sum("frequency").alias("frequency"), F.sum("document_range").alias("document_range"), F.min(F.col("is_punctuation").cast("int")).cast("boolean").alias("is_punctuation"))
 
 
 def build(documents: DataFrame, folder: str, lexicon: Lexicon | None = None) -> PositionalIndex:
@@ -89,8 +96,12 @@ def build(documents: DataFrame, folder: str, lexicon: Lexicon | None = None) ->
     """
     spark = documents.sparkSession
     before = versions.current(spark, folder)
-    words = index.word_arrays(documents, lexicon=lexicon).select("document_id", "language", "d.surfaces", "d.words", "d.before")
-    found = postings(words).repartition("language", "term", F.pmod(F.hash("document_id"), F.lit(SPREAD))).sortWithinPartitions("language", "term", "document_id")
+    if lexicon is None:
+        words, found = index.cut_rows(documents, "document", ["document_id", "language", "surfaces", "before"]), of_texts(documents)
+    else:
+        words = index.word_arrays(documents, lexicon=lexicon).select("document_id", "language", "d.surfaces", "d.words", "d.before")
+        found = postings(words)
+    found = found.repartition("language", "term", F.pmod(F.hash(F.get("document_ids", F.lit(0))), F.lit(SPREAD))).sortWithinPartitions("language", "term")
     tables = {"words": words.drop("words").sortWithinPartitions("document_id"), "postings": found, "terms": lambda written: _terms(written["postings"])}
     made = versions.publish(tables, folder, after=before, partition_by={t: ["language"] for t in TABLES})
     return PositionalIndex(spark, made)
@@ -152,11 +163,12 @@ class PositionalIndex:
         Reads the postings of the query's terms alone. A phrase is the intersection of its terms'
         positions, each moved back to the phrase's start; open slots ask for room, not for postings.
         For patterns and for slots that mind case these are candidates, as a posting tells the
-        surfaces of its term in the document, not which stands where.
+        surfaces of its term in its documents, not which stands where.
         """
         slots = _slots(query)
         conditions = {k: _of_postings(s, language) for k, s in enumerate(slots) if not s.open}
         own = self.table("postings", language).where(reduce(Column.__or__, conditions.values()))
+        own = own.select("term", "surfaces", F.explode(F.arrays_zip("document_ids", "positions")).alias("z")).select("term", "surfaces", F.col("z.document_ids").alias("document_id"), "z.positions")
         if len(conditions) == 1 and slots[k := next(iter(conditions))].kind == "exact":
             rows = own.select("document_id", _moved(k).alias("at"))
         else:
