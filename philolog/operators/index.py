@@ -78,6 +78,12 @@ def token_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def term_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
+    """The token table merged by document and word as texts are cut: n tokens, display the least surface, first the first surface, at its position."""
+    names = ["document_id", "language", "normalized", "n", "display", "first", "at", "is_punctuation"]
+    return cut_rows(documents, "term", names, id_col, text_col, language_col).withColumns({"lemma": F.lit(""), "pos": F.lit("")})
+
+
 def document_streams(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
     text = F.array_join(X.sentences(F.coalesce(F.col(text_col), F.lit("")), F.col(language_col)), "\n")
     return documents.select(F.col(id_col).alias("document_id"), F.col(language_col).alias("language"), text.alias("text"))
@@ -145,17 +151,26 @@ def with_global_position(tokens: DataFrame, ids: DataFrame | None = None) -> Dat
 
 
 def word_totals(tokens: DataFrame, *extra: str) -> DataFrame:
-    """Per language and word (and pos, if given): least surface, frequency, range over documents."""
+    """Per language and word (and pos, if given): least surface, frequency, range over documents; of a token table or a term_table()."""
     by = ["language", "normalized", *extra]
     # documents are counted on rows already merged within a document, which bounds what a frequent word sends
-    per_document = tokens.groupBy(*by, "document_id").agg(F.min("surface").alias("display"), F.count(F.lit(1)).alias("n"), F.min(F.col("is_punctuation").cast("int")).alias("punct"))
+    punct = F.min(F.col("is_punctuation").cast("int")).alias("punct")
+    if "n" in tokens.columns:
+        # dealt first, as merging the rows of a task again would only hold them in memory
+        per_document = tokens.repartition(*by, "document_id").groupBy(*by, "document_id").agg(F.min("display").alias("display"), F.sum("n").alias("n"), punct)
+    else:
+        per_document = tokens.groupBy(*by, "document_id").agg(F.min("surface").alias("display"), F.count(F.lit(1)).alias("n"), punct)
     return per_document.groupBy(*by).agg(F.min("display").alias("display"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min("punct").cast("long").alias("is_punctuation"))
 
 
+def lines(documents: DataFrame, n: int) -> DataFrame:
+    """Sentences of n tokens at least: document_id, language, sentence_no, tokens, words (folded), marks (whether each is punctuation), tokens_before."""
+    return cut_rows(documents, "sentence", ["document_id", "language", "sentence_no", "tokens", "words", "marks", "tokens_before"]).where(F.size("tokens") >= n)
+
+
 def windows(documents: DataFrame, n: int, language: str | None = None) -> DataFrame:
     """All runs of n tokens within a sentence: document_id, language, sentence_no, position, surfaces, words, has_punctuation."""
-    own = documents if language is None else documents.where(F.col("lang") == language)
-    rows = cut_rows(own, "sentence", ["document_id", "language", "sentence_no", "tokens", "words", "marks", "tokens_before"]).where(F.size("tokens") >= n)
+    rows = lines(documents if language is None else documents.where(F.col("lang") == language), n)
     rows = rows.withColumn("i", F.explode_outer(F.sequence(F.lit(1), F.size("tokens") - n + 1)))
     cut = lambda c: F.slice(c, F.col("i"), F.lit(n))
     return rows.select("document_id", "language", "sentence_no", (F.col("tokens_before") + F.col("i")).alias("position"), cut("tokens").alias("surfaces"), cut("words").alias("words"), F.array_contains(cut("marks"), True).alias("has_punctuation"))
@@ -165,10 +180,10 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
     """One row: documents, paragraphs, sentences, tokens, types (a word of two languages is two)."""
     rows = documents.select(F.col("lang").alias("language"), F.size(X.paragraphs(F.coalesce("text", F.lit("")))).alias("p"))
     shape = rows.agg(F.count(F.lit(1)).alias("documents"), F.sum("p").cast("long").alias("paragraphs"))
-    lines = sentence_table(documents)
-    sentences = lines.agg(F.count(F.lit(1)).alias("sentences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("tokens"))
-    types = token_table(documents).select("language", "normalized").distinct().agg(F.count(F.lit(1)).alias("types"))
-    return shape.crossJoin(sentences).crossJoin(types)  # one row each
+    sentences = cut_rows(documents, "sentence", ["tokens_before"]).agg(F.count(F.lit(1)).alias("sentences"))
+    words = cut_rows(documents, "term", ["language", "normalized", "n"]).groupBy("language", "normalized").agg(F.sum("n").alias("n"))
+    words = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"))
+    return shape.crossJoin(sentences).crossJoin(words)  # one row each
 
 
 def build_counts(files: DataFrame, documents: DataFrame, pairs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from philolog.operators import index
 from philolog.plans.query import split_terms
 
 JOINER = "\x1f"
+#: Parts over which runs are dealt, whatever the session's: so many that a part of some GB of texts is sorted in memory.
+RUN_PARTS = 512
 #: Fixed: canvas of a cloud and its margin; advance of radius and angle, turn of each term, flatness; width of a plain letter, height of a line; gaps beside and above; tries.
 CLOUD_WIDTH, CLOUD_HEIGHT, MARGIN = 960, 540, 16
 OUTWARD, TURN, OFFSET, FLAT, LETTER, LINE, GAP_X, GAP_Y, TRIES = 0.34, 0.48, 0.19, 0.56, 0.58, 1.12, 5, 4, 2600
@@ -47,24 +49,38 @@ def dynamic_list(tokens: DataFrame, *, kind: str = "type", case_sensitive: bool
     """List by type, type_pos or headword, with a stop or an allow list: term, frequency, document_range, per_million.
 
     The base of per_million obeys pos but not the lists. The display is the first surface in the corpus.
+    tokens may be an index.term_table() for lists of folded types.
     """
+    merged = "n" in tokens.columns
+    if merged and (kind != "type" or case_sensitive):
+        raise ValueError("merged words have no surfaces to list")
     if stop and allow:
         raise ValueError("a stop list and an allow list exclude each other")
     own = tokens if punctuation else tokens.where(~F.col("is_punctuation"))
     own = own.where(F.col("pos") == pos) if pos else own
-    size = own.agg(F.count(F.lit(1)).alias("size"))
+    size = own.agg((F.coalesce(F.sum("n"), F.lit(0)) if merged else F.count(F.lit(1))).alias("size"))
     for words, keep in ((stop, False), (allow, True)):
         if words:
             listed = F.col("normalized").isin([w.casefold() for w in words])
             own = own.where(listed if keep else ~listed)
+    if merged:
+        rows = own.select(F.col("normalized").alias("term"), "document_id", "n", F.struct(F.struct("document_id", F.col("at").alias("stream_position")).alias("at"), F.col("first").alias("surface")).alias("first"))
+        # dealt first, as merging the rows of a task again would only hold them in memory
+        rows = rows.repartition("term", "document_id").groupBy("term", "document_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    else:
+        rows = _by_key(own, kind, case_sensitive)
+    rows = rows.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min("first").alias("first"))
+    rows = rows.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range))
+    return rows.crossJoin(F.broadcast(size)).select("term", F.col("first.surface").alias("display"), "frequency", "document_range", measures.ratio(F.col("frequency") * 1e6, F.col("size")).alias("per_million"))  # one row
+
+
+def _by_key(own: DataFrame, kind: str, case_sensitive: bool) -> DataFrame:
+    """Tokens merged by what a list shows and document: term, document_id, n, first."""
     word = F.col("surface") if case_sensitive else F.col("normalized")
     head = F.coalesce(F.nullif(F.col("lemma"), F.lit("")), F.col("surface"))
     key = {"type": word, "headword": head if case_sensitive else X.casefold(head), "type_pos": F.concat_ws("_", word, F.col("pos"))}[kind]
     first = F.struct("document_id", "stream_position")
-    rows = own.withColumn("term", key).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(first.alias("at"), F.col("surface"))).alias("first"))
-    rows = rows.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min("first").alias("first"))
-    rows = rows.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range))
-    return rows.crossJoin(F.broadcast(size)).select("term", F.col("first.surface").alias("display"), "frequency", "document_range", measures.ratio(F.col("frequency") * 1e6, F.col("size")).alias("per_million"))  # one row
+    return own.withColumn("term", key).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(first.alias("at"), F.col("surface"))).alias("first"))
 
 
 def ngrams(documents: DataFrame, n: int, *, language: str = "en", min_frequency: int = 2, min_range: int = 1, contains: str = "", punctuation: bool = False) -> DataFrame:
@@ -75,7 +91,7 @@ def ngrams(documents: DataFrame, n: int, *, language: str = "en", min_frequency:
     runs = runs.where(F.array_join("words", " ").contains(contains.casefold())) if contains else runs
     # shuffled once, by term, with the surfaces only where they are not the words
     shown = F.when(F.col("surfaces") != F.col("words"), F.array_join("surfaces", " "))
-    rows = runs.select(F.array_join("words", JOINER).alias("term"), "document_id", "position", shown.alias("display")).repartition("term")
+    rows = runs.select(F.array_join("words", JOINER).alias("term"), "document_id", "position", shown.alias("display")).repartition(RUN_PARTS, "term")
     rows = rows.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("document_id", "position", "display")).alias("first"))
     rows = rows.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_range"), F.min("first").alias("first"))
     rows = rows.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range)).withColumn("term", F.replace("term", F.lit(JOINER), F.lit(" ")))
@@ -88,13 +104,15 @@ def open_slot_ngrams(documents: DataFrame, n: int, slot: int, *, language: str =
     runs = runs if punctuation else runs.where(~F.col("has_punctuation"))
     words = F.transform("words", lambda w, i: F.when(i == slot - 1, F.lit("<*>")).otherwise(w))
     rows = runs.select(F.array_join(words, " ").alias("pattern"), F.element_at("surfaces", slot).alias("variant"), "document_id")
-    # shuffled once, by pattern; the first row of a variant and of a document counts it
-    per = rows.repartition("pattern").groupBy("pattern", "variant", "document_id").agg(F.count(F.lit(1)).alias("n"))
-    of_variant, of_document = Window.partitionBy("pattern", "variant"), Window.partitionBy("pattern", "document_id").orderBy("variant")
+    # shuffled once, by pattern; the first row of a variant and of a document counts it. Sorts compare the
+    # pattern's hash first, and its letters for equal hashes alone
+    key = ["hash", "pattern"]
+    per = rows.withColumn("hash", F.xxhash64("pattern")).repartition(RUN_PARTS, *key).groupBy(*key, "variant", "document_id").agg(F.count(F.lit(1)).alias("n"))
+    of_variant, of_document = Window.partitionBy(*key, "variant"), Window.partitionBy(*key, "document_id").orderBy("variant")
     per = per.withColumn("all", F.sum("n").over(of_variant)).withColumn("v", F.row_number().over(of_variant.orderBy("document_id")) == 1).withColumn("d", F.row_number().over(of_document) == 1)
     # -sum p log2 p with p = n / f is log2 f - sum n log2 n / f
     variant = lambda x: F.when(F.col("v"), x)
-    stats = per.groupBy("pattern").agg(F.sum("n").alias("frequency"), F.count_if("d").alias("document_range"), F.count_if("v").alias("variants"), F.sum(variant(F.col("all") * F.log2("all"))).alias("s"))
+    stats = per.groupBy(*key).agg(F.sum("n").alias("frequency"), F.count_if("d").alias("document_range"), F.count_if("v").alias("variants"), F.sum(variant(F.col("all") * F.log2("all"))).alias("s"))
     stats = stats.where((F.col("frequency") >= min_frequency) & (F.col("document_range") >= min_range))
     stats = stats.where(X.casefold(F.col("pattern")).contains(contains.casefold())) if contains else stats
     return stats.select("pattern", "frequency", "document_range", "variants", (F.col("variants") / F.col("frequency")).alias("type_token_ratio"), (F.log2("frequency") - F.col("s") / F.col("frequency")).alias("entropy"))
