@@ -66,6 +66,10 @@ def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.token_table(english(spark, sf_dir))
 
 
+def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_table(english(spark, sf_dir))
+
+
 def rounded(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -101,18 +105,18 @@ SELECT term, display, frequency, document_range, round(frequency * 1e6 / (SELECT
 FROM w ORDER BY rank LIMIT 50""")
 def word_list_en(spark, sf_dir):
     """Top 50 of the static list."""
-    rows = lists.word_list(english_tokens(spark, sf_dir)).orderBy(*lists.list_order("frequency")).limit(50)
+    rows = lists.word_list(english_terms(spark, sf_dir)).orderBy(*lists.list_order("frequency")).limit(50)
     return lists.ranked(rows, *lists.list_order("frequency")).withColumn("per_million", rounded("per_million"))
 
 
 @query(TOK + """ SELECT lang AS language, norm AS normalized, min(surface) AS display, count(*) AS frequency, count(DISTINCT doc_id) AS document_range, CAST(min(punct::INT) AS BIGINT) AS is_punctuation FROM tok GROUP BY lang, norm""")
 def word_totals(spark, sf_dir):
-    return index.word_totals(tokens(spark, sf_dir))
+    return index.word_totals(index.term_table(documents(spark, sf_dir)))
 
 
 @query(TOK + """ SELECT lang AS language, norm AS normalized, '' AS pos, min(surface) AS display, count(*) AS frequency, count(DISTINCT doc_id) AS document_range, CAST(min(punct::INT) AS BIGINT) AS is_punctuation FROM tok GROUP BY lang, norm""")
 def word_frequencies(spark, sf_dir):
-    return index.word_totals(tokens(spark, sf_dir), "pos")
+    return index.word_totals(index.term_table(documents(spark, sf_dir)), "pos")
 
 
 @query(TOK + """ SELECT surface AS term, count(*) AS frequency, count(DISTINCT doc_id) AS document_range, round(count(*) * 1e6 / (SELECT count(*) FROM tok WHERE NOT punct), 6) AS per_million FROM tok WHERE NOT punct GROUP BY surface HAVING count(*) >= 2""")
@@ -130,7 +134,7 @@ def word_list_pos_type(spark, sf_dir):
 @query(EN + """ SELECT norm AS term, count(*) AS frequency, count(DISTINCT doc_id) AS document_range, row_number() OVER (ORDER BY reverse(norm), norm) AS rank FROM tok WHERE NOT punct AND norm NOT IN ('the', 'of', 'and') GROUP BY norm HAVING count(*) >= 5 ORDER BY rank LIMIT 200""")
 def word_list_end_sort(spark, sf_dir):
     """First 200 words read from their ends, with a stop list."""
-    rows = lists.dynamic_list(english_tokens(spark, sf_dir), stop=["the", "of", "and"], min_frequency=5).select("term", "frequency", "document_range")
+    rows = lists.dynamic_list(english_terms(spark, sf_dir), stop=["the", "of", "and"], min_frequency=5).select("term", "frequency", "document_range")
     order = [F.reverse("term"), F.col("term")]
     return lists.ranked(rows.orderBy(*order).limit(200), *order)
 
@@ -456,13 +460,13 @@ def plot_documents(spark, sf_dir):
 @query(EN + """, w AS (SELECT norm AS term, count(*) AS frequency, count(DISTINCT doc_id) AS document_range FROM tok WHERE NOT punct AND norm NOT IN ('the', 'of') GROUP BY norm ORDER BY frequency DESC, document_range DESC, term LIMIT 100)
 SELECT *, round(18 + 54 * (ln(1 + frequency) - (SELECT ln(1 + min(frequency)) FROM w)) / ((SELECT ln(1 + max(frequency)) FROM w) - (SELECT ln(1 + min(frequency)) FROM w)), 2) AS font_size FROM w""")
 def wordcloud_terms(spark, sf_dir):
-    return lists.cloud_terms(lists.word_list(english_tokens(spark, sf_dir)), 100, ["the", "of"])
+    return lists.cloud_terms(lists.word_list(english_terms(spark, sf_dir)), 100, ["the", "of"])
 
 
 @query()
 def wordcloud_layout(spark, sf_dir):
     """Places of the 60 largest terms, worked out on the driver."""
-    rows = lists.cloud_terms(lists.word_list(english_tokens(spark, sf_dir)), 60).orderBy(*lists.list_order("frequency")).collect()
+    rows = lists.cloud_terms(lists.word_list(english_terms(spark, sf_dir)), 60).orderBy(*lists.list_order("frequency")).collect()
     placed = lists.cloud_layout([(r["term"], r["frequency"], r["font_size"]) for r in rows])
     return spark.createDataFrame([tuple(p.values()) for p in placed], "term string, frequency long, font_size double, x double, y double, color string")
 

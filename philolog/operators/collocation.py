@@ -65,10 +65,15 @@ def dispersion(plot: DataFrame, bins: int = 50) -> DataFrame:
 
     Empty bins each add 1 / bins to the distance from an even spread, so only filled ones are rows.
     """
-    per = plot.groupBy("document_id").agg(F.sum("hits").alias("hits"), F.collect_list("hits").alias("each"))
-    apart = F.aggregate("each", F.lit(0.0), lambda acc, n: acc + F.abs(n / F.col("hits") - 1 / bins)) + (bins - F.size("each")) / F.lit(float(bins))
+    return _profiles(plot, bins).select("document_id", "hits", "dispersion")
+
+
+def _profiles(cells: DataFrame, bins: int) -> DataFrame:
+    """document_id, hits, dispersion, m: hits by bin; cells are read once."""
+    per = cells.groupBy("document_id").agg(F.sum("hits").alias("hits"), F.collect_list(F.struct("bin", "hits")).alias("each"))
+    apart = F.aggregate("each", F.lit(0.0), lambda acc, e: acc + F.abs(e["hits"] / F.col("hits") - 1 / bins)) + (bins - F.size("each")) / F.lit(float(bins))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / (2 * (1 - 1 / bins))))
-    return per.select("document_id", "hits", F.when(F.col("hits") <= 1, F.lit(0.0)).otherwise(value).alias("dispersion"))
+    return per.select("document_id", "hits", F.when(F.col("hits") <= 1, F.lit(0.0)).otherwise(value).alias("dispersion"), F.map_from_entries("each").alias("m"))
 
 
 def plot(tokens: DataFrame, query: str, overlay: str = "", bins: int = 50, zero_hits: bool = False) -> DataFrame:
@@ -79,8 +84,7 @@ def plot(tokens: DataFrame, query: str, overlay: str = "", bins: int = 50, zero_
         if not text:
             rows = rows.withColumn(name, F.lit(0).cast("long")).withColumn(f"{name}_cells", F.array_repeat(F.lit(0).cast("long"), bins)).withColumn(f"{name}_dispersion", F.lit(0.0))
             continue
-        cells = plot_bins(tokens, text, bins)
-        found = cells.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "hits"))).alias("m")).join(dispersion(cells, bins), "document_id")
+        found = _profiles(plot_bins(tokens, text, bins), bins)
         dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b.cast("long")), F.lit(0).cast("long")))
         found = found.select("document_id", F.col("hits").alias(name), dense.alias(f"{name}_cells"), F.col("dispersion").alias(f"{name}_dispersion"))
         rows = rows.join(found, "document_id", "left").na.fill({name: 0, f"{name}_dispersion": 0.0}).withColumn(f"{name}_cells", F.coalesce(f"{name}_cells", F.array_repeat(F.lit(0).cast("long"), bins)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from philolog.functions import cutting
 from philolog.functions import text as X
 
 #: Fixed: term saturation, its numerator, length weight, and the constant of rank fusion.
@@ -33,8 +37,8 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     wanted = [r[0] for r in session.range(1).select(F.explode(F.array_distinct(X.retrieval_terms(F.lit(query))))).collect()]
     if not wanted:
         return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    terms = chunks.select(F.col(id_col).alias("id"), X.retrieval_terms(F.coalesce(text_col, F.lit(""))).alias("t"))
-    counts = terms.select("id", F.size("t").alias("length"), *[_count(w).alias(f"tf_{k}") for k, w in enumerate(wanted)])
+    own = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = own.mapInArrow(_counter(wanted), f"id {own.schema['id'].dataType.simpleString()}, length int, " + ", ".join(f"tf_{k} int" for k in range(len(wanted))))
     totals = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf_{k}") > 0).cast("long")).alias(f"df_{k}") for k in range(len(wanted))])
     rows = counts.where(F.greatest(*[F.col(f"tf_{k}") for k in range(len(wanted))], F.lit(0)) > 0).crossJoin(F.broadcast(totals))  # one row
     relative = F.when(F.col("mean") > 0, F.col("length") / F.col("mean")).otherwise(1.0)
@@ -45,8 +49,21 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
     return rows.select("id", score.alias("score")).where("score > 0")
 
 
-def _count(word: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == word))
+def _counter(wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over id, text: how many of text.retrieval_terms() a text has, and how often each wanted one."""
+    names = ["id", "length", *[f"tf_{k}" for k in range(len(wanted))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw in batch.column("text").cast("binary").to_pylist():
+                text = (raw or b"").decode("utf-8", "replace")
+                terms = [w for t in cutting.finder(text)(text) if len(w := t.casefold()) > 1 and w.isalnum()]
+                rows.append((len(terms), *map(terms.count, wanted)))
+            columns = zip(*rows, strict=True) if rows else [()] * (1 + len(wanted))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, pa.int32()) for c in columns]], names=names)
+
+    return run
 
 
 def dense_search(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", *, language: str = "", language_col: str = "language") -> DataFrame:
