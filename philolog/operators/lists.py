@@ -15,7 +15,7 @@ from philolog.plans.query import split_terms
 
 JOINER = "\x1f"
 #: Parts over which runs are dealt, whatever the session's: so many that a part of some GB of texts is sorted in memory.
-RUN_PARTS = 512
+RUN_PARTS = 200
 #: Fixed: canvas of a cloud and its margin; advance of radius and angle, turn of each term, flatness; width of a plain letter, height of a line; gaps beside and above; tries.
 CLOUD_WIDTH, CLOUD_HEIGHT, MARGIN = 960, 540, 16
 OUTWARD, TURN, OFFSET, FLAT, LETTER, LINE, GAP_X, GAP_Y, TRIES = 0.34, 0.48, 0.19, 0.56, 0.58, 1.12, 5, 4, 2600
