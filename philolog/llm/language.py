@@ -93,9 +93,14 @@ class Model:
     @classmethod
     def of(cls, languages: list[str], rows: list[tuple[str, int, float]]) -> Model:
         """Of (language, name, share) rows: the share of the language's entries of that length."""
-        names, at = np.unique(np.array([r[1] for r in rows], np.uint64), return_inverse=True)
+        return cls.of_columns(languages, np.array([languages.index(r[0]) for r in rows], int), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows], float))
+
+    @classmethod
+    def of_columns(cls, languages: list[str], language: np.ndarray, names: np.ndarray, shares: np.ndarray) -> Model:
+        """The same of arrays, with languages by their places: nothing is held for each row but numbers."""
+        names, at = np.unique(names, return_inverse=True)
         values = np.full((len(names), len(languages)), math.log(UNSEEN))
-        values[at, [languages.index(r[0]) for r in rows]] = np.log(np.array([r[2] for r in rows], float) + UNSEEN)
+        values[at, language] = np.log(shares + UNSEEN)
         return cls(languages, names, values)
 
     def places(self, names: list[int]) -> np.ndarray:
@@ -140,10 +145,12 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
     counted = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_count, "lang string, length int, name long, n long")
     counted = counted.groupBy("lang", "length", "name").agg(F.sum("n").alias("n"))
     # the sample bounds what comes to the driver: three numbers for each of its words and n-grams
-    kept = counted.select("lang", "name", F.col("n") / F.sum("n").over(Window.partitionBy("lang", "length"))).toPandas()
-    languages = sorted(kept["lang"].unique())
-    names = kept["name"].to_numpy(np.int64).view(np.uint64)
-    return Model.of(languages, list(zip(kept["lang"], names.tolist(), kept.iloc[:, 2], strict=True)))
+    kept = counted.select("lang", "name", (F.col("n") / F.sum("n").over(Window.partitionBy("lang", "length"))).alias("share")).toArrow()
+    coded = kept["lang"].combine_chunks().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    languages = sorted(found)
+    place_of = np.array([languages.index(lang) for lang in found], int)
+    return Model.of_columns(languages, place_of[coded.indices.to_numpy()], kept["name"].to_numpy().view(np.uint64), kept["share"].to_numpy())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

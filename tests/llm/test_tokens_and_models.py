@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import wave
 import zlib
 from collections import Counter
@@ -113,6 +114,18 @@ def test_language_equals_dictionaries(spark, corpus):
         assert own[:2] == right[:2] and own[2] == pytest.approx(right[2], rel=1e-6)
 
 
+def test_language_model_comes_as_numbers(spark):
+    """The driver's Python holds numbers for each entry of the model, no objects."""
+    draw = random.Random(8)
+    texts = [" ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(300)) for _ in range(100)]
+    frame = spark.createDataFrame([(i, t, ("en", "de")[i % 2], "s") for i, t in enumerate(texts)], SCHEMA)
+    tracemalloc.start()
+    model = language.fit(frame, F.lit(True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.names) > 150_000 and peak < 130 * len(model.names)
+
+
 def brute_lm(train, texts):
     """Base and model scores, token by token, with dictionaries."""
     c, c2, c3 = Counter(), Counter(), Counter()
