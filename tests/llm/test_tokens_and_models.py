@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -193,6 +194,59 @@ def test_seldom_ngrams_are_kept_in_large_corpora(spark, monkeypatch, frequent):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("bits", [21, 2])
+def test_ngrams_of_common_words_travel_as_one_number(monkeypatch, bits):
+    """They get back the names of their words; so do those with words that have no place, or a high one."""
+    monkeypatch.setattr(automaton, "PLACE_BITS", bits)
+    draw = random.Random(2)
+    texts = pa.array([" ".join(draw.choice("abcdefgh") for _ in range(200)) for _ in range(20)])
+    ((_, _, h, offsets),) = automaton.tokens(texts)
+    words = automaton.Table.of(np.unique(h)[:6])
+    every = bloom.Frequent(np.full(1 << bloom.BLOOM_BITS - 3, 255, np.uint8), 1)
+    rows = list(automaton.gram_batches([pa.record_batch([texts], ["text"])], words, every, every))
+    assert bits == 2 or sum((b["k"].to_numpy() > 3).sum() for b in rows) > 150
+    found = {(k, x, y, key): n for b in automaton.named(rows, words) for k, x, y, n, key in zip(*(b[c].to_pylist() for c in ("k", "x", "y", "n", "key")), strict=True)}
+    at, long, key = automaton.pairs_of(h, offsets)
+    three = automaton.triples_of(at, long, key, np.ones(len(key), bool))
+    wanted = Counter(zip([2] * len(at), h[at - 1].view(np.int64).tolist(), h[at].view(np.int64).tolist(), key.view(np.int64).tolist(), strict=True))
+    names = automaton.joined_keys(key[three - 1], key[three])
+    wanted.update(zip([3] * len(three), *(c.view(np.int64).tolist() for c in (key[three - 1], key[three], names)), strict=True))
+    assert found == wanted
+
+
+def test_keys_travel_packed():
+    """Each key takes little more than its own eight bytes on its way to the model, and all of them meet what they ask for."""
+    draw = np.random.default_rng(3)
+    made, model = [], draw.integers(0, 2**64, 40_000, dtype=np.uint64)
+    for k in range(40):
+        own = [pa.array([None, *range(49)], pa.int64()), *(pa.array(np.full(50, k), pa.int64()) for _ in range(2)), *(pa.array(np.zeros(50)) for _ in range(2))]
+        lists = []
+        for keys in (model[:10_000], model[10_000:]):
+            rows = np.sort(draw.integers(0, 50, 1000)) + 50 * k
+            lists.append((rows, draw.choice(keys, 1000), draw.integers(1, 3, 1000)))
+        made.append((50 * k, own, *lists))
+    table = pa.Table.from_batches(list(automaton.packs(iter(made), 8)))
+    size = sum(len(pa.compress(b"".join(table[c].to_pylist()), "lz4", asbytes=True)) for c in ("keys", "rows", "times"))
+    assert table.num_rows < 400 and size < 11 * 80_000
+    weights = pa.table({"key": model.view(np.int64), "c": np.arange(40_000), "gain": np.arange(40_000) / 7})
+    gain, words, own = np.zeros(2000), np.zeros(2000), 0
+    for part in range(8):
+        mine = pa.array(automaton.part_of(model, 8) == part)
+        out = automaton.answered(table.filter(pa.array(table["part"].to_numpy() == part)), weights.filter(mine), 10.0).to_pandas()
+        own += out["n_tokens"].notna().sum()
+        gain += np.bincount(out["row"], out["gain"], 2000)
+        words += np.bincount(out["row"], out["base"], 2000)
+    place = automaton.Table.of(model, np.arange(40_000))
+    for column, lists in ((gain, (2, 3)), (words, (2,))):
+        wanted = np.zeros(2000)
+        for x in made:
+            for w in lists:
+                at = place.values[0][place.place(x[w][1])]
+                np.add.at(wanted, x[w][0], x[w][2] * (at / 7 if column is gain else np.log10((at + 1) / 10)))
+        assert column == pytest.approx(wanted)
+    assert own == 2000
+
+
 def test_frequent_keys_pass(spark, monkeypatch):
     """All keys that occur often enough pass, few others do, however the counts are cut into parts."""
     draw = np.random.default_rng(5)
