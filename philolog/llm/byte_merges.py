@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -19,6 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from philolog.llm._memory import give_back
 from philolog.llm._session import stored
 
 #: Rows whose words are counted to choose those that are folded once: words that make up 1 / SHARE of all, so at most SHARE.
@@ -99,16 +101,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _members(of: str) -> frozenset[int]:
     """Code points of a class of characters, as the library of such vocabularies knows it."""
     single = tiktoken.Encoding("bytes", pat_str=of, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    points = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    return frozenset(map(ord, bytes(single.encode_ordinary("".join(points))).decode()))
+    return frozenset(ord(c) for part in _points() for c in bytes(single.encode_ordinary(part)).decode())
+
+
+def _points():
+    """All code points but surrogates, in strings of some thousands: a string object of each at once would take the driver 100 MB."""
+    for lo in range(0, 0x110000, 1 << 13):
+        if not 0xD800 <= lo < 0xE000:
+            yield "".join(map(chr, range(lo, min(lo + (1 << 13), 0xD800) if lo < 0xD800 else lo + (1 << 13))))
 
 
 @lru_cache(maxsize=4)
 def _class(spark: SparkSession, of: str) -> str:
     """A class as Java writes it: its own, and what a newer Unicode adds to that, asked for only within the range where that lies."""
-    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    own = spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"[^{of}]").matcher(points).replaceAll("")
-    more, ranges = sorted(_members(of) - set(map(ord, own))), []
+    others = spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"[^{of}]")
+    own = {ord(c) for part in _points() for c in others.matcher(part).replaceAll("")}
+    more, ranges = sorted(_members(of) - own), []
     for c in more:
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
@@ -131,11 +139,17 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def ranks_in(path: str, changed: int) -> Ranks:
+    """A vocabulary is held once; changed: the time of the file's last change."""
+    return Ranks(path)
+
+
 class Merges:
     """Columns that encode and decode by one vocabulary."""
 
     def __init__(self, path: str):
-        self.ranks = Ranks(path)
+        self.ranks = ranks_in(path, os.stat(path).st_mtime_ns)
 
     def bytes_of(self, word: Column) -> Column:
         """Ids of a word's single bytes."""
@@ -231,10 +245,12 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     often = counts.join(F.broadcast(total)).where((F.col("n") > 1) & (F.col("n") * share >= F.col("total"))).select("word")
     # written first, as a plan that runs on names its literals each time it changes
     often = stored(often.join(F.broadcast(own.select("word")), "word", "left_anti")).select("word", merges.encoded(F.col("word")).alias("ids"))
-    cells: list[list[str]] = [[] for _ in range(WORD_CELLS)]
+    cells = [""] * WORD_CELLS
     for word, ids, cell in own.unionByName(often).select("word", "ids", _cell(F.col("word"))).toLocalIterator():
-        cells[cell].append(f"{json.dumps(word, ensure_ascii=False)}:[{','.join(map(str, ids))}]")
-    known = F.from_json(F.lit("[" + ",".join("{" + ",".join(cell) + "}" for cell in cells) + "]"), "array<map<string,array<int>>>")
+        cells[cell] += f"{',' if cells[cell] else ''}{json.dumps(word, ensure_ascii=False)}:[{','.join(map(str, ids))}]"
+    known = F.from_json(F.lit("[{" + "},{".join(cells) + "}]"), "array<map<string,array<int>>>")
+    del cells
+    give_back()
     ids = F.flatten(F.transform(words, lambda w: F.coalesce(F.get(known, _cell(w))[w], merges.encoded(w))))
     return docs.withColumn(ids_col, ids)
 

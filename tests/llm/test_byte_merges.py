@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 import time
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -69,6 +70,17 @@ def test_classes_equal_the_library(spark, library):
     assert all(r["ids"] == library.encode_ordinary(r["text"]) for r in found)
 
 
+def test_classes_and_vocabularies_in_little_memory():
+    """No objects of all code points at once, and one copy of a vocabulary, read anew when its file changes."""
+    tracemalloc.start()
+    found = byte_merges._members(r"\p{N}")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ord("½") in found and ord("5") in found and ord("a") not in found and 0x10FFFF not in found and peak < 10e6
+    assert sum(map(len, byte_merges._points())) == len(set("".join(byte_merges._points()))) == 0x110000 - 0x800
+    assert byte_merges.Merges(PATH).ranks is byte_merges.Merges(PATH).ranks
+
+
 def test_a_long_run_of_letters(spark):
     """300 KB without any border between words."""
     draw, began = random.Random(1), time.time()
