@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by Spark's higher-order functions alone.
 
-A word's bytes become an array of token ids, which a fold turns into its encoding: each step finds
+A word's bytes become an array of token ids (what is sure to be merged before all that could touch it
+already as one), which a fold turns into its encoding: each step finds
 the pair of neighbours whose bytes together have the least rank, by a literal map from pairs to ranks,
 and merges it. Words that make up a large enough share of a corpus are folded once, as distinct words,
 and held in a literal map beside the vocabulary's own words; the rest are folded where they stand.
@@ -13,8 +14,9 @@ import base64
 import json
 import os
 import re
+import zlib
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,8 @@ SAMPLE_ROWS, SHARE = 20_000, 1 << 21
 WORD_BYTES = 64
 #: Primes: rows of the literal map of pairs, shifted to lie over each other without clashes, and their length; cells of the map of words.
 SHIFTS, ROW, WORD_CELLS = 32_749, 200_003, 131_071
+#: Tokens of the least ranks that a pattern joins before a word is folded, and cells of their map.
+SURE, SURE_CELLS = 512, 8191
 #: A pair's key is its first id above RANK_BITS bits of its second; from NONE on a number is no rank.
 RANK_BITS = 20
 NONE = 1 << RANK_BITS
@@ -87,6 +91,63 @@ class Ranks:
             out[self.byte_ids[x]] = sorted(self.byte_ids[y] for y in ys)
         return out
 
+    def crossing(self) -> list[list[int]]:
+        """By two bytes that stand side by side, the least rank of all tokens that hold both so: no merge of a lesser rank joins them."""
+        least = [[NONE] * 256 for _ in range(256)]
+        for token, rank in self.rank_of.items():
+            for x, y in zip(token, token[1:], strict=False):
+                least[x][y] = min(least[x][y], rank)
+        return least
+
+    def greatest_merge(self, token: bytes) -> int:
+        """The greatest rank of the merges that make a token of its bytes; NONE if they do not."""
+        parts, most = [token[k : k + 1] for k in range(len(token))], 0
+        while len(parts) > 1:
+            rank, k = min((self.rank_of.get(a + b, NONE), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == NONE:
+                return NONE
+            most, parts[k : k + 2] = max(most, rank), [parts[k] + parts[k + 1]]
+        return most
+
+    @cached_property
+    def sure_tokens(self) -> tuple[str, dict[str, int]]:
+        """A pattern that cuts a word's bytes, as characters, into tokens whose merges come before all others that could touch them, and single bytes; and the ids of these.
+
+        Merges across a token's borders make tokens that hold the two bytes beside a border. Where all
+        such tokens rank above the merges inside, these are made in any case, and unmoved by what is
+        outside; so they may as well be made first.
+        """
+        least, tree, ids = self.crossing(), {}, {bytes([b]).decode("latin-1"): rank for b, rank in enumerate(self.byte_ids)}
+        for token, rank in sorted(self.rank_of.items(), key=lambda x: x[1])[: SURE + 256]:
+            most = self.greatest_merge(token)
+            if len(token) == 1 or most == NONE:
+                continue
+            before = _byte_class([b for b in range(256) if least[b][token[0]] <= most])
+            after = _byte_class([b for b in range(256) if least[token[-1]][b] <= most])
+            node = tree
+            for b in token:
+                node = node.setdefault(b, {})
+            node[None] = (f"(?!{after})" if after else "") + (f"(?<!{before}.{{{len(token)}}})" if before else "")
+            ids[token.decode("latin-1")] = rank
+
+        def written(node: dict, rest: list[str]) -> str:
+            ways = [f"\\x{b:02X}{written(more, [more[None]] if None in more else [])}" for b, more in node.items() if b is not None] + rest
+            return f"(?:{'|'.join(ways)})" if len(ways) > 1 else "".join(ways)
+
+        # a first byte's own branch matches it alone too, so that the others are not tried for it
+        return "(?s)" + "|".join([f"\\x{b:02X}{written(more, [''])}" for b, more in tree.items()] + ["."]), ids
+
+
+def _byte_class(members: list[int]) -> str:
+    """Bytes as a class of Java's patterns; empty if there are none."""
+    ranges: list[list[int]] = []
+    for b in members:
+        if ranges and ranges[-1][1] == b - 1:
+            ranges[-1][1] = b
+        else:
+            ranges.append([b, b])
+    return f"[{''.join(f'\\x{a:02X}-\\x{b:02X}' for a, b in ranges)}]" if ranges else ""
+
 
 def literal(value: list, kind: str) -> Column:
     """A constant of Spark: the optimizer reads the text once."""
@@ -156,15 +217,24 @@ class Merges:
         ids = literal(self.ranks.byte_ids, "array<bigint>")
         return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(ids, F.ascii(c)))
 
+    def sure_ids(self, word: Column) -> Column:
+        """Ids of a word's bytes, of which those that are sure to be joined first already are."""
+        pattern, ids = self.ranks.sure_tokens
+        cells: list[dict[str, int]] = [{} for _ in range(SURE_CELLS)]
+        for piece, rank in ids.items():
+            cells[zlib.crc32(piece.encode()) % SURE_CELLS][piece] = rank
+        known = literal(cells, "array<map<string,bigint>>")
+        pieces = F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit(pattern), F.lit(0))
+        return F.transform(pieces, lambda piece: F.get(known, (F.crc32(piece) % SURE_CELLS).cast("int"))[piece])
+
     def segments(self, start: Column) -> Column:
-        """A long word cut between bytes that stand together in no token, so that no merge can span the cut; a short one whole."""
+        """A long word cut between bytes that stand together in no token, so that no merge can span the cut."""
         together = literal(self.ranks.joined_bytes(), "array<array<bigint>>")
         cuts = F.filter(F.sequence(F.lit(1), F.size(start) - 1), lambda i: ~F.array_contains(F.get(together, F.get(start, i - 1).cast("int")), F.get(start, i)))
-        pieces = let(F.concat(F.array(F.lit(0)), cuts, F.array(F.size(start))), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda lo, k: F.slice(start, lo + 1, F.get(at, k + 1) - lo)))
-        return F.when(F.size(start) < WORD_BYTES, F.array(start)).otherwise(pieces)
+        return let(F.concat(F.array(F.lit(0)), cuts, F.array(F.size(start))), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda lo, k: F.slice(start, lo + 1, F.get(at, k + 1) - lo)))
 
     def fold(self, start: Column) -> Column:
-        """Merges single bytes in the order of ranks: of a short word one pair a step, of a long one all pairs of the least rank, from the left."""
+        """Merges single bytes, or what they are sure to become, in the order of ranks: of a short word one pair a step, of a long one all pairs of the least rank, from the left."""
         shifts, table = self.ranks.pair_table()
         shifts, table = literal(shifts, "array<bigint>"), literal(table, "array<bigint>")
 
@@ -198,7 +268,8 @@ class Merges:
 
     def encoded(self, word: Column) -> Column:
         """Ids of a word that is no token itself and not empty."""
-        return F.flatten(F.transform(let(self.bytes_of(word), self.segments), self.fold))
+        starts = F.when(F.octet_length(word) < WORD_BYTES, F.array(self.sure_ids(word))).otherwise(let(self.bytes_of(word), self.segments))
+        return F.flatten(F.transform(starts, self.fold))
 
     def words(self, spark: SparkSession) -> DataFrame:
         """(word, ids) of all tokens that are whole characters, and of the empty match."""

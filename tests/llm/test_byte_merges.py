@@ -55,6 +55,16 @@ def test_fold_equals_single_merges(spark):
     assert all(r["ids"] == plain(merges.ranks.rank_of, r["word"].encode()) for r in rows)
 
 
+def test_sure_merges_come_before_the_fold(spark):
+    """A fold starts from fewer pieces than bytes, with the same encoding."""
+    merges, draw = byte_merges.Merges(PATH), random.Random(6)
+    words = [" dieenkeitenach", " andthhableea", " ofheaneawh", "Lichch", "aaaaaa", "ße", " "] + ["".join(draw.choice("theriano sé漢🙂-.=") for _ in range(draw.randint(1, 20))) for _ in range(400)]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", merges.sure_ids(F.col("word")).alias("start"), merges.encoded(F.col("word")).alias("ids")).collect()
+    token_of = {rank: token for token, rank in merges.ranks.rank_of.items()}
+    assert all(b"".join(token_of[i] for i in r["start"]) == r["word"].encode() and r["ids"] == plain(merges.ranks.rank_of, r["word"].encode()) for r in rows)
+    assert sum(len(r["start"]) for r in rows[:4]) < 0.75 * sum(len(r["word"].encode()) for r in rows[:4])
+
+
 def test_words_folded_once_or_in_place_are_equal(spark, library):
     texts = [f"zorblax quendiv {k % 3} frobnicat" for k in range(60)]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
