@@ -12,11 +12,11 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,10 +70,13 @@ class Bpe:
                 self.parts.append((rank[ids[a]], rank[ids[b]]))
             self.merged.setdefault((rank[ids[a]], rank[ids[b]]), rank[whole])
         self.rank_of = {self.bytes_of[i]: r for i, r in rank.items()}
-        #: Every end of a token, with the token's rank if it is one itself, else -1.
-        self.ends = {t[k:]: -1 for t in self.rank_of for k in range(1, len(t))} | self.rank_of
         self.may: dict[int, bool] = {}
 
+    @cached_property
+    def ends(self) -> dict[bytes, int]:
+        """Every end of a token, with the token's rank if it is one itself, else -1."""
+        return {t[k:]: -1 for t in self.rank_of for k in range(1, len(t))} | self.rank_of
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging would leave the border between these tokens: undo merges, latest first, and see if an earlier one joins them."""
         a, b, before = left, right, len(self.parts)
@@ -261,19 +264,17 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(k, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k in keep]
 
     def run(batches):
-        # read anew by each task and given back after it: later stages run in the same workers
-        own = Encoder(Bpe(vocabulary_path))
+        from philolog.llm import bpe_levels  # which builds on this module
+
+        own = bpe_levels.walker(vocabulary_path)
         for batch in batches:
-            texts = pc.fill_null(batch.column(0), "")
-            _, offsets = _bytes.utf8(texts)
-            for lo, hi in _bytes.blocks(offsets, BATCH_BYTES):
-                if hi == lo + 1:
-                    rows = [digests(own, (ids for part in own.parts(texts[lo].as_py()) for ids in own.encode([part])), keep)]
-                else:
-                    rows = [digests(own, [ids], keep) for ids in own.encode(texts.slice(lo, hi - lo).to_pylist())]
-                columns = [pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
+            data, offsets = _bytes.utf8(batch.column(0))
+            for lo, hi in _bytes.blocks(offsets, bpe_levels.BLOCK_BYTES):
+                found = bpe_levels.columns(own, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], keep)
+                columns = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k) in zip(found, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), *columns], [*batch.schema.names[1:], *(k for k, _ in fields)])
-        del own
+        # later stages run in the same workers: they keep the vocabulary's arrays, not what few words needed
+        own.__dict__.pop("one_by_one", None)
         give_back()
 
     source = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))

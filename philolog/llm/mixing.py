@@ -13,6 +13,7 @@ one of the two says so. Each round maps [0, n) onto itself, so nothing has to be
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,14 +62,14 @@ class Mix:
         return self.slots.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("slots"))
 
     def cut(self) -> DataFrame:
-        """texts with `words` (each with the space after it) and `pieces` of rows of which something is taken."""
+        """texts with `pieces` of rows of which something is taken."""
         some = self.taken.where("taken > 0").select("row", "src", "pieces")
-        return self.texts.join(some.hint("merge"), "row").withColumn("words", F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))
+        return self.texts.join(some.hint("merge"), "row")
 
     def blocks(self) -> DataFrame:
         """The mix itself: src, slot, shard, n_words and text of each slot, and of each source's tail as often as it is taken."""
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "row", "cut"))), lambda p: F.rtrim(p["cut"])), "\n")
-        parts = F.transform(F.arrays_zip("pieces", F.transform("pieces", lambda p: F.slice(F.col("words"), (p["at"] + 1).cast("int"), p["n_words"].cast("int"))).alias("w")), lambda z: F.struct(z["pieces"]["index"].alias("index"), z["pieces"]["low"].alias("low"), z["w"].alias("w")))
+        parts = of_words("text", lambda words: F.transform("pieces", lambda p: F.struct(p["index"].alias("index"), p["low"].alias("low"), F.slice(words, (p["at"] + 1).cast("int"), p["n_words"].cast("int")).alias("w"))))
         pieces = self.cut().select("row", "src", F.explode(parts).alias("p")).select("row", "src", "p.*")
         tails = self.sources.where("tail > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("tail")).otherwise(F.col("tail_part")))
         tails = tails.where("words > 0").select("src", (-1 - F.col("epoch")).alias("slot"), "words", F.pmod(F.xxhash64(F.lit(SEED + 2), "src", -1 - F.col("epoch")), "shards").alias("shard"))
@@ -83,6 +84,15 @@ class Mix:
 SPACED = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
+def of_words(text: str, made: Callable[[Column], Column]) -> Column:
+    """What `made` makes of the words of a text, each with the space after it.
+
+    They are bound by a lambda: a column that is used once, within another function's lambda, would be
+    moved there by the optimiser, and the text cut anew for each piece.
+    """
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(SPACED), F.lit(0))), made)[0]
+
+
 def _targets(sizes: DataFrame) -> DataFrame:
     """sizes: source, source_size, n_rows. Adds src, weight and target.
 
@@ -196,12 +206,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     times = lambda p: p["full"] + F.when(p["part"] > 0, 1).otherwise(0)
     most = F.array_max(F.transform("pieces", times))
 
-    def cuts(t: Column) -> Column:
+    def cuts(words: Column, t: Column) -> Column:
         taken = F.filter("pieces", lambda p: times(p) >= t)
-        return F.transform(taken, lambda p: F.array_join(F.slice(F.col("words"), (p["at"] + 1).cast("int"), F.when(t <= p["full"], p["n_words"]).otherwise(p["part"]).cast("int")), ""))
+        return F.transform(taken, lambda p: F.array_join(F.slice(words, (p["at"] + 1).cast("int"), F.when(t <= p["full"], p["n_words"]).otherwise(p["part"]).cast("int")), ""))
 
     # pieces that follow each other join as they were; else a line ends between them
-    all_cuts = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), most), cuts))
+    all_cuts = of_words("text", lambda words: F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), most), lambda t: cuts(words, t))))
     spaced = F.transform(all_cuts, lambda c: F.when(c.rlike(r"[\x20\x09-\x0D]$"), c).otherwise(F.concat(c, F.lit("\n"))))
     text = F.regexp_replace(F.array_join(spaced, ""), r"\n$", "")
     joined = mix.cut().withColumn("mixed", text)

@@ -349,3 +349,11 @@ def test_boosted_trees_compile_to_the_same_margin(spark):
     least = boosting.calibrated(cells, prior, trees, 0.9)
     chosen = [c for c in cells if c.margin >= least - 1e-12]
     assert sum(c.positive for c in chosen) >= 0.9 * sum(c.positive + c.negative for c in chosen)
+
+
+def test_mixing_cuts_a_text_once(spark):
+    """Words are not cut anew for each piece of a text, neither for documents nor for blocks."""
+    docs = spark.createDataFrame([(1, "a b c " * 400, "s"), (2, "d e " * 300, "t")], "doc_id long, text string, source string")
+    for frame in (mixing.mix_documents(docs), mixing.mix_sources(docs).blocks()):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "array(regexp_extract_all(" in plan and "slice(regexp_extract_all(" not in plan
